@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon as L
-from tidewatch.functions.text import matches, squash
+from tidewatch.functions.text import let, matches, squash
 
 
 def canonical(url: Column) -> Column:
@@ -23,24 +23,27 @@ def canonical(url: Column) -> Column:
     return F.when(plain, base).otherwise(F.concat(base, F.lit("#"), route))
 
 
+def origin(url: Column) -> Column:
+    """Scheme and host with any unusual port, lower case; NULL for what is no web address."""
+    found = F.lower(F.regexp_extract(url, "(?i)^https?://[^/?#\\s]+", 0))
+    bare = F.regexp_replace(found, "^(https?://)[^@]*@", "$1")
+    return F.nullif(
+        F.regexp_replace(bare, "^(http://[^:]+):80$|^(https://[^:]+):443$", "$1$2"), F.lit("")
+    )
+
+
 def host(url: Column) -> Column:
-    """Host with its port, lower case; NULL when the text is not a web address."""
-    found = F.lower(F.regexp_extract(url, "(?i)^https?://(?:[^/?#@]*@)?([^/?#\\s]+)", 1))
-    return F.when(found != "", F.regexp_replace(found, ":(?:80|443)$", ""))
+    """Host with any unusual port, as two urls must share it to be one site."""
+    return F.regexp_replace(origin(url), "^https?://", "")
 
 
 def hostname(url: Column) -> Column:
     return F.regexp_replace(host(url), ":[0-9]+$", "")
 
 
-def origin(url: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(url, "(?i)^(https?)://", 1))
-    return F.when(host(url).isNotNull(), F.concat(scheme, F.lit("://"), host(url)))
-
-
 def path(url: Column) -> Column:
     found = F.regexp_extract(url, "(?i)^https?://[^/?#]+([^?#]*)", 1)
-    return F.when(found == "", F.lit("/")).otherwise(found)
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit("/"))
 
 
 def decoded(col: Column) -> Column:
@@ -95,57 +98,59 @@ def looks_like_training(url: Column) -> Column:
 
 def registered_domain(url: Column) -> Column:
     """The last two labels of a host, or three under a generic second level."""
-    labels = F.split(hostname(url), "\\.")
-    second_level = F.element_at(labels, -2)
-    n = F.when(
-        (F.size(labels) > 2) & second_level.isin("gov", "com", "edu", "org", "net"), 3
-    ).otherwise(F.least(F.size(labels), F.lit(2)))
-    return F.when(
-        F.size(labels) >= 2, F.array_join(F.slice(labels, -n, n), ".")
-    ).otherwise(hostname(url))
+    name = hostname(url)
+    three = F.regexp_extract(name, "([^.]+\\.(?:gov|com|edu|org|net)\\.[^.]+)$", 1)
+    two = F.regexp_extract(name, "([^.]+\\.[^.]+)$", 1)
+    return F.coalesce(F.nullif(three, F.lit("")), F.nullif(two, F.lit("")), name)
 
 
 def is_one_story(url: Column) -> Column:
     """A path that names a single article rather than a section."""
-    last = F.coalesce(F.try_element_at(segments(url), F.lit(-1)), F.lit(""))
-    last = decoded(last)
-    words = F.size(F.filter(F.split(last, "-"), lambda word: F.length(word) > 1))
-    return (
-        (F.length(last) > 40)
-        | last.rlike("^[0-9]{4,}$")
-        | decoded(path(url)).rlike("[0-9]{4}[-/][0-9]{2}")
-        | (words >= 4)
-    )
+
+    def story(last: Column) -> Column:
+        words = F.size(F.filter(F.split(last, "-"), lambda word: F.length(word) > 1))
+        return (F.length(last) > 40) | last.rlike("^[0-9]{4,}$") | (words >= 4)
+
+    last = decoded(F.regexp_extract(path(url), "([^/]*)/*$", 1))
+    return let(last, story) | decoded(path(url)).rlike("[0-9]{4}[-/][0-9]{2}")
 
 
 def resolve(href: Column, base: Column) -> Column:
     """An href read against the page it stands on; NULL when it is not http(s)."""
-    bare = F.regexp_replace(href, f"^{L.WS}+|{L.WS}+$", "")
-    scheme = F.lower(F.regexp_extract(base, "(?i)^(https?):", 1))
-    directory = F.regexp_replace(path(base), "[^/]*$", "")
-    joined = F.concat(origin(base), directory, bare)
-    absolute = (
-        F.when(bare.rlike("(?i)^https?://[^/?#\\s]"), bare)
-        .when(bare.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
-        .when(bare.startswith("/"), F.concat(origin(base), bare))
-        .when(bare.startswith("?"), F.concat(origin(base), path(base), bare))
-        .when(bare.startswith("#"), F.concat(F.substring_index(base, "#", 1), bare))
-        .otherwise(joined)
+    known = F.struct(
+        F.regexp_replace(href, f"^{L.WS}+|{L.WS}+$", "").alias("href"),
+        origin(base).alias("origin"),
+        path(base).alias("path"),
+        F.substring_index(base, "#", 1).alias("page"),
     )
-    return _tidy(absolute)
+
+    def absolute(k: Column) -> Column:
+        bare = k["href"]
+        directory = F.regexp_replace(k["path"], "[^/]*$", "")
+        return (
+            F.when(bare.rlike("(?i)^https?://[^/?#\\s]"), bare)
+            .when(bare.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(
+                bare.startswith("//"),
+                F.concat(F.substring_index(k["origin"], "//", 1), bare),
+            )
+            .when(bare.startswith("/"), F.concat(k["origin"], bare))
+            .when(bare.startswith("?"), F.concat(k["origin"], k["path"], bare))
+            .when(bare.startswith("#"), F.concat(k["page"], bare))
+            .otherwise(F.concat(k["origin"], directory, bare))
+        )
+
+    return let(let(known, absolute), _tidy)
 
 
 def _tidy(url: Column) -> Column:
     """Lower-case origin, an explicit root path, and dot segments folded away."""
-    tail = F.regexp_replace(url, "(?i)^https?://[^/?#]+", "")
-    rooted = F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))
-    pathname = F.regexp_extract(rooted, "^[^?#]*", 0)
-    rest = F.substring(rooted, F.length(pathname) + 1, F.length(rooted))
+    pathname = F.regexp_replace(F.regexp_extract(url, "(?i)^https?://[^/?#]+([^?#]*)", 1), "^$", "/")
+    rest = F.regexp_extract(url, "(?i)^https?://[^/?#]+[^?#]*(.*)$", 1)
     folded = F.regexp_replace(pathname, "/(?:\\./)+", "/")
     for _ in range(4):
         folded = F.regexp_replace(folded, "^/\\.\\./|/(?!\\.\\./)[^/]+/\\.\\./", "/")
-    return F.when(origin(url).isNotNull(), F.concat(origin(url), folded, rest))
+    return F.concat(origin(url), folded, rest)
 
 
 def without_fragment(url: Column) -> Column:

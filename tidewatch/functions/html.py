@@ -6,22 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon as L
-from tidewatch.functions.text import blank_to_null, matches, squash, strip
+from tidewatch.functions.text import blank_to_null, let, matches, squash, strip
 
 
-def _without(col: Column, tag: str) -> Column:
-    """Drop an element with its content.  Raw-text elements run to the end if never closed."""
-    end = "|\\z" if tag in ("script", "style", "noscript", "template") else ""
-    return F.regexp_replace(col, f"(?is)<{tag}\\b[^>]*>.*?(?:</{tag}\\s*>{end})", "")
+def _without(col: Column, tags: list[str], to_end: bool = False) -> Column:
+    """Drop elements with their content; raw text runs to the end if never closed."""
+    end = "|\\z" if to_end else ""
+    return F.regexp_replace(col, f"(?is)<({'|'.join(tags)})\\b[^>]*>.*?(?:</\\1\\s*>{end})", "")
 
 
 def decode_entities(col: Column) -> Column:
     """Named and numeric character references, the ampersand itself last."""
-    out = col
-    for name, char in L.ENTITIES[:-1]:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = _decode_numeric(out)
-    return F.regexp_replace(out, "&amp;?", "&")
+
+    def named(text: Column) -> Column:
+        for name, char in L.ENTITIES[:-1]:
+            text = F.replace(text, F.lit(name), F.lit(char))
+        return text
+
+    def decode(text: Column) -> Column:
+        full = F.regexp_replace(let(named(text), _decode_numeric), "&amp;?", "&")
+        return F.when(F.contains(text, F.lit("&")), full).otherwise(text)
+
+    return let(col, decode)
 
 
 def _decode_numeric(col: Column) -> Column:
@@ -64,19 +70,22 @@ def visible_markup(html: Column) -> Column:
     Scripts go first: a string inside one may look like a closing tag.  A page
     that never opens a body is read whole, minus its head.
     """
-    out = html
-    for tag in L.CHROME_TAGS[:2]:
-        out = _without(out, tag)
+    out = _without(html, L.RAW_TEXT_TAGS, to_end=True)
     out = F.regexp_replace(out, "(?s)<!--.*?(?:-->|\\z)", "")
-    for tag in L.CHROME_TAGS[2:]:
-        out = _without(out, tag)
-    body = F.regexp_replace(out, "(?is)^.*?<body\\b[^>]*>|</body\\s*>.*$", "")
-    headless = F.regexp_replace(
-        F.regexp_replace(out, "(?is)<head\\b[^>]*>.*?</head\\s*>", ""),
-        "(?is)<title\\b[^>]*>.*?</title\\s*>",
-        "",
-    )
-    return F.when(matches(out, "(?i)<body\\b"), body).otherwise(headless)
+    out = _without(out, L.CHROME_TAGS)
+
+    def inside(markup: Column) -> Column:
+        body = F.regexp_replace(
+            F.regexp_replace(markup, "(?is)\\A.*?<body\\b[^>]*>", ""), "(?is)</body\\s*>.*\\z", ""
+        )
+        headless = F.regexp_replace(
+            F.regexp_replace(markup, "(?is)<head\\b[^>]*>.*?</head\\s*>", ""),
+            "(?is)<title\\b[^>]*>.*?</title\\s*>",
+            "",
+        )
+        return F.when(matches(markup, "(?i)<body\\b"), body).otherwise(headless)
+
+    return let(out, inside)
 
 
 def markup_text(markup: Column) -> Column:
@@ -85,16 +94,21 @@ def markup_text(markup: Column) -> Column:
 
 def article_text(markup: Column) -> Column:
     """The text of the first article, or of the main region where there is none."""
-    article = F.regexp_extract(markup, "(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|\\z)", 1)
-    main = F.regexp_extract(markup, "(?is)<main\\b[^>]*>(.*?)(?:</main\\s*>|\\z)", 1)
-    return markup_text(F.when(article != "", article).otherwise(main))
+
+    def region(m: Column) -> Column:
+        article = F.regexp_extract(m, "(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|\\z)", 1)
+        main = F.regexp_extract(m, "(?is)<main\\b[^>]*>(.*?)(?:</main\\s*>|\\z)", 1)
+        return F.coalesce(F.nullif(article, F.lit("")), main)
+
+    return markup_text(let(markup, region))
 
 
 def blocks(text: Column) -> Column:
     """Sentence-sized pieces in order, those too short to say anything left out."""
-    pieces = F.split(text, f"(?<=[.!?۔؟]){L.WS}+|{L.WS}*[|·•]{L.WS}*")
+    # The guard passes over every printable ASCII character but the bar.
+    breaks = f"(?![!-{{}}~])(?:(?<=[.!?۔؟]){L.WS}+|{L.WS}*[|·•]{L.WS}*)"
     return F.filter(
-        F.transform(pieces, strip), lambda piece: F.length(piece) >= L.MIN_BLOCK_CHARS
+        F.split(strip(text), breaks), lambda piece: F.length(piece) >= L.MIN_BLOCK_CHARS
     )
 
 
@@ -115,12 +129,10 @@ def anchors(html: Column) -> Column:
     )
 
     def attribute(tag: Column, name: str) -> Column:
-        quoted = F.regexp_extract(tag, f"(?is)(?<![\\w-]){name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
-        single = F.regexp_extract(tag, f"(?is)(?<![\\w-]){name}\\s*=\\s*'([^']*)'", 1)
-        bare = F.regexp_extract(tag, f"(?is)(?<![\\w-]){name}\\s*=\\s*([^\\s\"'>]+)", 1)
-        return decode_entities(
-            F.when(quoted != "", quoted).when(single != "", single).otherwise(bare)
+        value = F.regexp_extract(
+            tag, f"(?is)(?<![\\w-]){name}\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1
         )
+        return decode_entities(F.regexp_replace(value, "^[\"']|[\"']$", ""))
 
     def describe(found_anchor: Column) -> Column:
         tag = F.regexp_extract(found_anchor, "(?is)^<a\\b[^>]*>", 0)

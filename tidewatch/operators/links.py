@@ -14,9 +14,9 @@ from tidewatch.operators.spread import first_per_key, top_k
 
 def harvest(pages: DataFrame, owner: str = "org_id") -> DataFrame:
     """Links a page publishes on its own domain: ``owner, page_url, url, title, label``."""
+    kept = F.filter(H.anchors(F.col("html")), lambda a: ~X.matches(a["href"], L.REJECTED_HREF))
     found = (
-        pages.select(owner, F.col("url").alias("page_url"), F.explode(H.anchors(F.col("html"))).alias("a"))
-        .where(~X.matches(F.col("a.href"), L.REJECTED_HREF))
+        pages.select(owner, F.col("url").alias("page_url"), F.explode(kept).alias("a"))
         .withColumn("url", A.without_fragment(A.resolve(F.col("a.href"), F.col("page_url"))))
         .where("url IS NOT NULL")
     )
