@@ -326,7 +326,7 @@ def written_instant(text: Column, end_of_day: bool) -> Column:
 
 
 def micros(instant: Column) -> Column:
-    return F.unix_micros(instant)
+    return F.unix_micros(instant.cast("timestamp"))
 
 
 def hours_between(later: Column, earlier: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-BINDINGS = ["bind_pages"]
+BINDINGS = ["bind_pages", "bind_events", "bind_records"]
 
 
 def load_queries() -> None:

@@ -32,10 +32,13 @@ def get_session(app: str = "tidewatch", master: str | None = None, **conf: str)
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL defaults this library relies on to an existing session.
 
-    The session zone is forced because every instant is computed in UTC; the
+    Two settings are forced because results depend on them: every instant is in
+    UTC, and zone-less timestamps are read as instants.  The
     other settings are tuning and only fill gaps left by the cluster.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Zone-less parquet timestamps are instants in UTC, so filters on them push down.
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     for key, value in DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
