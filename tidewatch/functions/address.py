@@ -98,10 +98,12 @@ def looks_like_training(url: Column) -> Column:
 
 def registered_domain(url: Column) -> Column:
     """The last two labels of a host, or three under a generic second level."""
-    name = hostname(url)
-    three = F.regexp_extract(name, "([^.]+\\.(?:gov|com|edu|org|net)\\.[^.]+)$", 1)
-    two = F.regexp_extract(name, "([^.]+\\.[^.]+)$", 1)
-    return F.coalesce(F.nullif(three, F.lit("")), F.nullif(two, F.lit("")), name)
+    # Drop every leading label that still leaves two, or three under such a level.
+    return F.regexp_replace(
+        hostname(url),
+        "^(?:[^.]+\\.)+?(?=[^.]+\\.(?:gov|com|edu|org|net)\\.[^.]+$|(?!(?:gov|com|edu|org|net)\\.)[^.]+\\.[^.]+$)",
+        "",
+    )
 
 
 def is_one_story(url: Column) -> Column:

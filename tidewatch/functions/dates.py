@@ -58,16 +58,15 @@ def hijri_to_date(year: Column, month: Column, day: Column) -> Column:
     """The Gregorian day, NULL for a day the calendar does not have."""
     in_range = year.between(L.HIJRI_FIRST_YEAR, L.HIJRI_LAST_YEAR) & month.between(1, 12)
     slot = F.when(in_range, (year - L.HIJRI_FIRST_YEAR) * 12 + month).cast("int")
-    bounds = F.slice(_starts(), F.coalesce(slot, F.lit(1)), 2)
 
-    def within(pair: Column) -> Column:
-        length = pair[1] - pair[0]
+    def within(n: Column) -> Column:
+        start = F.try_element_at(_starts(), n)
+        length = F.try_element_at(_starts(), n + 1) - start
         return F.when(
-            in_range & (day >= 1) & (day <= length),
-            F.date_from_unix_date(pair[0] + day.cast("int") - 1),
+            (day >= 1) & (day <= length), F.date_from_unix_date(start + day.cast("int") - 1)
         )
 
-    return let(bounds, within)
+    return let(slot, within)
 
 
 def hijri_parts(day: Column) -> Column:
@@ -79,13 +78,13 @@ def hijri_parts(day: Column) -> Column:
     first, last = month_starts()[0], month_starts()[-1]
     days = F.unix_date(day)
     guess = F.greatest(F.floor((days - first) / _MEAN_MONTH_DAYS).cast("int") - 1, F.lit(0))
-    near = F.filter(
-        F.transform(
-            F.slice(_starts(), guess + 1, 3),
-            lambda start, i: F.struct(start.alias("start"), (guess + i).cast("int").alias("slot")),
-        ),
-        lambda month: month["start"] <= days,
-    )
+
+    def nearest(g: Column) -> Column:
+        near = F.transform(
+            F.array(F.lit(0), F.lit(1), F.lit(2)),
+            lambda i: F.struct(F.try_element_at(_starts(), g + i + 1).alias("start"), (g + i).alias("slot")),
+        )
+        return F.try_element_at(F.filter(near, lambda month: month["start"] <= days), F.lit(-1))
 
     def parts(month: Column) -> Column:
         return F.struct(
@@ -94,7 +93,7 @@ def hijri_parts(day: Column) -> Column:
             (days - month["start"] + 1).cast("int").alias("day"),
         )
 
-    found = let(F.try_element_at(near, F.lit(-1)), parts)
+    found = let(let(guess, nearest), parts)
     return F.when(days.between(first, last - 1), found)
 
 
@@ -266,10 +265,18 @@ def date_mentions(text: Column) -> Column:
     ``12/03/2026`` that reads two ways keeps its day-first reading and says so.
     """
     def read(cleaned: Column) -> Column:
-        every = F.concat(
-            _named_mentions(cleaned, L.HIJRI_MONTHS, "hijri"),
+        none = F.expr(f"cast(array() as array<{MENTION}>)")
+        # Each scan runs only where its script and a digit (or "first of") occur.
+        hijri = F.when(cleaned.rlike("[\\u0600-\\u06FF]"), _named_mentions(cleaned, L.HIJRI_MONTHS, "hijri"))
+        named = F.when(
+            cleaned.rlike(f"(?i){'|'.join(L.EXCERPT_MONTHS[9:])}|يوني|يولي"),
             _named_mentions(cleaned, L.GREGORIAN_MONTHS, "gregorian"),
-            _numeric_mentions(cleaned),
+        )
+        numeric = F.when(
+            cleaned.rlike(f"[0-9]{L.WS}*[/\\-.]{L.WS}*[0-9]"), _numeric_mentions(cleaned)
+        )
+        every = F.concat(
+            F.coalesce(hijri, none), F.coalesce(named, none), F.coalesce(numeric, none)
         )
         ranked = F.array_sort(
             F.transform(

@@ -6,22 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon as L
-from tidewatch.functions.text import matches
+from tidewatch.functions.text import let, matches, normalise_arabic
 
 
-def _names(text: Column) -> dict[str, Column]:
-    return {
-        "cyber": matches(text, L.any_of(L.CYBER)),
-        "other": matches(text, L.any_of(L.NON_COMPUTING)),
-        "it": matches(text, L.any_of(L.IT)) | matches(text, L.IT_ACRONYM),
-        "support": matches(text, L.any_of(L.SUPPORT)),
-        "general": matches(text, L.any_of(L.GENERAL)),
-    }
+def _names(text: Column) -> Column:
+    """Which lexicons a text touches, each tried once."""
+    return F.struct(
+        matches(text, L.any_of(L.CYBER)).alias("cyber"),
+        matches(text, L.any_of(L.NON_COMPUTING)).alias("other"),
+        (matches(text, L.any_of(L.IT)) | matches(text, L.IT_ACRONYM)).alias("it"),
+        matches(text, L.any_of(L.SUPPORT)).alias("support"),
+        matches(text, L.any_of(L.GENERAL)).alias("general"),
+    )
 
 
-def field_of(text: Column) -> Column:
-    """cyber, it, general or none.  An unrelated trade wins unless IT is named beside it."""
-    named = _names(text)
+def _field(named: Column) -> Column:
     return (
         F.when(named["cyber"], "cyber")
         .when(named["other"] & ~named["it"], "none")
@@ -32,12 +31,30 @@ def field_of(text: Column) -> Column:
     )
 
 
+def _any(named: Column) -> Column:
+    return named["cyber"] | named["other"] | named["it"] | named["support"] | named["general"]
+
+
+def field_of(text: Column) -> Column:
+    """cyber, it, general or none.  An unrelated trade wins unless IT is named beside it."""
+    return let(_names(text), _field)
+
+
 def names_a_field(text: Column) -> Column:
-    named = list(_names(text).values())
-    found = named[0]
-    for one in named[1:]:
-        found = found | one
-    return found
+    return let(_names(text), _any)
+
+
+def field_facts(text: Column) -> Column:
+    """``struct<announced, names_any, all_majors>`` of an announcement's own words."""
+    everyone = matches(normalise_arabic(text), "(?i)" + L.ALL_MAJORS)
+    return let(
+        F.struct(_names(text).alias("named"), everyone.alias("everyone")),
+        lambda f: F.struct(
+            _field(f["named"]).alias("announced"),
+            _any(f["named"]).alias("names_any"),
+            f["everyone"].alias("all_majors"),
+        ),
+    )
 
 
 def field_label(field: Column) -> Column:

@@ -30,7 +30,7 @@ def strip(col: Column) -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.when(col != "", col)
+    return let(col, lambda value: F.when(value != "", value))
 
 
 def western_digits(col: Column) -> Column:
@@ -120,12 +120,15 @@ DATE_SHAPED = L.any_of(
 def triage_excerpt(text: Column) -> Column:
     """The head of a page, plus a window round its training word when that is deeper."""
     head = F.substring(text, 1, L.TRIAGE_HEAD)
-    at = position_of(text, EXCERPT_WORD)
-    start = F.greatest(F.lit(0), at - L.TRIAGE_AROUND // 2)
-    around = F.substring(text, start + 1, F.lit(L.TRIAGE_AROUND))
-    return F.when(at < L.TRIAGE_HEAD, head).otherwise(
-        F.concat(head, F.lit(L.EXCERPT_SEPARATOR), around)
-    )
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(F.lit(0), at - L.TRIAGE_AROUND // 2)
+        around = F.substring(text, start + 1, F.lit(L.TRIAGE_AROUND))
+        return F.when(at < L.TRIAGE_HEAD, head).otherwise(
+            F.concat(head, F.lit(L.EXCERPT_SEPARATOR), around)
+        )
+
+    return let(position_of(text, EXCERPT_WORD), cut)
 
 
 def focused_excerpt(text: Column, budget: int = L.MAX_EXCERPT_CHARS) -> Column:
@@ -136,35 +139,37 @@ def focused_excerpt(text: Column, budget: int = L.MAX_EXCERPT_CHARS) -> Column:
     training word and the first date the head does not already cover.
     """
     sep = len(L.EXCERPT_SEPARATOR)
-    word_at = position_of(text, EXCERPT_WORD)
-    date_at = position_of(text, DATE_SHAPED)
-    head_n = F.when(date_at >= 0, F.lit(int(budget * 0.5))).otherwise(F.lit(int(budget * 0.66)))
-    wants_word = (word_at >= 0) & (word_at >= head_n)
-    wants_date = (date_at >= 0) & (date_at >= head_n)
-    left = F.lit(budget) - head_n
-
-    def share(rest: Column, among: Column) -> Column:
-        return F.floor((rest - sep) / among).cast("int")
-
-    def start(at: Column, size: Column) -> Column:
-        return F.greatest(head_n, at - F.floor(size / 3).cast("int"))
-
-    def window(at: Column, size: Column) -> Column:
-        return F.concat(F.lit(L.EXCERPT_SEPARATOR), F.substring(text, start(at, size) + 1, size))
-
-    first_share = share(left, F.when(wants_word & wants_date, 2).otherwise(1))
-    after_word = F.when(wants_word, left - first_share - sep).otherwise(left)
-    date_share = share(after_word, F.lit(1))
-    pieces = F.concat(
-        F.substring(text, F.lit(1), head_n),
-        F.when(wants_word & (first_share > 0), window(word_at, first_share)).otherwise(""),
-        F.when(wants_date & (date_share > 0), window(date_at, date_share)).otherwise(""),
-    )
-    return (
-        F.when(F.length(text) <= budget, text)
-        .when((word_at < 0) & (date_at < 0), F.substring(text, 1, budget))
-        .otherwise(pieces)
+
+    def plan(found: Column) -> Column:
+        word, date = found["word"], found["date"]
+        head = F.when(date >= 0, F.lit(int(budget * 0.5))).otherwise(F.lit(int(budget * 0.66)))
+        wants_word, wants_date = word >= head, date >= head
+        first = F.floor((budget - head - sep) / F.when(wants_word & wants_date, 2).otherwise(1))
+        rest = F.when(wants_word, budget - head - first - 2 * sep).otherwise(budget - head - sep)
+        return F.struct(
+            word.alias("word"), date.alias("date"), head.cast("int").alias("head"),
+            F.when(wants_word, first).otherwise(0).cast("int").alias("word_share"),
+            F.when(wants_date, rest).otherwise(0).cast("int").alias("date_share"),
+        )
+
+    def window(head: Column, at: Column, size: Column) -> Column:
+        start = F.greatest(head, at - F.floor(size / 3).cast("int"))
+        piece = F.concat(F.lit(L.EXCERPT_SEPARATOR), F.substring(text, start + 1, size))
+        return F.when(size > 0, piece).otherwise("")
+
+    def cut(p: Column) -> Column:
+        whole = F.concat(
+            F.substring(text, F.lit(1), p["head"]),
+            window(p["head"], p["word"], p["word_share"]),
+            window(p["head"], p["date"], p["date_share"]),
+        )
+        plain = (p["word"] < 0) & (p["date"] < 0)
+        return F.when(plain, F.substring(text, 1, budget)).otherwise(whole)
+
+    found = F.struct(
+        position_of(text, EXCERPT_WORD).alias("word"), position_of(text, DATE_SHAPED).alias("date")
     )
+    return F.when(F.length(text) <= budget, text).otherwise(let(let(found, plan), cut))
 
 
 # Each captures the last segment of the path it matches.

@@ -13,9 +13,9 @@ from tidewatch.operators.spread import first_per_key, spread_join
 def _variants(name: Column) -> Column:
     """Keys under which names within two edits of each other meet.
 
-    ``array<struct<variant, drops, masks>>``: the name with up to two letters
-    dropped or masked, two changes at most.  Two names sharing a variant are at
-    most ``drops + drops + masks`` edits apart, so no distance is ever computed.
+    ``array<struct<variant, drops, masks>>``: the hash of the name with up to two
+    letters dropped or masked, two changes at most.  Two names sharing a variant
+    are at most ``drops + drops + masks`` edits apart.
     """
     spots = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(
         F.array().cast("array<int>")
@@ -31,7 +31,7 @@ def _variants(name: Column) -> Column:
 
     def one(text: Column, drops: int, masks: int) -> Column:
         return F.struct(
-            text.alias("variant"), F.lit(drops).alias("drops"), F.lit(masks).alias("masks")
+            F.xxhash64(text).alias("variant"), F.lit(drops).alias("drops"), F.lit(masks).alias("masks")
         )
 
     dropped = F.transform(spots, lambda i: one(drop(name, i), 1, 0))
@@ -51,10 +51,8 @@ def _variants(name: Column) -> Column:
     twice_dropped = pairs(lambda i, j: drop(drop(name, j), i), 2, 0, True)
     twice_masked = pairs(lambda i, j: mask(mask(name, j), i), 0, 2, True)
     dropped_masked = pairs(lambda i, j: drop(mask(name, j), i), 1, 1, False)
-    return F.array_distinct(
-        F.concat(
-            F.array(one(name, 0, 0)), dropped, masked, twice_dropped, twice_masked, dropped_masked
-        )
+    return F.concat(
+        F.array(one(name, 0, 0)), dropped, masked, twice_dropped, twice_masked, dropped_masked
     )
 
 
@@ -111,11 +109,14 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     same_name = _star(blocks, ["block", "name"], "block+name")
     one_each = first_per_key(blocks, ["block", "name"], -F.col("n_sources"), F.col("org_id"))
     crowded = one_each.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block")
-    varied = (
-        one_each.join(crowded, "block", "left_semi")
-        .select("org_id", "n_sources", "block", F.explode(_variants(F.col("name"))).alias("v"))
-        .select("org_id", "n_sources", "block", "v.*")
-    )
+    # Each name becomes many variants, so rows are spread before they multiply.
+    spread = one_each.join(crowded, "block", "left_semi").repartition(
+        orgs.sparkSession.sparkContext.defaultParallelism
+    )
+    varied = spread.select(
+        "org_id", "n_sources", F.xxhash64("block").alias("block"), "name",
+        F.explode(_variants(F.col("name"))).alias("v"),
+    ).select("org_id", "n_sources", "block", "name", "v.*")
     near = _near_names(varied)
 
     urls = sources.select("org_id", "url").distinct()
@@ -142,12 +143,24 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
 def _near_names(varied: DataFrame) -> DataFrame:
     """Names within two edits inside a block, linked through the closest name of each variant."""
     key = ["block", "variant", "masks"]
-    centre = F.struct("drops", (-F.col("n_sources")).alias("s"), F.col("org_id").alias("o"))
-    hubs = varied.groupBy(*key).agg(F.min(centre).alias("_k"), F.count("*").alias("_n")).where("_n > 1")
+    who = F.xxhash64("org_id")
+    met = varied.groupBy(*key).agg(F.min(who).alias("_a"), F.max(who).alias("_b")).where("_a <> _b")
+    varied = varied.join(met.select(*key), key, "left_semi")
+    centre = F.struct(
+        "drops", (-F.col("n_sources")).alias("s"), F.col("org_id").alias("o"), F.col("name").alias("name")
+    )
+    hubs = varied.groupBy(*key).agg(F.min(centre).alias("_k"))
     linked = varied.join(
-        hubs.select(*key, F.col("_k.o").alias("_hub"), F.col("_k.drops").alias("_hub_drops"), F.col("_k.s").alias("_hub_n")),
+        hubs.select(
+            *key, F.col("_k.o").alias("_hub"), F.col("_k.drops").alias("_hub_drops"),
+            F.col("_k.s").alias("_hub_n"), F.col("_k.name").alias("_hub_name"),
+        ),
         key,
-    ).where((F.col("org_id") != F.col("_hub")) & (F.col("drops") + F.col("_hub_drops") + F.col("masks") <= 2))
+    ).where(
+        (F.col("org_id") != F.col("_hub"))
+        & (F.col("drops") + F.col("_hub_drops") + F.col("masks") <= 2)
+        & (F.levenshtein("name", "_hub_name", 2) >= 0)  # hashes may collide
+    )
     stronger = (F.col("_hub_n") < -F.col("n_sources")) | (
         (F.col("_hub_n") == -F.col("n_sources")) & (F.col("_hub") < F.col("org_id"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon as L
-from tidewatch.functions.text import focused_excerpt, matches, strip, triage_excerpt
+from tidewatch.functions.text import focused_excerpt, let, matches, strip, triage_excerpt
 from tidewatch.operators.guard import verdict_offences
 from tidewatch.session import cut
 
@@ -49,84 +49,94 @@ _JSON_KINDS = {
 
 
 def unfence(reply: Column) -> Column:
-    inner = F.regexp_extract(strip(reply), "(?s)^```(?:json)?\\s*(.*?)\\s*```$", 1)
-    return F.when(inner != "", inner).otherwise(strip(reply))
+    return strip(F.regexp_replace(strip(reply), "(?s)^```(?:json)?\\s*(.*?)\\s*```$", "$1"))
 
 
 def parse_reply(reply: Column, page: Column) -> Column:
-    """``struct<ok, stage, reason, verdict, offences>`` of a raw reply.
+    """``struct<ok, stage, reason, verdict>`` of a raw reply.
 
     Exactly the known keys must be present, each of its own kind; an announcement
     needs a title; and everything it copies must be on the page.
     """
-    text = unfence(reply)
-    verdict = F.from_json(text, VERDICT_TYPE)
-    raw = F.from_json(text, "map<string,string>")
-    keys = F.json_object_keys(text)
     wanted = F.array(*[F.lit(k) for k in L.VERDICT_KEYS])
-    is_object = keys.isNotNull()
-    missing = F.array_except(wanted, keys)
-    extra = F.array_except(keys, wanted)
-    kinds_ok = F.lit(True)
-    for key, kind in _JSON_KINDS.items():
-        # A string arrives unquoted in the map, so quoted kinds are tested in the source text.
-        shape = f"(?s)\"{key}\"\\s*:\\s*(?:{kind})"
-        kinds_ok = kinds_ok & text.rlike(shape)
-    seats, stipend, weeks = verdict["seats"], verdict["stipendSAR"], verdict["durationWeeks"]
-    numbers_ok = (
-        F.coalesce((seats >= 0) & (seats == F.floor(seats)), F.lit(True))
-        & F.coalesce(stipend >= 0, F.lit(True))
-        & F.coalesce(weeks >= 0, F.lit(True))
-    )
-    strings_only = F.coalesce(
-        ~F.exists(verdict["majors"], lambda v: v.isNull())
-        & ~F.exists(verdict["cities"], lambda v: v.isNull()),
-        F.lit(False),
-    )
-    product_ok = F.coalesce(verdict["product"].isin(L.PRODUCTS), F.lit(False))
-    titled = ~verdict["isTrainingAnnouncement"] | (F.coalesce(strip(verdict["titleAr"]), F.lit("")) != "")
-    offences = verdict_offences(page, verdict)
-    del raw
 
-    def result(ok: bool, stage: str | None, reason: Column) -> Column:
+    def result(stage: str | None, reason: Column, verdict: Column | None = None) -> Column:
         return F.struct(
-            F.lit(ok).alias("ok"),
+            F.lit(stage is None).alias("ok"),
             F.lit(stage).cast("string").alias("stage"),
             reason.cast("string").alias("reason"),
-            F.when(F.lit(ok), verdict).alias("verdict"),
+            (F.lit(None) if verdict is None else verdict).cast(VERDICT_TYPE).alias("verdict"),
         )
 
-    return (
-        F.when(reply.isNull(), result(False, "api", F.lit("the judge did not answer")))
-        .when(
-            ~is_object | verdict.isNull(),
-            result(False, "parse", F.concat(F.lit("reply was not JSON: "), F.substring(reply, 1, 160))),
+    def against_page(verdict: Column) -> Column:
+        return let(
+            verdict_offences(page, verdict),
+            lambda offences: F.when(
+                F.size(offences) > 0,
+                result(
+                    "schema",
+                    F.concat(
+                        F.lit("reply contains wording the page does not: "),
+                        F.array_join(offences, "; "),
+                    ),
+                ),
+            ).otherwise(result(None, F.lit(None), verdict)),
         )
-        .when(
-            F.size(missing) > 0,
-            result(False, "schema", F.concat(F.lit("missing "), F.array_join(missing, ", "))),
+
+    def read(parsed: Column) -> Column:
+        text, verdict, keys = parsed["text"], parsed["verdict"], parsed["keys"]
+        missing, extra = F.array_except(wanted, keys), F.array_except(keys, wanted)
+        kinds_ok = F.lit(True)
+        for key, kind in _JSON_KINDS.items():
+            kinds_ok = kinds_ok & text.rlike(f"(?s)\"{key}\"\\s*:\\s*(?:{kind})")
+        seats, stipend, weeks = verdict["seats"], verdict["stipendSAR"], verdict["durationWeeks"]
+        numbers_ok = (
+            F.coalesce((seats >= 0) & (seats == F.floor(seats)), F.lit(True))
+            & F.coalesce(stipend >= 0, F.lit(True))
+            & F.coalesce(weeks >= 0, F.lit(True))
         )
-        .when(
-            F.size(extra) > 0,
-            result(False, "schema", F.concat(F.lit("unknown "), F.array_join(extra, ", "))),
+        strings_only = F.coalesce(
+            ~F.exists(verdict["majors"], lambda v: v.isNull())
+            & ~F.exists(verdict["cities"], lambda v: v.isNull()),
+            F.lit(False),
         )
-        .when(
-            ~(kinds_ok & numbers_ok & strings_only & product_ok),
-            result(False, "schema", F.lit("a value of the wrong kind")),
+        product_ok = F.coalesce(verdict["product"].isin(L.PRODUCTS), F.lit(False))
+        titled = ~verdict["isTrainingAnnouncement"] | (
+            F.coalesce(strip(verdict["titleAr"]), F.lit("")) != ""
         )
-        .when(
-            ~titled,
-            result(False, "schema", F.lit("reply claims an announcement but gives no title")),
+        return (
+            F.when(
+                keys.isNull() | verdict.isNull(),
+                result("parse", F.concat(F.lit("reply was not JSON: "), F.substring(text, 1, 160))),
+            )
+            .when(
+                F.size(missing) > 0,
+                result("schema", F.concat(F.lit("missing "), F.array_join(missing, ", "))),
+            )
+            .when(
+                F.size(extra) > 0,
+                result("schema", F.concat(F.lit("unknown "), F.array_join(extra, ", "))),
+            )
+            .when(
+                ~(kinds_ok & numbers_ok & strings_only & product_ok),
+                result("schema", F.lit("a value of the wrong kind")),
+            )
+            .when(
+                ~titled,
+                result("schema", F.lit("reply claims an announcement but gives no title")),
+            )
+            .otherwise(let(verdict, against_page))
         )
-        .when(
-            F.size(offences) > 0,
-            result(
-                False,
-                "schema",
-                F.concat(F.lit("reply contains wording the page does not: "), F.array_join(offences, "; ")),
-            ),
+
+    def parse(text: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
+            F.from_json(text, VERDICT_TYPE).alias("verdict"),
+            F.json_object_keys(text).alias("keys"),
         )
-        .otherwise(result(True, None, F.lit(None)))
+
+    return F.when(reply.isNull(), result("api", F.lit("the judge did not answer"))).otherwise(
+        let(let(unfence(reply), parse), read)
     )
 
 

@@ -20,7 +20,7 @@ def scan(texts: DataFrame, keys: list[str], text: str = "text", origin: str | No
 
     def one(name: str, pattern: str, exempt: str | None):
         def describe(found):
-            before = F.substring_index(body, found[0], 1)
+            before = F.call_function("substring_index", body, found[0], F.lit(1))
             return F.struct(
                 F.lit(name).alias("rule"),
                 F.size(found).alias("hits"),

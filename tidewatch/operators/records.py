@@ -99,40 +99,41 @@ def from_verdicts(judged: DataFrame, as_of: Column) -> DataFrame:
     (NULL field for a profile that names none).
     """
     v = F.col("verdict")
+    fit = F.when(
+        F.col("field").isNotNull(),
+        relevance(
+            v["product"], v["titleAr"], v["majors"], v["cities"], F.col("field"),
+            F.col("reader_cities"), F.col("graduated"), F.col("field_label"),
+        ),
+    )
+    backwards = F.coalesce(
+        D.deadline_instant(F.col("_closes.day")) < D.opening_instant(F.col("_opens.day")), F.lit(False)
+    )
+    sound = ~F.col("_backwards")
     staged = (
         judged.where(v["isTrainingAnnouncement"])
-        .withColumn("_opens", resolve_day(v["opensISO"], v["opensRaw"], "first"))
-        .withColumn("_closes", resolve_day(v["closesISO"], v["closesRaw"], "last"))
-        .withColumn(
-            "_fit",
-            F.when(
-                F.col("field").isNotNull(),
-                relevance(
-                    v["product"], v["titleAr"], v["majors"], v["cities"], F.col("field"),
-                    F.col("reader_cities"), F.col("graduated"), F.col("field_label"),
-                ),
-            ),
-        )
-        .withColumn(
-            "_backwards",
-            F.coalesce(
-                D.deadline_instant(F.col("_closes.day")) < D.opening_instant(F.col("_opens.day")),
-                F.lit(False),
-            ),
+        .withColumns(
+            {
+                "_opens": resolve_day(v["opensISO"], v["opensRaw"], "first"),
+                "_closes": resolve_day(v["closesISO"], v["closesRaw"], "last"),
+                "_fit": fit,
+                "first_seen": F.coalesce("prior_first_seen", as_of),
+            }
         )
-        .withColumn("opens", F.when(~F.col("_backwards"), F.col("_opens.day")))
-        .withColumn("closes", F.when(~F.col("_backwards"), F.col("_closes.day")))
-        .withColumn("score", F.when(~F.col("_backwards"), F.col("_fit.score")))
-        .withColumn("_review", F.col("_fit").isNull() | F.col("_backwards"))
-        .withColumn(
-            "_two_readings",
-            (F.col("_opens.ambiguous_order") | F.col("_closes.ambiguous_order")) & ~F.col("_backwards"),
+        .withColumn("_backwards", backwards)
+        .withColumns(
+            {
+                "opens": F.when(sound, F.col("_opens.day")),
+                "closes": F.when(sound, F.col("_closes.day")),
+                "score": F.when(sound, F.col("_fit.score")),
+                "_review": F.col("_fit").isNull() | F.col("_backwards"),
+                "_two_readings": (F.col("_opens.ambiguous_order") | F.col("_closes.ambiguous_order")) & sound,
+            }
         )
         .withColumn(
             "status",
             D.status_at(F.col("opens"), F.col("closes"), v["product"], F.col("_review"), as_of),
         )
-        .withColumn("first_seen", F.coalesce("prior_first_seen", as_of))
     )
     reason = (
         F.when(F.col("_backwards"), F.lit(L.REASONS["contradictory"]))

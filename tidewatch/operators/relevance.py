@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import fields, text as X
+from tidewatch.functions import fields
 from tidewatch.functions import lexicon as L
+from tidewatch.functions.text import let
 
 
 def read_profiles(profiles: DataFrame, text: str = "profile") -> DataFrame:
@@ -21,6 +22,11 @@ def read_profiles(profiles: DataFrame, text: str = "profile") -> DataFrame:
     )
 
 
+def announced_facts(title: Column, majors: Column) -> Column:
+    """What an announcement itself says about fields; it does not depend on any reader."""
+    return fields.field_facts(F.array_join(F.concat(F.array(F.coalesce(title, F.lit(""))), majors), " "))
+
+
 def relevance(
     product: Column,
     title: Column,
@@ -30,9 +36,13 @@ def relevance(
     reader_cities: Column,
     graduated: Column,
     label: Column,
+    facts: Column | None = None,
 ) -> Column:
-    """``struct<score, reason>``; NULL when the announcement names nothing to measure by."""
-    hay = F.array_join(F.concat(F.array(F.coalesce(title, F.lit(""))), majors), " ")
+    """``struct<score, reason>``; NULL when the announcement names nothing to measure by.
+
+    ``facts`` may be computed beforehand, once per announcement instead of once
+    per reader of it.
+    """
 
     def judge(seen: Column) -> Column:
         announced, all_majors = seen["announced"], seen["all_majors"]
@@ -80,25 +90,19 @@ def relevance(
             graduate & F.coalesce(~graduated, F.lit(False)), refused
         ).when(~unmeasurable, scored)
 
-    def observe(text: Column) -> Column:
-        return F.struct(
-            fields.field_of(text).alias("announced"),
-            fields.names_a_field(text).alias("names_any"),
-            X.matches(X.normalise_arabic(text), "(?i)" + L.ALL_MAJORS).alias("all_majors"),
-        )
-
-    return X.let(X.let(hay, observe), judge)
+    return let(announced_facts(title, majors) if facts is None else facts, judge)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Scores of (reader, announcement) rows brought together by an equi-join.
 
     Needs ``product, title, majors, cities`` and ``field, reader_cities,
-    graduated, field_label``.
+    graduated, field_label``; a ``facts`` column made before the join is used.
     """
+    facts = F.col("facts") if "facts" in pairs.columns else None
     fit = relevance(
         F.col("product"), F.col("title"), F.col("majors"), F.col("cities"), F.col("field"),
-        F.col("reader_cities"), F.col("graduated"), F.col("field_label"),
+        F.col("reader_cities"), F.col("graduated"), F.col("field_label"), facts,
     )
     return (
         pairs.withColumn("_fit", fit)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-BINDINGS = ["bind_pages", "bind_events", "bind_records", "bind_texts", "bind_orgs"]
+BINDINGS = ["bind_pages", "bind_events", "bind_records", "bind_texts", "bind_orgs", "bind_rounds"]
 
 
 def load_queries() -> None:

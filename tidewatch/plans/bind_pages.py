@@ -547,10 +547,10 @@ def redirect_permissions(spark, sf):
 
 def sitemap_files(spark, sf):
     """Per page a sitemap of the links it carries, and an index that names it."""
-    owned = pages(spark, sf).withColumn("org_id", A.host(F.col("url")))
+    owned = pages(spark, sf).withColumn("origin", A.origin(F.col("url")))
     hrefs = F.transform(
-        H.anchors(F.col("html")),
-        lambda a: F.concat(F.lit("<url><loc>"), A.origin(F.col("url")), a["href"], F.lit("</loc></url>")),
+        F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)),
+        lambda href: F.concat(F.lit("<url><loc>"), F.col("origin"), href, F.lit("</loc></url>")),
     )
     bare = F.substring_index("url", "#", 1)
     leaf = owned.select(

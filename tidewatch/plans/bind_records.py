@@ -455,7 +455,10 @@ def pairs(spark, sf):
         .join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
         .select("c_custkey", "p_partkey").distinct()
     )
-    return bought.join(announcements(spark, sf), "p_partkey").join(profiles(spark, sf), "c_custkey")
+    told = announcements(spark, sf).withColumn(
+        "facts", relevance.announced_facts(F.col("title"), F.col("majors"))
+    )
+    return bought.join(told, "p_partkey").join(profiles(spark, sf), "c_custkey")
 
 
 @query("relevance_scores", f"""

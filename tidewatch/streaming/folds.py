@@ -1,0 +1,104 @@
+"""State kept across micro-batches: health, snapshots and the notice log.
+
+Each batch folds its rows into the previous state with the same operator a batch
+job uses, and writes the result as the version of that batch.  A batch that is
+run again reads the same previous version and writes the same rows, so replays
+change nothing, and no key is ever folded row by row in Python.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from tidewatch import schemas
+from tidewatch.operators import diff, extract, health, release
+from tidewatch.sources import tables
+
+Fold = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+class VersionedState:
+    """A table with one version per batch, in a shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _at(self, batch_id: int) -> str:
+        return f"{self.path}/batch={batch_id}"
+
+    def read(self, batch_id: int) -> DataFrame:
+        """State after ``batch_id``; empty before the first."""
+        if batch_id < 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._at(batch_id))
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(self._at(batch_id))
+
+
+def folding(stream: DataFrame, state: VersionedState, fold: Fold, checkpoint: str) -> DataStreamWriter:
+    """A writer that folds every micro-batch of ``stream`` into ``state``."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state.write(fold(state.read(batch_id - 1), batch), batch_id)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def fold_health(prior: DataFrame, batch: DataFrame) -> DataFrame:
+    """Fetch-log rows into source health; rows older than the state are ignored."""
+    return health.fold_health(prior, batch)
+
+
+def fold_snapshots(prior: DataFrame, batch: DataFrame) -> DataFrame:
+    """Landed fetches into snapshots: the newest fetch of each page is read and compared.
+
+    A fetch older than the last change already recorded is ignored.
+    """
+    from tidewatch.operators.spread import first_per_key
+
+    newest = first_per_key(batch, ["url"], -F.unix_micros(F.col("fetched_at")), F.col("run_id"))
+    known = prior.select("url", F.col("last_changed").alias("_seen"))
+    fresh = newest.join(known, "url", "left").where("_seen IS NULL OR fetched_at > _seen").drop("_seen")
+    read = extract.extract(tables.admit(fresh))
+    verdict = extract.readability(
+        F.col("ok"), F.col("error"), F.lit(None).cast("string"), F.col("title"), F.col("text")
+    )
+    readings = read.select(
+        "url", F.lit(None).cast("string").alias("org_id"), "fetched_at", verdict["outcome"].alias("outcome"),
+        "hash", diff.block_hashes(F.col("blocks")).alias("fresh_hashes"), "chars", "method",
+        F.lit(False).alias("stale_wording"),
+    )
+    return diff.fold_snapshots(readings, prior)
+
+
+def fold_log(prior: DataFrame, batch: DataFrame) -> DataFrame:
+    """Sends into the notice log, kept for its retention as of the newest send.
+
+    A key sent again through the same channel is one entry, the earliest.
+    """
+    rows = prior.unionByName(batch.select(*prior.columns))
+    once = rows.groupBy("reader_id", "key", F.coalesce("via", F.lit("push")).alias("via")).agg(
+        F.min("sent_at").alias("sent_at")
+    )
+    newest = rows.agg(F.max("sent_at")).scalar()
+    kept = F.unix_micros(newest) - F.unix_micros("sent_at") < release.L.LOG_RETENTION_DAYS * 86_400_000_000
+    return once.where(kept).select(*prior.columns)
+
+
+def health_stream(spark: SparkSession, log: DataFrame, folder: str) -> DataStreamWriter:
+    return folding(log, VersionedState(spark, f"{folder}/health", schemas.HEALTH), fold_health, f"{folder}/_health")
+
+
+def snapshot_stream(spark: SparkSession, fetches: DataFrame, folder: str) -> DataStreamWriter:
+    state = VersionedState(spark, f"{folder}/snapshots", schemas.SNAPSHOTS)
+    return folding(fetches, state, fold_snapshots, f"{folder}/_snapshots")
+
+
+def log_stream(spark: SparkSession, sends: DataFrame, folder: str) -> DataStreamWriter:
+    state = VersionedState(spark, f"{folder}/log", schemas.NOTICE_LOG)
+    return folding(sends, state, fold_log, f"{folder}/_log")
