@@ -15,42 +15,39 @@ def _without(col: Column, tags: list[str], to_end: bool = False) -> Column:
     return F.regexp_replace(col, f"(?is)<({'|'.join(tags)})\\b[^>]*>.*?(?:</\\1\\s*>{end})", "")
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# One literal map, parsed once, rather than a call per entity.
+_ENTITY_MAP = "map(" + ", ".join(
+    f"{_literal(name[1:])}, {_literal(char)}" for name, char in [*L.ENTITIES, ("&amp", "&")]
+) + ")"
+
+
 def decode_entities(col: Column) -> Column:
-    """Named and numeric character references, the ampersand itself last."""
+    """Named and numeric character references, each decoded once."""
 
-    def named(text: Column) -> Column:
-        for name, char in L.ENTITIES[:-1]:
-            text = F.replace(text, F.lit(name), F.lit(char))
-        return text
+    def piece(part: Column, i: Column) -> Column:
+        token = F.regexp_extract(part, "^(?:#?[A-Za-z0-9]{1,31};|amp)", 0)
+        named = F.try_element_at(F.expr(_ENTITY_MAP), token)
+        rest = F.substring(part, F.length(token) + 1, F.length(part))
+        decoded = F.concat(F.coalesce(named, _numeric(token)), rest)
+        return F.when(i == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
 
     def decode(text: Column) -> Column:
-        full = F.regexp_replace(let(named(text), _decode_numeric), "&amp;?", "&")
+        full = F.array_join(F.transform(F.split(text, "&"), piece), "")
         return F.when(F.contains(text, F.lit("&")), full).otherwise(text)
 
     return let(col, decode)
 
 
-def _decode_numeric(col: Column) -> Column:
-    """``&#1576;`` and ``&#x628;``: split at the reference, decode its number, join."""
-
-    def char(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-
-    def piece(part: Column, i: Column) -> Column:
-        digits = F.regexp_extract(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(
-            digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10).cast("long")
-        ).otherwise(digits.try_cast("long"))
-        valid = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        rest = F.substring(part, F.length(digits) + 2, F.length(part))
-        return (
-            F.when(i == 0, part)
-            .when(valid, F.concat(char(code), rest))
-            .otherwise(F.concat(F.lit("&#"), part))
-        )
-
-    rebuilt = F.array_join(F.transform(F.split(col, "&#"), piece), "")
-    return F.when(F.contains(col, F.lit("&#")), rebuilt).otherwise(col)
+def _numeric(token: Column) -> Column:
+    """The character of ``#1576;`` or ``#x628;``, NULL for anything else."""
+    hexed = F.conv(F.regexp_extract(token, "^#[xX]([0-9a-fA-F]{1,6});$", 1), 16, 10)
+    code = F.coalesce(hexed, F.regexp_extract(token, "^#([0-9]{1,7});$", 1)).try_cast("long")
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def drop_tags(col: Column) -> Column:

@@ -15,7 +15,7 @@ def matches(col: Column, pattern: str) -> Column:
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
-    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+    return F.transform(F.array(value), body)[0]
 
 
 def squash(col: Column) -> Column:
