@@ -7,9 +7,11 @@ stays in expressions.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +143,13 @@ def parse_reply(reply: Column, page: Column) -> Column:
 
 
 def ask(questions: DataFrame, judge: Judge, insist: bool, batch: int = 64) -> DataFrame:
-    """``fingerprint, excerpt, reply``: the judge over Arrow batches, one call per batch."""
+    """``fingerprint, excerpt, reply``: the judge over Arrow batches, one call per batch.
+
+    The judge's own module travels with it, so executors need not have it installed.
+    """
+    home = sys.modules.get(getattr(judge, "__module__", None))
+    if home is not None and home.__name__ != "__main__":
+        register_pickle_by_value(home)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

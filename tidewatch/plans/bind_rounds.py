@@ -13,7 +13,7 @@ from tidewatch.plans.bind_events import LOG, STREAK
 from tidewatch.plans.bind_pages import CHANGE_CTE, NEW_BLOCKS_CTE, pages, prior_snapshots
 from tidewatch.plans.registry import query, table
 from tidewatch.plans.sqltext import HOST, TITLE_OF
-from tidewatch.session import scratch_dir
+from tidewatch.session import cut, scratch_dir
 from tidewatch.streaming import folds
 
 
@@ -49,7 +49,7 @@ def collection_round(spark, sf):
         F.lit("text/html").alias("content_type"), none.cast("long").alias("bytes"), none.cast("string").alias("error"),
         F.col("url").alias("final_url"),
     )
-    readings = rounds.read_pages(fetches, None)
+    readings = cut(rounds.read_pages(fetches, None))
     payloads = rounds.changed_payloads(readings, prior_snapshots(spark, sf))
     asked = rounds.routed(payloads, page_sources(spark, sf)).where("settled IS NULL")
     slim = asked.select(

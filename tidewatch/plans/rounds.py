@@ -47,7 +47,7 @@ def read_pages(fetches: DataFrame, book: DataFrame | None, records_: DataFrame |
             "error": F.col("_v.error"),
             "fresh_hashes": diff.block_hashes(F.col("blocks")),
         }
-    ).drop("_v", "refused")
+    ).drop("_v", "refused", "ok", "status", "content_type", "bytes", "final_url")
     if records_ is None:
         return out.withColumn("stale_wording", F.lit(False))
     stale = guard.stale_wording(records_, out.where("outcome = 'ok'")).select("url").distinct()
@@ -92,8 +92,8 @@ def collection_round(
     """One round from landed fetches to the next version of every table.
 
     ``reader`` is the one profile scores are measured against, as a one-row table.
-    Readings and answers are checkpointed: each feeds several tables, and neither
-    the extraction nor a question should ever be paid for twice.
+    Every table that feeds several others is checkpointed, so neither an
+    extraction nor a question is ever paid for twice and plans stay small.
     """
     readings = cut(read_pages(fetches, book, prior_records))
     folded = diff.fold_snapshots(readings, snapshots)
@@ -115,16 +115,18 @@ def collection_round(
     ).withColumnRenamed("payload", "text")
 
     who = {c: reader.select(c).scalar() for c in ("field", "reader_cities", "graduated", "field_label")}
-    beside = records.prior_records(told, prior_records).withColumns(who)
+    beside = cut(records.prior_records(told, prior_records).withColumns(who))
     says = F.coalesce(F.col("verdict.isTrainingAnnouncement"), F.lit(False))
-    positive = records.from_verdicts(beside.where(F.col("ok") & says), as_of)
-    negative = told.where(F.col("ok") & ~says).select("url")
+    positive = cut(records.from_verdicts(beside.where(F.col("ok") & says), as_of))
+    negative = beside.where(F.col("ok") & ~says).select("url")
     failed = beside.where(~F.col("ok"))
-    merged = records.merge_round(
-        prior_records, positive, negative, failed.select("url", "stage", "reason"),
-        records.placeholders(failed, as_of),
+    merged = cut(
+        records.merge_round(
+            prior_records, positive, negative, failed.select("url", "stage", "reason"),
+            records.placeholders(failed, as_of),
+        )
     )
-    done = told.where("ok").select("url")
+    done = beside.where("ok").select("url")
     snaps = routing.give_up(folded, failed)
     snaps = (
         snaps.join(done.distinct().withColumn("_done", F.lit(True)), "url", "left")
@@ -133,7 +135,7 @@ def collection_round(
         .withColumn("pending", F.when(F.col("_done") | F.col("settled").isNotNull(), F.lit(False)).otherwise(F.col("pending")))
         .drop("_done", "settled")
     )
-    snaps = diff.promote_base(snaps, readings)
+    snaps = cut(diff.promote_base(snaps, readings))
     merged = records.drop_settled_placeholders(merged, snaps)
     stale = guard.stale_wording(merged, readings.where("outcome = 'ok'"))
     merged = records.restate(records.drop_false(merged, stale), as_of)

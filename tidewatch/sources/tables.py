@@ -13,7 +13,6 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return (
         spark.read.schema(schema)
         .option("multiLine", True)
-        .option("encoding", "UTF-8")
         .option("mode", "FAILFAST")
         .json(path)
     )
