@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ def scan(texts: DataFrame, keys: list[str], text: str = "text", origin: str | No
             )
 
         applies = body.rlike(pattern)
+        needles = [F.contains(body, F.lit(needle)) for needle in L.PRIVACY_NEEDLES.get(name, [])]
+        if needles:
+            applies = reduce(or_, needles) & applies
         if exempt and origin:
             applies = applies & ~matches(F.col(origin), exempt)
         found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))

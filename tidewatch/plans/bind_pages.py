@@ -552,7 +552,7 @@ def sitemap_files(spark, sf):
         F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)),
         lambda href: F.concat(F.lit("<url><loc>"), F.col("origin"), href, F.lit("</loc></url>")),
     )
-    bare = F.substring_index("url", "#", 1)
+    bare = F.concat(F.substring_index("url", "#", 1), F.lit("/p"), F.col("page_id").cast("string"))
     leaf = owned.select(
         F.concat(bare, F.lit("/sitemap.xml")).alias("url"),
         (~F.contains("url", F.lit("?page="))).alias("ok"),
@@ -572,7 +572,9 @@ def sitemap_files(spark, sf):
 def sitemap_roots(spark, sf):
     return pages(spark, sf).select(
         A.origin(F.col("url")).alias("origin"),
-        F.concat(F.substring_index("url", "#", 1), F.lit("/index.xml")).alias("url"),
+        F.concat(
+            F.substring_index("url", "#", 1), F.lit("/p"), F.col("page_id").cast("string"), F.lit("/index.xml")
+        ).alias("url"),
     )
 
 
