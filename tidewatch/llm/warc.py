@@ -82,21 +82,29 @@ def write_archive(pages: DataFrame, folder: str, least: int = 1000) -> Archive:
         ),
         "records",
     )
-    best = stored(slim.groupBy("payload_key").agg(F.max("page_id").alias("holder")), "holders")
+    counted = slim.groupBy("payload_key", "page_id").agg(F.count("*").alias("rows"))
+    top = F.max(F.struct("page_id", "rows")).alias("_top")
+    best = counted.groupBy("payload_key").agg(top).select("payload_key", F.col("_top.page_id").alias("holder"), F.col("_top.rows").alias("rows"))
+    best = stored(best, "holders")
     beside = slim.join(best, "payload_key")
     small = F.col("bytes") < least
     kind = F.when(small | F.col("page_id").eqNullSafe(F.col("holder")), "response").otherwise("revisit")
     headers = beside.withColumn("_kind", kind).select(
         "page_id", "payload_key", _header(F.col("_kind"), F.col("page_id"), F.col("holder")).alias("header")
     )
-    headers.write.parquet(f"{folder}/headers")
-    # The holder's row brings the bytes. The second step only matters where rows repeat a page_id.
+    headers.write.option("compression", "zstd").parquet(f"{folder}/headers")
     keyed = pages.select("page_id", F.sha2(payload, 256).alias("payload_key"), payload.alias("payload"))
-    held = keyed.join(
-        best.select(F.col("holder").alias("_id"), F.col("payload_key").alias("_key")),
-        (F.col("payload_key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_id")), "left_semi",
-    )
-    held.select("payload_key", "payload").dropDuplicates(["payload_key"]).write.parquet(f"{folder}/payloads")
+
+    def held(holders: DataFrame) -> DataFrame:
+        """The bytes come from the holder's row, so no copy of them moves with a frequent key."""
+        named = holders.select(F.col("holder").alias("_id"), F.col("payload_key").alias("_key"))
+        on = (F.col("payload_key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_id"))
+        return keyed.join(named, on, "left_semi").select("payload_key", "payload")
+
+    kept = held(best.where("rows = 1"))
+    if not (several := best.where("rows > 1")).isEmpty():  # rows that repeat a page_id and its html
+        kept = kept.unionByName(held(several).dropDuplicates(["payload_key"]))
+    kept.write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return read_archive(pages.sparkSession, folder)
 
 
@@ -133,17 +141,21 @@ def record_bytes(archive: Archive) -> DataFrame:
 
 
 def report(archive: Archive) -> DataFrame:
-    """Per record, read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, verified``."""
-    digest = F.sha1("payload")
+    """Per record, read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, verified``.
+
+    What is told of a payload is computed from its stored bytes once, and joined to
+    the records that have it.
+    """
+    told = archive.payloads.select(
+        "payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+        (F.sha2("payload", 256) == F.col("payload_key")).alias("_intact"),
+    )
     refers = _field("X-Refers-To-Page")
-    return records(archive).select(
-        "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"),
+    same = F.concat(F.lit("sha1:"), F.col("payload_digest")) == _field("WARC-Payload-Digest")
+    return archive.headers.join(told, "payload_key", "left").select(
+        "page_id", "payload_bytes", "payload_digest", _field("WARC-Type").alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
-        _field("WARC-Target-URI").alias("url"),
-        (F.col("intact") & (F.concat(F.lit("sha1:"), digest) == _field("WARC-Payload-Digest"))).alias("verified"),
+        _field("WARC-Target-URI").alias("url"), F.coalesce(F.col("_intact") & same, F.lit(False)).alias("verified"),
     )
 
 
