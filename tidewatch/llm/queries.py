@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, exact, licences, quality, simhash, warc
+from tidewatch.llm import article, chat, exact, fmindex, licences, lines, mix, quality, simhash, warc
 from tidewatch.plans.registry import table
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +20,56 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_article_text", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS body FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(body, '</?(p|h1)>', chr(1), 'g'), chr(1)) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d""")
+def op1(spark, sf):
+    return article.main_texts(table(spark, sf, "pages"))
+
+
+@query("op2_line_dedup", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.*, s.first IS NOT NULL AND s.first <> k.doc_id AS gone FROM k LEFT JOIN s USING (key)),
+o AS (SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS text FROM j GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM o""")
+def op2(spark, sf):
+    return lines.line_dedup(table(spark, sf, "documents")).drop("text")
+
+
+@query("op3_source_mix")
+def op3(spark, sf):
+    return mix.mixture(table(spark, sf, "documents"))
+
+
+@query("op4_fm_decontamination", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i : i + least(len(ws), 13) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - 12, 1))) AS i FROM b WHERE len(ws) > 0)),
+z AS (SELECT DISTINCT n FROM p),
+g AS (SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM w, z WHERE len(ws) >= n)),
+h AS (SELECT g.doc_id, p.item_id, g.i, g.n FROM g JOIN p USING (n, phrase)),
+u AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS k FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(u.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+  coalesce(u.n_hit, 0) > 0 AND 20 * coalesce(u.n_hit, 0) >= len(w.ws) AS contaminated
+FROM w LEFT JOIN u USING (doc_id) LEFT JOIN t USING (doc_id)""")
+def op4(spark, sf):
+    return fmindex.verdicts(fmindex.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
