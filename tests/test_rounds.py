@@ -52,7 +52,7 @@ def test_a_round_twice_is_a_no_op(spark):
 
     def run(snapshots, records_, memory, when):
         landed = fetches(spark, pages, when).withColumn("org_id", F.regexp_extract("url", "//([a-z])", 1))
-        return rounds.collection_round(landed, None, sources, snapshots, records_, memory, reader, "m", rule_judge, at(when))
+        return rounds.collection_round(landed, None, sources, snapshots, records_, memory, reader, "m", rule_judge, at(when), None)
 
     first = run(spark.createDataFrame([], schemas.SNAPSHOTS), spark.createDataFrame([], schemas.RECORDS), empty_memory, "2026-08-01 09:00:00")
     recs = first.records.collect()
@@ -70,6 +70,141 @@ def test_a_round_twice_is_a_no_op(spark):
     assert {u: (r.content_hash, r.block_hashes, r.pending) for u, r in after.items()} == {u: (r.content_hash, r.block_hashes, r.pending) for u, r in snaps.items()}
 
 
+ABOUT = "We announce a student career page for everybody who studies. "
+PLAIN = "Board approves the annual financial statements of the year. "
+
+
+class Rounds:
+    """Rounds one after another, each from what the last one left."""
+
+    def __init__(self, spark):
+        from tidewatch.operators.judge import VERDICT_TYPE
+
+        self.spark = spark
+        self.snapshots = spark.createDataFrame([], schemas.SNAPSHOTS)
+        self.records = spark.createDataFrame([], schemas.RECORDS)
+        self.memory_type = f"fingerprint string, verdict {VERDICT_TYPE}, model string, written_at timestamp"
+        self.memory = spark.createDataFrame([], self.memory_type)
+        self.health = spark.createDataFrame([], schemas.HEALTH)
+        self.day = 0
+
+    def run(self, pages, ask, budget=None, first_ask=None, always=()):
+        spark = self.spark
+        self.day += 1
+        when = f"2026-08-{self.day:02d} 09:00:00"
+        landed = fetches(spark, pages, when).withColumn("org_id", F.regexp_extract("url", "//([a-z0-9]+)", 1))
+        sources = spark.createDataFrame([(u, u in always, "site_root") for u, _ in pages], "url string, coop_confirmed boolean, type string")
+        reader = spark.createDataFrame([("cyber", [], False, "x")], "field string, reader_cities array<string>, graduated boolean, field_label string")
+        out = rounds.collection_round(
+            landed, None, sources, self.snapshots, self.records, self.memory, reader, "m", ask, at(when), budget, first_ask, self.health)
+        fixed = lambda df, schema: spark.createDataFrame(df.collect(), schema)
+        self.snapshots = fixed(out.snapshots, schemas.SNAPSHOTS)
+        self.records = fixed(out.records, schemas.RECORDS)
+        self.memory = fixed(out.memory, self.memory_type)
+        self.health = fixed(out.health, schemas.HEALTH)
+        self.over = out.over_budget.count()
+        return {r.url: r for r in self.snapshots.collect()}
+
+
+def bad_judge(excerpts, insist):
+    return ["no json"] * len(excerpts)
+
+
+def test_owed_pages_are_asked_again_until_given_up(spark):
+    state = Rounds(spark)
+    pages = [("https://a.sa/careers", body(ABOUT * 6))]
+    url = pages[0][0]
+    one = state.run(pages, None)[url]
+    assert (one.pending, one.judge_failures) == (True, 1) and state.records.count() == 1
+    two = state.run(pages, rule_judge)[url]
+    assert (two.pending, two.judge_failures) == (False, None)
+    assert [r.title for r in state.records.collect()] == ["student career page"]
+    pages = [(url, body((ABOUT + "Something new stands here now, and it is long. ") * 6))]
+    seen = [state.run(pages, bad_judge)[url] for _ in range(4)]
+    assert [(r.pending, r.judge_failures) for r in seen] == [(True, 1), (True, 2), (False, 3), (False, 3)]
+    assert {(r.url, r.state, r.consecutive_failures) for r in state.health.collect()} == {(url, "healthy", 0)}
+
+
+def test_only_questions_are_charged(spark):
+    state = Rounds(spark)
+    plain = [(f"https://b{i}.sa/news", body(PLAIN * (6 + i))) for i in range(6)]
+    copies = [(f"https://c{i}.sa/", body(ABOUT * 6)) for i in range(3)]
+    other = [("https://d.sa/", body((ABOUT + "Another thing altogether is said here. ") * 6))]
+    after = state.run(plain + copies + other, rule_judge, budget=10)
+    # The text that crosses the budget is the last one asked; its copies are one question.
+    asked = {u for u, r in after.items() if not r.pending and r.settled_without_verdict is None}
+    assert asked == {u for u, _ in copies} or asked == {other[0][0]}
+    assert all(after[u].settled_without_verdict == "no_training_word" for u, _ in plain) and state.over == 1
+    later = state.run(plain + copies + other, rule_judge, budget=10)
+    assert not any(r.pending for r in later.values()) and state.over == 0
+
+
+def test_a_first_no_settles_the_round_and_is_not_remembered(spark):
+    state = Rounds(spark)
+    pages = [("https://a.sa/", body(ABOUT * 6)), ("https://b.sa/", body((ABOUT + "Also this, which is confirmed and long. ") * 6))]
+    after = state.run(pages, rule_judge, first_ask=lambda excerpts, insist: ["no"] * len(excerpts), always={"https://b.sa/"})
+    assert after["https://a.sa/"].settled_without_verdict == "triaged_out" and not after["https://a.sa/"].pending
+    assert after["https://b.sa/"].settled_without_verdict is None and state.memory.count() == 1
+
+
+def test_texts_of_unchanged_pages_are_not_kept(spark):
+    state = Rounds(spark)
+    pages = [("https://a.sa/", body(ABOUT * 6)), ("https://b.sa/", body(PLAIN * 6))]
+    state.run(pages, rule_judge)
+    landed = fetches(spark, pages, "2026-09-01 09:00:00").withColumn("org_id", F.lit("o"))
+    told = rounds.told_apart(rounds.read_pages(landed, None), state.snapshots, state.records)
+    assert [(r.text, r.blocks, r.title) for r in told.collect()] == [(None, None, None)] * 2
+    assert all(r.fresh_hashes for r in told.collect())
+
+
+@pytest.mark.parametrize("many", [2, 200, 201])
+def test_joint_notice_has_one_key_form(spark, many):
+    from tidewatch.operators import notices
+
+    states = "url string, org_id string, state string, consecutive_failures long"
+    before = spark.createDataFrame([(f"u{i}", f"o{i}", "healthy", 0) for i in range(many)], states)
+    after = spark.createDataFrame([(f"u{i}", f"o{i}", "broken", 9) for i in range(many)], states)
+    names = spark.createDataFrame([(f"o{i}", f"n{i}") for i in range(many)], "org_id string, name string")
+    got = notices.broken_notices(before, after, names, at("2026-08-01 09:00:00")).collect()
+    assert len(got) == 1 and str(many) in got[0].title
+    assert __import__("re").fullmatch(r"broken:2026-08-01:[0-9a-f]{32}", got[0].key)
+    fewer = notices.broken_notices(before, after.where("url <> 'u0'"), names, at("2026-08-01 09:00:00")).collect()
+    assert fewer[0].key != got[0].key
+
+
+def test_waiting_broken_notices_collapse(spark):
+    from tidewatch.operators import release
+
+    t = dt.datetime(2026, 8, 1)
+    rows = [(1, f"broken:u{i}", "source_broken", "t", "b", 150.0, None, t + dt.timedelta(hours=i)) for i in range(3)]
+    rows += [(2, "broken:u9", "source_broken", "t", "b", 150.0, None, t), (1, "new:x", "new_relevant", "t", "b", 90.0, "x", t)]
+    got = release.collapse_broken(spark.createDataFrame(rows, schemas.NOTICES), at("2026-08-02 09:00:00")).collect()
+    assert sorted((r.reader_id, r.key, r.queued_at) for r in got) == [
+        (1, "broken:2026-08-02:carried", t), (1, "new:x", t), (2, "broken:u9", t)]
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark):
+    from tidewatch import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return {"spark.master": "spark://somewhere:7077"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    fake = type("S", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(ValueError):
+        session.scratch_dir(fake)
+
+
+def test_extraction_runs_once_for_each_scan(spark, sf):
+    for name in ("page_blocks", "new_blocks", "delta_payload", "changed_pages"):
+        plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("(script|style)") == plan.count("pages.parquet") or plan.count("(script|style)") <= plan.count("Relation"), name
+
+
 def test_notification_round(spark):
     names = spark.createDataFrame([("o", "n")], "org_id string, name string")
     none = spark.createDataFrame([], schemas.RECORDS)
@@ -103,12 +238,16 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_snapshot_and_log_folds(spark):
-    empty = spark.createDataFrame([], schemas.SNAPSHOTS)
+    empty = spark.createDataFrame([], schemas.STREAM_SNAPSHOTS)
     text = "This sentence is long enough to be a block of its own. " * 8
     one = folds.fold_snapshots(empty, fetches(spark, [("https://a.sa/", body(text))], "2026-08-01 09:00:00"))
     rows = one.collect()
     assert rows[0].pending and rows[0].first_seen == dt.datetime(2026, 8, 1, 9)
-    kept = spark.createDataFrame(rows, schemas.SNAPSHOTS)
+    kept = spark.createDataFrame(rows, schemas.STREAM_SNAPSHOTS)
+    again = folds.fold_snapshots(kept, fetches(spark, [("https://a.sa/", body(text))], "2026-08-03 09:00:00")).collect()
+    known = spark.createDataFrame(again, schemas.STREAM_SNAPSHOTS)
+    between = folds.fold_snapshots(known, fetches(spark, [("https://a.sa/", body("other " + text))], "2026-08-02 09:00:00")).collect()
+    assert between[0].content_hash == rows[0].content_hash and between[0].last_attempt == dt.datetime(2026, 8, 3, 9)
     late = folds.fold_snapshots(kept, fetches(spark, [("https://a.sa/", body("older " + text))], "2026-07-01 09:00:00")).collect()
     assert late[0].content_hash == rows[0].content_hash
     log = spark.createDataFrame([(1, "k", dt.datetime(2026, 8, 1), None), (1, "old", dt.datetime(2026, 6, 1), "push")], schemas.NOTICE_LOG)

@@ -68,7 +68,7 @@ def _star(members: DataFrame, group: list[str], evidence: str) -> DataFrame:
     joined = members.withColumn("_g", F.sha2(F.concat_ws("\x01", *group), 256))
     hubs = keepers.withColumn("_g", F.sha2(F.concat_ws("\x01", *group), 256)).select("_g", "keep_id")
     return (
-        spread_join(joined.select("_g", "org_id"), hubs, "_g", "inner", salts=16)
+        spread_join(joined.select("_g", "org_id"), hubs, "_g", "inner")
         .where("org_id <> keep_id")
         .select("keep_id", F.col("org_id").alias("drop_id"), F.lit(evidence).alias("reason"))
     )

@@ -10,6 +10,16 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions import text as X
 
 
+def settled(column: Column) -> Column:
+    """The same value, as an expression that nothing is pushed through.
+
+    The optimizer moves filters, also ones it infers, below the projection that
+    computes a column and computes it again there.  An id that is never negative
+    stops that, so what is expensive runs once per row.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace the markup column by what a reader would see.
 
@@ -27,7 +37,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         (F.length(body) > F.length(article) * L.BODY_WINS_FACTOR)
         & (F.length(body) > L.MIN_ARTICLE_CHARS)
     )
-    return (
+    read = (
         texts.withColumn("method", F.when(takes_article, "article").otherwise("body_fallback"))
         .withColumn("text", F.when(F.col("method") == "article", article).otherwise(body))
         .withColumn("chars", F.length("text"))
@@ -35,6 +45,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         .withColumn("blocks", H.blocks(body))
         .drop(html, "_markup", "_article")
     )
+    made = ["title", "body", "method", "text", "chars", "hash", "blocks"]
+    return read.withColumns({c: settled(F.col(c)) for c in made})
 
 
 def exploded_blocks(extracts: DataFrame, keys: list[str]) -> DataFrame:

@@ -92,16 +92,30 @@ def verdict_offences(page: Column, verdict: Column) -> Column:
     )
 
 
-def record_offences(page: Column) -> Column:
+CLAIMS = ["title", "zero_courses_quote", "majors", "cities", "states_zero_courses_rule"]
+
+
+def record_offences(page: Column, of=F.col) -> Column:
     """The guard over a stored record's own columns; a placeholder claims no title."""
-    title = F.when(F.col("title") != L.UNJUDGED_TITLE, F.col("title"))
+    title = F.when(of("title") != L.UNJUDGED_TITLE, of("title"))
     nothing = F.lit(None).cast("string")
     return invented_wording(
-        page, title, F.col("zero_courses_quote"), nothing, nothing, F.col("majors"),
-        F.col("cities"), F.col("states_zero_courses_rule"),
+        page, title, of("zero_courses_quote"), nothing, nothing, of("majors"), of("cities"), of("states_zero_courses_rule"),
     )
 
 
+def claims_by_page(records: DataFrame) -> DataFrame:
+    """``url, claims``: what the judged records of a page say it says; a page has few records."""
+    judged = records.where(F.col("title") != L.UNJUDGED_TITLE)
+    return judged.groupBy("url").agg(F.collect_list(F.struct(*CLAIMS)).alias("claims"))
+
+
+def disproved(page: Column, claims: Column) -> Column:
+    """Whether some claim is not on the page."""
+    wrong = F.exists(claims, lambda c: F.size(record_offences(page, lambda name: c[name])) > 0)
+    return F.coalesce(wrong, F.lit(False))
+
+
 def stale_wording(records: DataFrame, texts: DataFrame) -> DataFrame:
     """Records whose wording is no longer on the page read this round: ``url, offences``."""
     judged = records.where(F.col("title") != L.UNJUDGED_TITLE)

@@ -12,7 +12,6 @@ from tidewatch.operators.health import coverage_drop, newly_broken
 from tidewatch.operators.spread import first_per_key, spread_join
 
 NOTICE_COLUMNS = ["key", "kind", "title", "body", "weight", "announcement"]
-NAMES_IN_BODY = 200
 
 
 def details(as_of: Column) -> Column:
@@ -124,14 +123,13 @@ def record_notices(before: DataFrame, after: DataFrame, names: DataFrame, thresh
 def broken_notices(before: DataFrame, after: DataFrame, names: DataFrame, as_of: Column) -> DataFrame:
     """One notice per newly broken source, or a single one when several broke at once.
 
-    The joint notice names the first 200 and counts all; ``newly_broken`` is the
-    full list.
+    The joint notice counts them, and its key is a digest of the whole set, so its form
+    does not depend on how many there are; ``newly_broken`` has their names.
     """
     broken = newly_broken(before, after).select("url", "org_id")
     named = spread_join(broken, names.select("org_id", "name"), "org_id").withColumn(
         "_name", F.coalesce("name", "org_id")
     )
-    total = named.agg(F.count("*"))
     prefix = F.lit(L.NOTICE_TITLES["source_broken"])
     single = named.where(named.agg(F.count("*")).scalar() == 1).select(
         F.concat(F.lit("broken:"), F.col("url")).alias("key"),
@@ -139,27 +137,15 @@ def broken_notices(before: DataFrame, after: DataFrame, names: DataFrame, as_of:
         F.concat(prefix, F.col("_name")).alias("title"),
         F.lit(L.NOTICE_BODIES["source_broken"]).alias("body"),
     )
-    listed = (
-        named.orderBy("_name", "url").limit(NAMES_IN_BODY)
-        .agg(F.array_sort(F.collect_list("_name")).alias("_names"))
-        .withColumn("_n", total.scalar())
-        .withColumn("_digest", named.agg(F.bit_xor(F.xxhash64("_name", "url"))).scalar())
-        .where("_n > 1")
-    )
-    day = D.riyadh_day(as_of).cast("string")
-    whole = F.col("_n") <= NAMES_IN_BODY
-    joint = listed.select(
-        F.concat_ws(
-            ":", F.lit("broken"), day,
-            F.when(whole, F.array_join("_names", "|")).otherwise(F.hex("_digest")),
-        ).alias("key"),
+    together = named.agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_name", "url")).alias("_a"), F.sum(F.xxhash64("url", "_name").cast("decimal(38,0)")).alias("_b")
+    ).where("_n > 1")
+    digest = F.substring(F.sha2(F.concat_ws("|", "_n", "_a", "_b"), 256), 1, 32)
+    joint = together.select(
+        F.concat_ws(":", F.lit("broken"), D.riyadh_day(as_of).cast("string"), digest).alias("key"),
         F.lit("source_broken").alias("kind"),
         F.concat(F.lit("🔴 "), F.col("_n").cast("string"), F.lit(" مصادر توقّفت")).alias("title"),
-        F.concat(
-            F.array_join("_names", "، "),
-            F.when(whole, "").otherwise("، …"),
-            F.lit(L.NOTICE_BODIES["sources_broken_suffix"]),
-        ).alias("body"),
+        F.lit(L.NOTICE_BODIES["sources_broken"]).alias("body"),
     )
     return single.unionByName(joint).select(
         "*",

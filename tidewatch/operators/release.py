@@ -115,6 +115,28 @@ def release(notices: DataFrame, log: DataFrame, as_of: Column, quiet: bool, by:
     )
 
 
+def collapse_broken(pending: DataFrame, as_of: Column, by: str = "reader_id") -> DataFrame:
+    """A reader's waiting notices about broken sources become one, which counts them.
+
+    They are one piece of news.  It keeps the place of the one queued first and the
+    weight of the heaviest; the sources themselves stay in the health table.
+    """
+    broken = F.col("kind") == "source_broken"
+    counted = pending.where(broken).groupBy(by).agg(
+        F.count("*").alias("_n"), F.max("weight").alias("weight"), F.min("queued_at").alias("queued_at")
+    ).where("_n > 1")
+    several = counted.select(
+        by,
+        F.concat_ws(":", F.lit("broken"), D.riyadh_day(as_of).cast("string"), F.lit("carried")).alias("key"),
+        F.lit("source_broken").alias("kind"),
+        F.concat(F.lit("🔴 "), F.col("_n").cast("string"), F.lit(" مصادر توقّفت")).alias("title"),
+        F.lit(L.NOTICE_BODIES["sources_broken"]).alias("body"),
+        "weight", F.lit(None).cast("string").alias("announcement"), "queued_at",
+    )
+    alone = pending.join(counted.select(by, F.lit(True).alias("_many")), by, "left").where(~broken | F.col("_many").isNull())
+    return alone.select(*pending.columns).unionByName(several.select(*pending.columns))
+
+
 def carry(pending: DataFrame, fresh: DataFrame, live: DataFrame, as_of: Column, by: str = "reader_id") -> DataFrame:
     """The queue of this round: what waited, then what is new, one row per key.
 

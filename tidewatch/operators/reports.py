@@ -25,7 +25,7 @@ def collapse(records: DataFrame) -> DataFrame:
     best = F.struct((-F.coalesce(F.col("score"), F.lit(-1))).alias("s"), F.col("id").alias("i"))
     leads = keyed.groupBy("announcement").agg(F.min(best).alias("_b"), F.count("*").alias("pages"))
     slim = leads.select("announcement", F.col("_b.i").alias("lead_id"), "pages")
-    return spread_join(keyed, slim, "announcement", "inner", salts=16).withColumn(
+    return spread_join(keyed, slim, "announcement", "inner").withColumn(
         "is_lead", F.col("id") == F.col("lead_id")
     )
 

@@ -9,7 +9,7 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions.messages import verdict_failure
 from tidewatch.functions.text import fingerprint, matches, mentions_training
 from tidewatch.operators.guard import verdict_offences
-from tidewatch.operators.spread import first_per_key, running_total, spread_join
+from tidewatch.operators.spread import first_row_per_key, running_total, spread_join
 
 
 def always_judge(coop_confirmed: Column, source_type: Column) -> Column:
@@ -55,7 +55,8 @@ def cheap_filter(pages: DataFrame) -> DataFrame:
 def within_budget(pages: DataFrame, budget: int, key: str = "url", cost: Column | None = None) -> DataFrame:
     """Mark the prefix, by rank, that fits a budget; the page that crosses it is the last paid.
 
-    Cost is the length of the text, the one price that repeats exactly.
+    Cost is the length of the text, the one price that repeats exactly.  Charge
+    questions, one row per text to be asked: pages settled without asking are free.
     """
     priced = pages.withColumn("cost", F.length("payload").cast("long") if cost is None else cost)
     spent = running_total(priced, "rank", key, "cost", "spent")
@@ -74,7 +75,7 @@ def remember(pages: DataFrame, memory: DataFrame) -> DataFrame:
     remembered wording is not on this page) or miss.
     """
     slim = memory.select("fingerprint", F.col("verdict").alias("_verdict"), F.lit(True).alias("_known"))
-    joined = spread_join(pages, slim, "fingerprint", "left", salts=16)
+    joined = spread_join(pages, slim, "fingerprint", "left")
     verdict = F.col("_verdict")
     offences = F.when(verdict.isNotNull(), verdict_offences(F.col("payload"), verdict))
     state = (
@@ -102,16 +103,18 @@ def bound_memory(memory: DataFrame, keep: int = L.MAX_REMEMBERED_VERDICTS) -> Da
     return memory.orderBy(F.desc("written_at"), "fingerprint").limit(keep)
 
 
-def distinct_questions(pages: DataFrame) -> DataFrame:
-    """Each text asked once: ``fingerprint, payload`` of the best-ranked page carrying it."""
-    return first_per_key(
-        pages.select("fingerprint", "rank", "payload"), ["fingerprint"], F.col("rank"), F.col("payload")
-    )
+def distinct_questions(pages: DataFrame, key: str = "url") -> DataFrame:
+    """Each text asked once: ``fingerprint, rank, payload`` of the best-ranked page carrying it.
+
+    The page is chosen on slim rows; texts are only looked up for the chosen ones.
+    """
+    slim = pages.select("fingerprint", "rank", key, "payload")
+    return first_row_per_key(slim, ["fingerprint"], ["rank", key]).drop(key)
 
 
 def settle(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """Give every page the answer its text received."""
-    return spread_join(pages, answers, "fingerprint", "left", salts=16)
+    return spread_join(pages, answers, "fingerprint", "left")
 
 
 def give_up(snapshots: DataFrame, failed: DataFrame, key: str = "url") -> DataFrame:

@@ -99,13 +99,21 @@ def step_summary(
     return joined
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join to a side that is unique per key when the left side may be hot on it.
 
-    The right side is repeated once per salt, so a hot key's rows meet their one
-    match in ``salts`` tasks.  For slim right sides only.
+    The right side moves once.  A hot key's rows on the left are cut into pieces at
+    run time (adaptive skew join; its threshold is set with the session), each of
+    which meets the one row it needs.
     """
-    columns = [c for c in left.columns if c != key]
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return left.join(right, key, how)
+
+
+def first_row_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One whole row per key, the smallest by the columns ``order``, for wide rows.
+
+    Only the keys and ``order`` are sorted to find the winner, then the winner's row is
+    looked up; (keys, order) must identify a row, and order must not be NULL.
+    """
+    best = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_best")).select(*keys, *[F.col("_best")[c].alias(c) for c in order])
+    return df.join(best, [*keys, *order], "left_semi")

@@ -49,9 +49,9 @@ def collection_round(spark, sf):
         F.lit("text/html").alias("content_type"), none.cast("long").alias("bytes"), none.cast("string").alias("error"),
         F.col("url").alias("final_url"),
     )
-    readings = cut(rounds.read_pages(fetches, None))
-    payloads = rounds.changed_payloads(readings, prior_snapshots(spark, sf))
-    asked = rounds.routed(payloads, page_sources(spark, sf)).where("settled IS NULL")
+    prior = prior_snapshots(spark, sf)
+    told = cut(rounds.told_apart(rounds.read_pages(fetches, None), prior))
+    asked = rounds.routed(rounds.owed_payloads(told, prior), page_sources(spark, sf)).where("settled IS NULL")
     slim = asked.select(
         A.host(F.col("url")).alias("host"), "url", "rank", F.length("payload").alias("chars"), "fingerprint"
     )

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import diff, extract, guard, judge, notices, records, release, routing
+from tidewatch import schemas
+from tidewatch.operators import diff, extract, guard, health, judge, notices, records, release, routing
 from tidewatch.operators.extract import exploded_blocks
 from tidewatch.session import cut
 from tidewatch.sources import robots, tables
@@ -15,15 +16,18 @@ from tidewatch.sources import robots, tables
 
 @dataclass
 class Round:
-    """Tables a collection round leaves behind."""
+    """Tables a collection round leaves behind; ``over_budget`` are the texts left for a later round."""
 
     readings: DataFrame
     snapshots: DataFrame
     records: DataFrame
     memory: DataFrame
+    health: DataFrame
+    tally: DataFrame
+    over_budget: DataFrame
 
 
-def read_pages(fetches: DataFrame, book: DataFrame | None, records_: DataFrame | None = None) -> DataFrame:
+def read_pages(fetches: DataFrame, book: DataFrame | None) -> DataFrame:
     """Landed fetches as readings: one row per page with its outcome and, when read, its text.
 
     The markup is dropped as soon as it is read; nothing after this carries it.
@@ -41,39 +45,54 @@ def read_pages(fetches: DataFrame, book: DataFrame | None, records_: DataFrame |
     verdict = extract.readability(
         F.col("ok"), F.col("error"), F.col("refused"), F.col("title"), F.col("text")
     )
-    out = read.withColumn("_v", verdict).withColumns(
+    return read.withColumn("_v", extract.settled(verdict)).withColumns(
         {
             "outcome": F.col("_v.outcome"),
             "error": F.col("_v.error"),
-            "fresh_hashes": diff.block_hashes(F.col("blocks")),
+            "fresh_hashes": extract.settled(diff.block_hashes(F.col("blocks"))),
         }
     ).drop("_v", "refused", "ok", "status", "content_type", "bytes", "final_url")
-    if records_ is None:
-        return out.withColumn("stale_wording", F.lit(False))
-    stale = guard.stale_wording(records_, out.where("outcome = 'ok'")).select("url").distinct()
-    return (
-        out.join(stale.withColumn("_stale", F.lit(True)), "url", "left")
-        .withColumn("stale_wording", F.coalesce("_stale", F.lit(False)))
-        .drop("_stale")
+
+
+def told_apart(readings: DataFrame, snapshots: DataFrame, prior_records: DataFrame | None = None) -> DataFrame:
+    """Readings beside what was known: ``changed, stale_wording, owes``, text only where a verdict is owed.
+
+    A page owes a verdict when it changed, when a record claims what its text does not
+    say, or when an earlier round left it unjudged.  Texts of all other pages end here.
+    """
+    prior = snapshots.select(
+        "url", F.col("content_hash").alias("prior_hash"), F.coalesce("pending", F.lit(False)).alias("was_pending")
     )
+    beside = readings.join(prior, "url", "left")
+    if prior_records is None:
+        beside = beside.withColumn("stale_wording", F.lit(False))
+    else:
+        claimed = beside.join(guard.claims_by_page(prior_records), "url", "left")
+        beside = claimed.withColumn("stale_wording", guard.disproved(F.col("text"), F.col("claims"))).drop("claims")
+    read = F.coalesce(F.col("outcome") == "ok", F.lit(False))
+    marked = beside.withColumn("changed", read & ~F.col("hash").eqNullSafe(F.col("prior_hash"))).withColumn(
+        "owes", read & (F.col("changed") | F.col("stale_wording") | F.coalesce("was_pending", F.lit(False)))
+    )
+    kept = {c: F.when(F.col("owes"), F.col(c)) for c in ("title", "text", "body", "blocks")}
+    return marked.withColumns(kept).drop("prior_hash", "was_pending")
 
 
-def changed_payloads(readings: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Readable pages that changed, each with the text worth judging.
+def owed_payloads(told: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Pages owing a verdict, each with the text worth judging.
 
-    Unchanged pages leave before any block is exploded.
+    What is new is told against the base of the last settled reading, so a page left
+    over from an earlier round is asked about everything since then.
     """
-    beside = diff.against_prior(readings.where("outcome = 'ok'"), snapshots).where("changed OR stale_wording")
+    known = snapshots.select("url", F.col("block_hashes").alias("prior_blocks"))
+    beside = told.where("owes").join(known, "url", "left")
     now = exploded_blocks(beside, ["url"])
-    was = snapshots.select("url", F.explode("block_hashes").alias("block_hash"))
+    was = beside.select("url", F.explode("prior_blocks").alias("block_hash"))
     return diff.payload(beside, diff.new_blocks(now, was))
 
 
-def routed(payloads: DataFrame, sources: DataFrame, budget: int | None = None) -> DataFrame:
-    """Pages owed a verdict, those settled cheaply marked, the rest within the budget marked."""
-    asked = routing.owed(payloads.withColumn("pending", F.lit(True)), sources)
-    filtered = routing.cheap_filter(asked)
-    return filtered if budget is None else routing.within_budget(filtered, budget)
+def routed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pages owed a verdict, those settled by the cheap word filter marked."""
+    return routing.cheap_filter(routing.owed(payloads.withColumn("pending", F.lit(True)), sources))
 
 
 def collection_round(
@@ -87,27 +106,51 @@ def collection_round(
     model: str,
     ask: judge.Judge | None,
     as_of: Column,
-    budget: int = 5_000_000,
+    budget: int | None,
+    first_ask: judge.Judge | None = None,
+    prior_health: DataFrame | None = None,
+    targets: DataFrame | None = None,
+    remember: int | None = None,
 ) -> Round:
     """One round from landed fetches to the next version of every table.
 
     ``reader`` is the one profile scores are measured against, as a one-row table.
-    Every table that feeds several others is checkpointed, so neither an
-    extraction nor a question is ever paid for twice and plans stay small.
+    ``budget`` bounds the characters asked about (None: all): only texts that nothing
+    cheaper settles are charged, each once, however many pages carry it.  Texts beyond
+    it stay owed.  ``first_ask`` is the one-word question; a "no" settles a text for
+    this round and is not remembered.  ``targets`` prunes state of sources no longer
+    watched and ``remember`` bounds the memory (None: keep all).
+
+    Tables that feed several others are checkpointed.  Of unchanged pages only hashes
+    are, so what is written follows what changed.
     """
-    readings = cut(read_pages(fetches, book, prior_records))
-    folded = diff.fold_snapshots(readings, snapshots)
-    asked = routed(changed_payloads(readings, snapshots), sources, budget).where("in_budget")
-    settled = asked.where("settled IS NOT NULL").select("url", "settled")
-    open_pages = asked.where("settled IS NULL")
+    told = cut(told_apart(read_pages(fetches, book), snapshots, prior_records))
+    folded = diff.fold_snapshots(told, snapshots)
+    asked = routed(owed_payloads(told, snapshots), sources)
+    filtered = asked.where("settled IS NOT NULL").select("url", "settled")
 
     known = routing.usable_memory(memory, model)
-    looked = cut(routing.remember(open_pages, known))
+    looked = cut(routing.remember(asked.where("settled IS NULL"), known))
     misses = looked.where("remembered IN ('miss', 'poisoned')").drop("verdict")
-    answers = cut(judge.judge_pages(routing.distinct_questions(misses), ask))
-    answered = routing.settle(misses, answers)
+    standing = misses.groupBy("fingerprint").agg(F.max("always").alias("always"))
+    questions = routing.distinct_questions(misses).join(standing, "fingerprint")
+    out = questions.where("false").select("fingerprint")
+    if first_ask is not None:
+        doubtful = questions.where("NOT always")
+        out = judge.triage(doubtful, first_ask).where("triaged_out").select("fingerprint")
+        questions = questions.join(out, "fingerprint", "left_anti")
+    triaged = misses.join(out, "fingerprint", "left_semi").select("url", F.lit("triaged_out").alias("settled"))
+    if budget is None:
+        paid, later = questions, questions.where("false")
+    else:
+        priced = routing.within_budget(questions, budget, "fingerprint")
+        paid, later = priced.where("in_budget"), priced.where("NOT in_budget")
+    answers = cut(judge.judge_pages(paid.select("fingerprint", "payload"), ask))
+    answered = routing.settle(misses, answers).where("ok IS NOT NULL")
+    settled = filtered.unionByName(triaged)
+
     columns = ["url", "org_id", "payload", "ok", "stage", "reason", "verdict"]
-    told = answered.select(*columns).unionByName(
+    every = answered.select(*columns).unionByName(
         looked.where("remembered IN ('hit', 'no')").select(
             "url", "org_id", "payload", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("stage"),
             F.lit(None).cast("string").alias("reason"), "verdict",
@@ -115,7 +158,7 @@ def collection_round(
     ).withColumnRenamed("payload", "text")
 
     who = {c: reader.select(c).scalar() for c in ("field", "reader_cities", "graduated", "field_label")}
-    beside = cut(records.prior_records(told, prior_records).withColumns(who))
+    beside = cut(records.prior_records(every, prior_records).withColumns(who))
     says = F.coalesce(F.col("verdict.isTrainingAnnouncement"), F.lit(False))
     positive = cut(records.from_verdicts(beside.where(F.col("ok") & says), as_of))
     negative = beside.where(F.col("ok") & ~says).select("url")
@@ -126,18 +169,11 @@ def collection_round(
             records.placeholders(failed, as_of),
         )
     )
-    done = beside.where("ok").select("url")
-    snaps = routing.give_up(folded, failed)
-    snaps = (
-        snaps.join(done.distinct().withColumn("_done", F.lit(True)), "url", "left")
-        .join(settled.distinct(), "url", "left")
-        .withColumn("settled_without_verdict", F.coalesce("settled", F.when(F.col("_done").isNull(), F.col("settled_without_verdict"))))
-        .withColumn("pending", F.when(F.col("_done") | F.col("settled").isNotNull(), F.lit(False)).otherwise(F.col("pending")))
-        .drop("_done", "settled")
-    )
-    snaps = cut(diff.promote_base(snaps, readings))
+    snaps = settle_snapshots(routing.give_up(folded, failed), beside.where("ok").select("url"), settled)
+    snaps = cut(diff.promote_base(snaps, told))
     merged = records.drop_settled_placeholders(merged, snaps)
-    stale = guard.stale_wording(merged, readings.where("outcome = 'ok'"))
+    # Records of pages whose text is gone were found true to it before it went.
+    stale = guard.stale_wording(merged, told.where("owes"))
     merged = records.restate(records.drop_false(merged, stale), as_of)
     fresh_memory = answers.where("ok").select(
         "fingerprint",
@@ -145,11 +181,36 @@ def collection_round(
         F.lit(model).alias("model"),
         as_of.alias("written_at"),
     )
-    remembered = routing.bound_memory(
+    remembered = (
         routing.evict(known, looked).join(fresh_memory.select("fingerprint"), "fingerprint", "left_anti")
         .select("fingerprint", "verdict", "model", "written_at").unionByName(fresh_memory)
     )
-    return Round(readings, snaps, merged, remembered)
+    attempts = told.select(
+        "url", "fetched_at", F.lit(0).cast("long").alias("seq"), (F.col("outcome") == "ok").alias("ok"), "error"
+    )
+    before = fetches.sparkSession.createDataFrame([], schemas.HEALTH) if prior_health is None else prior_health
+    states = health.fold_health(before, attempts)
+    if targets is not None:
+        snaps = diff.prune_departed(snaps, targets, True)
+        states = diff.prune_departed(states, targets, True)
+    return Round(
+        told, snaps, merged, remembered if remember is None else routing.bound_memory(remembered, remember),
+        states, diff.run_tally(told), later.select("fingerprint", "rank", F.length("payload").alias("chars")),
+    )
+
+
+def settle_snapshots(snapshots: DataFrame, judged: DataFrame, settled: DataFrame) -> DataFrame:
+    """Snapshots after verdicts: a judged page owes nothing and its failures are over; a settled one says why."""
+    done = judged.distinct().withColumn("_done", F.lit(True))
+    return (
+        snapshots.join(done, "url", "left").join(settled.distinct(), "url", "left")
+        .withColumns({
+            "settled_without_verdict": F.coalesce("settled", F.when(F.col("_done").isNull(), F.col("settled_without_verdict"))),
+            "pending": F.when(F.col("_done") | F.col("settled").isNotNull(), F.lit(False)).otherwise(F.col("pending")),
+            "judge_failures": F.when(F.col("_done").isNull(), F.col("judge_failures")),
+        })
+        .drop("_done", "settled")
+    )
 
 
 def notification_round(
@@ -173,5 +234,5 @@ def notification_round(
     live = after.where(F.col("status").isin("open", "closing_soon", "announced_not_open")).select(
         guard.announcement_key(F.col("org_id"), F.col("title"), F.col("closes"), F.col("url")).alias("announcement")
     )
-    queue = release.carry(pending, addressed, live, as_of)
+    queue = release.carry(release.collapse_broken(pending, as_of), addressed, live, as_of)
     return release.release(queue, log, as_of, quiet), queue

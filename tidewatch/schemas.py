@@ -37,6 +37,8 @@ SNAPSHOTS = (
     "extracted_chars int, extraction_method string, first_seen timestamp, last_changed timestamp, "
     "thin_runs int, pending boolean, settled_without_verdict string, judge_failures int"
 )
+# The stream form also remembers when each page was last read.
+STREAM_SNAPSHOTS = SNAPSHOTS + ", last_attempt timestamp"
 HEALTH = (
     "url string, last_attempt timestamp, last_success timestamp, "
     "consecutive_failures long, last_error string, state string"

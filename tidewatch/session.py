@@ -48,8 +48,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) is a folder of our own
-    used, because a machine-local path is lost with the machine.
+    Where none is named a folder of this machine serves a local master only; on a
+    cluster the other machines would not see it, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -57,9 +57,14 @@ def scratch_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that every machine of the cluster shares")
     import tempfile
 
-    return tempfile.mkdtemp(prefix="tidewatch-", dir=os.environ.get("TIDEWATCH_SCRATCH"))
+    made = tempfile.mkdtemp(prefix="tidewatch-", dir=os.environ.get("TIDEWATCH_SCRATCH"))
+    spark.sparkContext.setCheckpointDir(made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:

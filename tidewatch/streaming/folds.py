@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewatch import schemas
 from tidewatch.operators import diff, extract, health, release
+from tidewatch.operators.spread import first_row_per_key
 from tidewatch.sources import tables
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
@@ -57,12 +58,12 @@ def fold_health(prior: DataFrame, batch: DataFrame) -> DataFrame:
 def fold_snapshots(prior: DataFrame, batch: DataFrame) -> DataFrame:
     """Landed fetches into snapshots: the newest fetch of each page is read and compared.
 
-    A fetch older than the last change already recorded is ignored.
+    A fetch no newer than the last one folded is ignored, whether or not that one
+    changed anything, so rows that arrive late never undo what came after them.
     """
-    from tidewatch.operators.spread import first_per_key
-
-    newest = first_per_key(batch, ["url"], -F.unix_micros(F.col("fetched_at")), F.col("run_id"))
-    known = prior.select("url", F.col("last_changed").alias("_seen"))
+    ordered = batch.withColumn("_age", -F.unix_micros("fetched_at")).withColumn("_run", F.coalesce("run_id", F.lit("")))
+    newest = first_row_per_key(ordered, ["url"], ["_age", "_run"]).drop("_age", "_run")
+    known = prior.select("url", F.col("last_attempt").alias("_seen"))
     fresh = newest.join(known, "url", "left").where("_seen IS NULL OR fetched_at > _seen").drop("_seen")
     read = extract.extract(tables.admit(fresh))
     verdict = extract.readability(
@@ -72,8 +73,14 @@ def fold_snapshots(prior: DataFrame, batch: DataFrame) -> DataFrame:
         "url", F.lit(None).cast("string").alias("org_id"), "fetched_at", verdict["outcome"].alias("outcome"),
         "hash", diff.block_hashes(F.col("blocks")).alias("fresh_hashes"), "chars", "method",
         F.lit(False).alias("stale_wording"),
+    ).dropDuplicates(["url"])  # one fetch may land twice; what is left of it is slim
+    attempts = fresh.groupBy("url").agg(F.max("fetched_at").alias("_now"))
+    folded = diff.fold_snapshots(readings, prior.drop("last_attempt"))
+    before = prior.select("url", "last_attempt")
+    return (
+        folded.join(before, "url", "left").join(attempts, "url", "left")
+        .withColumn("last_attempt", F.coalesce("_now", "last_attempt")).drop("_now")
     )
-    return diff.fold_snapshots(readings, prior)
 
 
 def fold_log(prior: DataFrame, batch: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def health_stream(spark: SparkSession, log: DataFrame, folder: str) -> DataStrea
 
 
 def snapshot_stream(spark: SparkSession, fetches: DataFrame, folder: str) -> DataStreamWriter:
-    state = VersionedState(spark, f"{folder}/snapshots", schemas.SNAPSHOTS)
+    state = VersionedState(spark, f"{folder}/snapshots", schemas.STREAM_SNAPSHOTS)
     return folding(fetches, state, fold_snapshots, f"{folder}/_snapshots")
 
 
