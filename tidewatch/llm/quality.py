@@ -19,6 +19,8 @@ from tidewatch.llm.common import SOLID_BYTES, pieces, words
 
 _MIX = np.uint32(0x9E3779B1)
 _NGRAMS = (3, 4)
+#: Bytes of text featurised at a time; features take some fifty times the room of their text.
+_PIECE = 1 << 18
 
 
 def features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +100,13 @@ def train(
     if len(set(labels)) < 2:
         return Model(np.zeros(buckets), float(np.log(share / (1 - share))))
     bags = []
-    for data, at in pieces(pa.array(texts, pa.string())):
+    for data, at in pieces(pa.array(texts, pa.string()), _PIECE):
         bucket, text = features(data, at, buckets)
         order = np.argsort(text, kind="stable")
         ends = np.searchsorted(text[order], np.arange(len(at)))
         for i in range(len(at) - 1):
             ids, counts = np.unique(bucket[order[ends[i] : ends[i + 1]]], return_counts=True)
-            bags.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
+            bags.append((ids.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / size, 1 / size, (buckets, size)).astype(np.float32)
     out = np.zeros((size, 2), np.float32)
@@ -159,7 +161,7 @@ def score_udf(spark, model: Model):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [shared.value.scores(data, at) for data, at in pieces(texts, 2 << 20)]
+        parts = [shared.value.scores(data, at) for data, at in pieces(texts, _PIECE)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score
