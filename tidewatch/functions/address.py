@@ -149,10 +149,21 @@ def _tidy(url: Column) -> Column:
     """Lower-case origin, an explicit root path, and dot segments folded away."""
     pathname = F.regexp_replace(F.regexp_extract(url, "(?i)^https?://[^/?#]+([^?#]*)", 1), "^$", "/")
     rest = F.regexp_extract(url, "(?i)^https?://[^/?#]+[^?#]*(.*)$", 1)
-    folded = F.regexp_replace(pathname, "/(?:\\./)+", "/")
-    for _ in range(4):
-        folded = F.regexp_replace(folded, "^/\\.\\./|/(?!\\.\\./)[^/]+/\\.\\./", "/")
-    return F.concat(origin(url), folded, rest)
+    return F.concat(origin(url), F.when(F.contains(pathname, F.lit("/.")), _folded(pathname)).otherwise(pathname), rest)
+
+
+def _folded(pathname: Column) -> Column:
+    """A path read segment by segment: one dot stays, two go up, at the end both leave a slash."""
+    parts = F.split(pathname, "/")
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, 1, F.size(done) - 1)).otherwise(none)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), none, step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
 
 
 def without_fragment(url: Column) -> Column:
@@ -183,8 +194,8 @@ def address_candidates(url: Column) -> Column:
             u.rlike("(?i)^https?://www\\."), F.regexp_replace(u, "(?i)^(https?://)www\\.", "$1")
         ).otherwise(F.regexp_replace(u, "(?i)^(https?://)", "$1www."))
 
-    ordered = [url, secure(url), other_host(url), root, secure(root), other_host(root)]
-    with_secure = [variant for u in ordered for variant in (u, secure(u))]
+    bases = [url, other_host(url), root, other_host(root)]
+    with_secure = [variant for u in bases for variant in (u, secure(u))]
     return F.array_distinct(F.array_compact(F.array(*with_secure)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,14 +17,21 @@ def _without(col: Column, tags: list[str], to_end: bool = False) -> Column:
     return F.regexp_replace(col, f"(?is)<({'|'.join(tags)})\\b[^>]*>.*?(?:</\\1\\s*>{end})", "")
 
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+# Every named reference of the standard, from Python's own table; names do not overlap
+# with their characters, so two joined strings make one constant map.
+_NAMES = sorted(n for n in html5 if n.endswith(";"))
+_COMMON = ["amp;", "nbsp;", "quot;", "lt;", "gt;", "copy;", "middot;"]
+
 
+def _named(token: Column) -> Column:
+    """The characters a name stands for, NULL for an unknown one; the usual names are tried first."""
+
+    def table(names: list[str]) -> Column:
+        return F.map_from_arrays(
+            F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\x01".join(html5[n] for n in names)), "\x01")
+        )
 
-# One literal map, parsed once, rather than a call per entity.
-_ENTITY_MAP = "map(" + ", ".join(
-    f"{_literal(name[1:])}, {_literal(char)}" for name, char in [*L.ENTITIES, ("&amp", "&")]
-) + ")"
+    return F.coalesce(F.try_element_at(table(_COMMON), token), F.try_element_at(table(_NAMES), token))
 
 
 def decode_entities(col: Column) -> Column:
@@ -30,7 +39,7 @@ def decode_entities(col: Column) -> Column:
 
     def piece(part: Column, i: Column) -> Column:
         token = F.regexp_extract(part, "^(?:#?[A-Za-z0-9]{1,31};|amp)", 0)
-        named = F.try_element_at(F.expr(_ENTITY_MAP), token)
+        named = F.when(token == "amp", "&").when(token.startswith("#"), None).when(token != "", _named(token))
         rest = F.substring(part, F.length(token) + 1, F.length(part))
         decoded = F.concat(F.coalesce(named, _numeric(token)), rest)
         return F.when(i == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))

@@ -30,23 +30,14 @@ VERDICT_TYPE = (
     "statesZeroCoursesRule:boolean,zeroCoursesQuote:string,applyUrl:string>"
 )
 
+_TEXT, _TEXTS, _NUMBER, _TRUTH = "^(VOID|STRING)$", "^ARRAY<(VOID|STRING)>$", "^(VOID|BIGINT|DOUBLE|DECIMAL.*)$", "^BOOLEAN$"
+# The kind of value each key must hold, as the type a parsed reply reports.
 _JSON_KINDS = {
-    "isTrainingAnnouncement": "true|false",
-    "moreOnPage": "true|false",
-    "statesZeroCoursesRule": "true|false",
-    "majors": "\\[",
-    "cities": "\\[",
-    "seats": "null|-?[0-9]",
-    "stipendSAR": "null|-?[0-9]",
-    "durationWeeks": "null|-?[0-9]",
-    "product": "\"",
-    "titleAr": "null|\"",
-    "opensISO": "null|\"",
-    "closesISO": "null|\"",
-    "opensRaw": "null|\"",
-    "closesRaw": "null|\"",
-    "zeroCoursesQuote": "null|\"",
-    "applyUrl": "null|\"",
+    **dict.fromkeys(["isTrainingAnnouncement", "moreOnPage", "statesZeroCoursesRule"], _TRUTH),
+    **dict.fromkeys(["majors", "cities"], _TEXTS),
+    **dict.fromkeys(["seats", "stipendSAR", "durationWeeks"], _NUMBER),
+    **dict.fromkeys(["titleAr", "opensISO", "closesISO", "opensRaw", "closesRaw", "zeroCoursesQuote", "applyUrl"], _TEXT),
+    "product": "^STRING$",
 }
 
 
@@ -54,8 +45,8 @@ def unfence(reply: Column) -> Column:
     return strip(F.regexp_replace(strip(reply), "(?s)^```(?:json)?\\s*(.*?)\\s*```$", "$1"))
 
 
-def parse_reply(reply: Column, page: Column) -> Column:
-    """``struct<ok, stage, reason, verdict>`` of a raw reply.
+def parse_reply(reply: Column, page: Column, error: Column | None = None) -> Column:
+    """``struct<ok, stage, reason, verdict>`` of a raw reply; ``error`` says why there is none.
 
     Exactly the known keys must be present, each of its own kind; an announcement
     needs a title; and everything it copies must be on the page.
@@ -78,7 +69,7 @@ def parse_reply(reply: Column, page: Column) -> Column:
                 result(
                     "schema",
                     F.concat(
-                        F.lit("reply contains wording the page does not: "),
+                        F.lit("not on the page: "),
                         F.array_join(offences, "; "),
                     ),
                 ),
@@ -90,7 +81,8 @@ def parse_reply(reply: Column, page: Column) -> Column:
         missing, extra = F.array_except(wanted, keys), F.array_except(keys, wanted)
         kinds_ok = F.lit(True)
         for key, kind in _JSON_KINDS.items():
-            kinds_ok = kinds_ok & text.rlike(f"(?s)\"{key}\"\\s*:\\s*(?:{kind})")
+            held = F.schema_of_variant(F.try_variant_get(parsed["tree"], f"$.{key}", "variant"))
+            kinds_ok = kinds_ok & F.coalesce(held.rlike(kind), F.lit(False))
         seats, stipend, weeks = verdict["seats"], verdict["stipendSAR"], verdict["durationWeeks"]
         numbers_ok = (
             F.coalesce((seats >= 0) & (seats == F.floor(seats)), F.lit(True))
@@ -125,7 +117,7 @@ def parse_reply(reply: Column, page: Column) -> Column:
             )
             .when(
                 ~titled,
-                result("schema", F.lit("reply claims an announcement but gives no title")),
+                result("schema", F.lit("an announcement without a title")),
             )
             .otherwise(let(verdict, against_page))
         )
@@ -135,15 +127,21 @@ def parse_reply(reply: Column, page: Column) -> Column:
             text.alias("text"),
             F.from_json(text, VERDICT_TYPE).alias("verdict"),
             F.json_object_keys(text).alias("keys"),
+            F.try_parse_json(text).alias("tree"),
         )
 
-    return F.when(reply.isNull(), result("api", F.lit("the judge did not answer"))).otherwise(
+    silent = F.lit("the judge did not answer")
+    why = silent if error is None else F.coalesce(error, silent)
+    return F.when(reply.isNull(), result("api", why)).otherwise(
         let(let(unfence(reply), parse), read)
     )
 
 
 def ask(questions: DataFrame, judge: Judge, insist: bool, batch: int = 64) -> DataFrame:
-    """``fingerprint, excerpt, reply``: the judge over Arrow batches, one call per batch.
+    """``fingerprint, excerpt, reply, error``: the judge over Arrow batches, one call per batch.
+
+    A call that raises, or answers another number of questions than it was asked, is
+    a NULL reply with its reason, never a failed job.
 
     The judge's own module travels with it, so executors need not have it installed.
     """
@@ -155,14 +153,22 @@ def ask(questions: DataFrame, judge: Judge, insist: bool, batch: int = 64) -> Da
         for frame in batches:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
+                error = None
                 try:
-                    replies = judge(part["excerpt"].tolist(), insist)
-                except Exception:  # a failed call is a row, never a failed job
+                    replies = list(judge(part["excerpt"].tolist(), insist))
+                    if len(replies) != len(part):
+                        error = f"{len(replies)} replies to {len(part)} questions"
+                except Exception as cause:
+                    error = f"{type(cause).__name__}: {cause}"
+                if error is not None:
                     replies = [None] * len(part)
-                yield part.assign(reply=pd.Series(replies, index=part.index, dtype="object"))
+                yield part.assign(
+                    reply=pd.Series(replies, index=part.index, dtype="object"),
+                    error=pd.Series([error] * len(part), index=part.index, dtype="object"),
+                )
 
     return questions.select("fingerprint", "excerpt").mapInPandas(
-        run, "fingerprint string, excerpt string, reply string"
+        run, "fingerprint string, excerpt string, reply string, error string"
     )
 
 
@@ -186,7 +192,7 @@ def judge_pages(questions: DataFrame, judge: Judge | None, has_profile: bool = T
         )
 
     def read(replies: DataFrame, attempt: int) -> DataFrame:
-        return replies.withColumn("_r", parse_reply(F.col("reply"), F.col("excerpt"))).select(
+        return replies.withColumn("_r", parse_reply(F.col("reply"), F.col("excerpt"), F.col("error"))).select(
             "fingerprint", "excerpt", "_r.*", F.lit(attempt).alias("attempts")
         )
 
