@@ -17,7 +17,8 @@ from tidewatch.session import scratch_dir
 BLANKS = " \t\n\x0b\f\r"
 
 #: Bytes of text a task turns into arrays at a time; a longer single text is one piece.
-PIECE_BYTES = 4 << 20
+#: The arrays take up to a hundred times the room of their text.
+PIECE_BYTES = 1 << 19
 
 
 def workspace(spark: SparkSession, name: str) -> str:

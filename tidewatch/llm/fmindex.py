@@ -28,6 +28,8 @@ WINDOW = 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _END, _GAP, _FIRST = 0, 1, 2
 _STEP = 8
+#: Bytes of text in a shard's index.
+_SHARD = 1 << 21
 
 
 class Bits:
@@ -269,7 +271,7 @@ def hits_udf(spark, phrases: Phrases):
         if not made:
             made.append(Searcher(shared.value))
         counts, spans, owners, items, item_of, base = [], [], [], [], [], 0
-        for data, at in pieces(texts):
+        for data, at in pieces(texts, _SHARD):
             n_words, found, pairs = made[0].search(data, at)
             counts.append(n_words)
             owners.append(found[0] + base)

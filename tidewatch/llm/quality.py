@@ -19,8 +19,6 @@ from tidewatch.llm.common import SOLID_BYTES, pieces, words
 
 _MIX = np.uint32(0x9E3779B1)
 _NGRAMS = (3, 4)
-#: Bytes of text featurised at a time; features take some fifty times the room of their text.
-_PIECE = 1 << 18
 
 
 def features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +98,7 @@ def train(
     if len(set(labels)) < 2:
         return Model(np.zeros(buckets), float(np.log(share / (1 - share))))
     bags = []
-    for data, at in pieces(pa.array(texts, pa.string()), _PIECE):
+    for data, at in pieces(pa.array(texts, pa.string())):
         bucket, text = features(data, at, buckets)
         order = np.argsort(text, kind="stable")
         ends = np.searchsorted(text[order], np.arange(len(at)))
@@ -161,7 +159,7 @@ def score_udf(spark, model: Model):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [shared.value.scores(data, at) for data, at in pieces(texts, _PIECE)]
+        parts = [shared.value.scores(data, at) for data, at in pieces(texts)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score
