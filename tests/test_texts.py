@@ -179,6 +179,6 @@ def test_excerpts_reach_a_buried_announcement(spark):
 def test_evidence(spark):
     text = "مقدمة " * 60 + "برنامج التدريب التعاوني متاح الآن" + " خاتمة" * 60
     df = spark.createDataFrame([(text,), ("short",), ("plain text " * 40,)], "t string")
-    rows = [r.e for r in df.select(links.evidence(F.col("t"), F.lit(None)).alias("e")).collect()]
+    rows = [r.e for r in df.select(links.evidence(F.col("t")).alias("e")).collect()]
     assert [r.result for r in rows] == ["verified", "rejected", "watchable"]
     assert rows[0].marker == "التدريب التعاوني" and rows[0].quote.startswith("…") and rows[0].quote.endswith("…")

@@ -76,7 +76,7 @@ def add_sources(sources: DataFrame, candidates: DataFrame, owner: str = "org_id"
     return first_per_key(fresh, [owner, "_address"], F.col("url")).drop("_address")
 
 
-def evidence(text: Column, title: Column) -> Column:
+def evidence(text: Column) -> Column:
     """``struct<result, marker, quote>``: what a page says about cooperative training.
 
     The first marker in list order decides; without one the page is watchable if
@@ -106,7 +106,6 @@ def evidence(text: Column, title: Column) -> Column:
             F.when(found.isNotNull(), quote).alias("quote"),
         )
 
-    del title
     return X.let(marker, describe)
 
 

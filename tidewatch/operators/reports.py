@@ -316,13 +316,12 @@ def triage_quality(answers: DataFrame) -> DataFrame:
     )
 
 
-def triage_errors(answers: DataFrame, k: int = 20) -> DataFrame:
-    """The first cases each model got wrong, by kind."""
+def triage_errors(answers: DataFrame) -> DataFrame:
+    """The cases each model got wrong, by kind."""
     kind = F.when(F.col("expected") & ~F.col("passed_on"), "missed").when(
         ~F.col("expected") & F.col("passed_on"), "false_alarm"
     )
-    wrong = answers.withColumn("kind", kind).where("kind IS NOT NULL").select("model", "kind", "id")
-    return top_k(wrong, ["model", "kind"], [F.col("id")], k)
+    return answers.withColumn("kind", kind).where("kind IS NOT NULL").select("model", "kind", "id")
 
 
 def vantage_comparison(probes: DataFrame, vantages: list[str]) -> DataFrame:

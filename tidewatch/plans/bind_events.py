@@ -96,52 +96,58 @@ def host_gap_audit(spark, sf):
 
 
 def configured(spark, sf):
-    """Every source of the log; those of every fifth organisation are home pages only."""
-    return fetch_log(spark, sf).select("org_id", "url").distinct().withColumn(
+    """Every source of the log; those of the first organisations are home pages only.
+
+    Every third organisation also lists a page nobody has read, and every fifth has a
+    sister that only lists such a page.
+    """
+    read = fetch_log(spark, sf).select("org_id", "url").distinct()
+    new = F.concat("url", F.lit("/new"))
+    unread = read.where("org_id % 3 = 0").select("org_id", new.alias("url"))
+    sisters = read.where("org_id % 5 = 0").select((F.col("org_id") + 1_000_000).alias("org_id"), new.alias("url"))
+    return read.unionByName(unread).unionByName(sisters).withColumn(
         "type", F.when(F.col("org_id") < 5, "site_root").otherwise("careers_page")
     )
 
 
-def early_health(spark, sf):
-    """Health after the first readings only, so that some sources were never read."""
-    log = fetch_log(spark, sf).where(F.col("fetched_at") < F.lit("2024-01-01 03:00:00").cast("timestamp"))
-    return health.failure_streaks(log)
+def log_health(spark, sf):
+    return health.failure_streaks(fetch_log(spark, sf))
 
 
-EARLY = STREAK.replace("FROM log GROUP BY", "FROM early GROUP BY").replace("FROM log l", "FROM early l")
-EARLY_CTE = f"{LOG}, early AS (SELECT * FROM log WHERE fetched_at < TIMESTAMP '2024-01-01 03:00:00'), {EARLY}, conf AS (SELECT DISTINCT org_id, url, CASE WHEN org_id < 5 THEN 'site_root' ELSE 'careers_page' END AS type FROM log)"
+CONF_CTE = f"""{LOG}, {STREAK}, rd AS (SELECT DISTINCT org_id, url FROM log), every AS (SELECT * FROM rd UNION ALL SELECT org_id, url || '/new' FROM rd WHERE org_id % 3 = 0
+  UNION ALL SELECT org_id + 1000000, url || '/new' FROM rd WHERE org_id % 5 = 0), conf AS (SELECT *, CASE WHEN org_id < 5 THEN 'site_root' ELSE 'careers_page' END AS type FROM every)"""
 
 
 @query("org_health", f"""
-WITH {EARLY_CTE},
+WITH {CONF_CTE},
 j AS (SELECT c.org_id, CASE h.state WHEN 'healthy' THEN 0 WHEN 'degraded' THEN 1 WHEN 'broken' THEN 2 END AS r FROM conf c LEFT JOIN health h USING (url))
 SELECT org_id, count(*) AS configured, count(*) FILTER (WHERE r IS NULL) AS unread,
   CASE WHEN max(r) IS NULL THEN 'unwatched' WHEN max(r) = 0 AND count(*) FILTER (WHERE r IS NULL) > 0 THEN 'degraded'
        WHEN max(r) = 0 THEN 'healthy' WHEN max(r) = 1 THEN 'degraded' ELSE 'broken' END AS health FROM j GROUP BY org_id""")
 def org_health(spark, sf):
-    return health.org_health(configured(spark, sf), early_health(spark, sf))
+    return health.org_health(configured(spark, sf), log_health(spark, sf))
 
 
 @query("watch_coverage", f"""
-WITH {EARLY_CTE},
+WITH {CONF_CTE},
 o AS (SELECT c.org_id, count(*) AS conf, count(*) FILTER (WHERE h.last_success IS NOT NULL) AS rd, bool_and(type = 'site_root') AS home FROM conf c LEFT JOIN health h USING (url) GROUP BY c.org_id)
 SELECT CAST(sum(conf) AS BIGINT) AS total, CAST(sum(rd) AS BIGINT) AS "read", count(*) FILTER (WHERE rd = conf) AS orgs_fully_read,
   count(*) FILTER (WHERE rd = 0) AS orgs_unread, count(*) FILTER (WHERE rd > 0 AND home) AS orgs_homepage_only FROM o""")
 def watch_coverage(spark, sf):
-    return health.coverage(configured(spark, sf), early_health(spark, sf))
+    return health.coverage(configured(spark, sf), log_health(spark, sf))
 
 
 @query("blind_orgs", f"""
-WITH {EARLY_CTE}, t AS (SELECT DISTINCT org_id, CASE WHEN org_id % 2 = 0 THEN 'S' ELSE 'C' END AS tier FROM log)
+WITH {CONF_CTE}, t AS (SELECT DISTINCT org_id, CASE WHEN org_id % 2 = 0 THEN 'S' ELSE 'C' END AS tier FROM conf)
 SELECT org_id, tier, tier IN ('S', 'A') AS top_tier FROM t
 WHERE org_id NOT IN (SELECT org_id FROM conf JOIN health USING (url) WHERE last_success IS NOT NULL)""")
 def blind_orgs(spark, sf):
     orgs = tiered_orgs(spark, sf)
-    return health.blind_orgs(orgs, configured(spark, sf), early_health(spark, sf))
+    return health.blind_orgs(orgs, configured(spark, sf), log_health(spark, sf))
 
 
 def tiered_orgs(spark, sf):
-    return fetch_log(spark, sf).select("org_id").distinct().withColumn(
+    return configured(spark, sf).select("org_id").distinct().withColumn(
         "tier", F.when(F.col("org_id") % 2 == 0, "S").otherwise("C")
     )
 

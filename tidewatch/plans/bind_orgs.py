@@ -192,7 +192,7 @@ def attempt_issues(spark, sf):
 
 def detail_sources(spark, sf):
     s = table(spark, sf, "supplier")
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct()
+    li = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
     return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_suppkey").alias("org_id"), F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("url"),
         F.when(F.col("s_acctbal") < 2000, "site_root").otherwise("careers_page").alias("type"),
@@ -201,17 +201,18 @@ def detail_sources(spark, sf):
 
 
 def detail_health(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    li = table(spark, sf, "lineitem")
     return li.groupBy(F.concat_ws("/", F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("url")).agg(
         F.max(F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))).alias("last_success"),
         F.max("l_shipdate").alias("last_attempt"),
-        F.when(F.max("l_quantity") > 40, "broken").when(F.max("l_quantity") > 20, "degraded").otherwise("healthy").alias("state"),
+        F.when((F.max("l_quantity") > 40) & (F.max("l_suppkey") % 3 == 0), "broken")
+        .when((F.max("l_quantity") > 20) & (F.max("l_suppkey") % 3 == 1), "degraded").otherwise("healthy").alias("state"),
     )
 
 
-DETAIL = """s AS (SELECT DISTINCT l_suppkey AS org_id, l_suppkey || '/' || l_partkey AS url, CASE WHEN s_acctbal < 2000 THEN 'site_root' ELSE 'careers_page' END AS type, l_partkey < 100 AS conf FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
+DETAIL = """s AS (SELECT DISTINCT l_suppkey AS org_id, l_suppkey || '/' || l_partkey AS url, CASE WHEN s_acctbal < 2000 THEN 'site_root' ELSE 'careers_page' END AS type, l_partkey < 100 AS conf FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 h AS (SELECT l_suppkey || '/' || l_partkey AS url, max(l_shipdate) FILTER (WHERE l_linestatus = 'F') AS last_success, max(l_shipdate) AS last_attempt,
-  CASE WHEN max(l_quantity) > 40 THEN 'broken' WHEN max(l_quantity) > 20 THEN 'degraded' ELSE 'healthy' END AS state FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
+  CASE WHEN max(l_quantity) > 40 AND max(l_suppkey) % 3 = 0 THEN 'broken' WHEN max(l_quantity) > 20 AND max(l_suppkey) % 3 = 1 THEN 'degraded' ELSE 'healthy' END AS state FROM lineitem GROUP BY 1)"""
 
 
 def supplier_orgs(spark, sf):
@@ -227,9 +228,9 @@ def supplier_orgs(spark, sf):
 def supplier_records(spark, sf):
     o = table(spark, sf, "orders")
     day = F.col("o_orderdate").cast("date")
-    return o.where("o_orderstatus = 'F'").join(
-        table(spark, sf, "supplier"), F.col("o_custkey") == F.col("s_suppkey")
-    ).select(
+    suppliers = table(spark, sf, "supplier")
+    many = suppliers.agg(F.max("s_suppkey") + 1).scalar()
+    return o.join(suppliers, F.pmod(F.col("o_custkey"), many) == F.col("s_suppkey")).select(
         F.col("s_suppkey").alias("org_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"),
         (F.col("o_totalprice") > 200000).alias("states_zero_courses_rule"), F.lit("full time only").alias("zero_courses_quote"),
         F.when(F.col("o_totalprice") > 300000, "open").otherwise("closed").alias("status"),
@@ -240,7 +241,7 @@ def supplier_records(spark, sf):
 
 
 SREC = """r AS (SELECT s_suppkey AS org_id, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, o_totalprice > 200000 AS states, CASE WHEN o_totalprice > 300000 THEN 'open' ELSE 'closed' END AS status,
-  CAST(o_orderdate AS DATE) AS opens, CASE WHEN o_totalprice > 100000 THEN CAST(o_orderdate AS DATE) + 40 END AS closes, CASE WHEN o_orderpriority <> '5-LOW' THEN 70 END AS score FROM orders JOIN supplier ON o_custkey = s_suppkey WHERE o_orderstatus = 'F'),
+  CAST(o_orderdate AS DATE) AS opens, CASE WHEN o_totalprice > 100000 THEN CAST(o_orderdate AS DATE) + 40 END AS closes, CASE WHEN o_orderpriority <> '5-LOW' THEN 70 END AS score FROM orders JOIN supplier ON o_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) = s_suppkey),
 f AS (SELECT org_id, min(id) AS id, arg_min(states, id) AS states, arg_min(status, id) AS status, arg_min(opens, id) AS opens, arg_min(struct_pack(c := closes), id).c AS closes FROM r GROUP BY org_id)"""
 
 

@@ -10,7 +10,7 @@ from tidewatch.functions import html as H
 from tidewatch.functions import lexicon as L
 from tidewatch.functions import text as X
 from tidewatch.operators import diff, extract, links, routing
-from tidewatch.plans.registry import query, table
+from tidewatch.plans.registry import ORACLES, query, table
 from tidewatch.plans.sqltext import (
     BODY_CTE, BODY_OF, BLOCKS_OF, CANONICAL, HOST, PRIOR_HTML, REGISTERED, TEXT_OF, TITLE_OF, q, ws,
 )
@@ -450,7 +450,13 @@ def candidate_attempts(spark, sf):
     )
 
 
-@query("candidate_outcomes")
+@query("candidate_outcomes", f"""
+WITH cand AS ({ORACLES['address_candidates']}), t AS (SELECT p.url AS source_url, {HOST('p.url')} AS org_id, c.position, c.candidate, NOT contains(c.candidate, '/fr/') AS allowed,
+  starts_with(c.candidate, 'https://') AND NOT contains(c.candidate, '?page=') AS ok FROM cand c JOIN pages p USING (page_id)),
+g AS (SELECT org_id, source_url, arg_min(candidate, (position, candidate)) FILTER (allowed AND ok) AS answer, CASE WHEN bool_or(NOT allowed) THEN 'disallowed by robots.txt' END AS refusal,
+  CASE WHEN bool_or(allowed AND NOT ok) THEN 'HTTP 503' END AS error, bool_or(candidate = source_url AND allowed AND NOT ok AND NOT contains(candidate, '?page=')) AS transient, bool_or(allowed) AS tried FROM t GROUP BY ALL)
+SELECT org_id, source_url, answer, refusal, error, CASE WHEN answer IS NOT NULL AND transient AND {CANONICAL('answer')} <> {CANONICAL('source_url')} THEN 'kept_and_added'
+  WHEN answer IS NOT NULL THEN 'answered' WHEN NOT tried THEN 'robots' ELSE 'unreachable' END AS result FROM g""")
 def candidate_outcomes(spark, sf):
     return links.candidate_outcome(candidate_attempts(spark, sf)).select(
         "org_id", "source_url", "answer", "refusal", "error", "result"
@@ -459,13 +465,17 @@ def candidate_outcomes(spark, sf):
 
 @query("page_evidence", f"""
 WITH {BODY_CTE}, {TEXT_OF},
-m AS (SELECT page_id, txt, instr(lower(txt), 'the') AS at FROM texts)
-SELECT page_id, CASE WHEN length(txt) < 200 THEN 'rejected' ELSE 'watchable' END AS result FROM m""")
+w AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN txt || ' Our Cooperative Training opens soon. ' || txt ELSE txt END AS txt FROM texts),
+m AS (SELECT *, instr(lower(txt), 'cooperative training') - 1 AS pos FROM w)
+SELECT page_id, CASE WHEN pos >= 0 THEN 'verified' WHEN length(txt) < 200 THEN 'rejected' ELSE 'watchable' END AS result, CASE WHEN pos >= 0 THEN 'cooperative training' END AS marker,
+  CASE WHEN pos >= 0 THEN CASE WHEN pos > 90 THEN '…' ELSE '' END || trim(substr(txt, greatest(0, pos - 90) + 1, least(length(txt), pos + 20 + 130) - greatest(0, pos - 90)))
+    || CASE WHEN pos + 150 < length(txt) THEN '…' ELSE '' END END AS quote FROM m""")
 def page_evidence(spark, sf):
     read = extract.extract(pages(spark, sf))
-    return read.select(
-        "page_id", links.evidence(F.col("text"), F.col("title"))["result"].alias("result")
-    )
+    told = F.when(
+        F.col("page_id") % 2 == 0, F.concat("text", F.lit(" Our Cooperative Training opens soon. "), "text")
+    ).otherwise(F.col("text"))
+    return read.select("page_id", links.evidence(told).alias("e")).select("page_id", "e.*")
 
 
 @query("strongest_sources", f"""

@@ -476,7 +476,23 @@ def relevance_scores(spark, sf):
     return relevance.score_pairs(pairs(spark, sf)).select("c_custkey", "p_partkey", "score")
 
 
-@query("relevance_reasons")
+@query("relevance_reasons", f"""
+WITH b AS (SELECT DISTINCT o_custkey AS c_custkey, l_partkey AS p_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+j AS (SELECT b.*, p_type, p_size, p_brand, CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 AS riyadh, c_mktsegment AS seg,
+  {FIELD_SQL} AS ann, CASE c_mktsegment WHEN 'BUILDING' THEN 'cyber' WHEN 'MACHINERY' THEN 'it' WHEN 'FURNITURE' THEN 'general' WHEN 'AUTOMOBILE' THEN 'it' END AS field
+  FROM b JOIN part USING (p_partkey) JOIN customer USING (c_custkey) WHERE c_mktsegment <> 'HOUSEHOLD'),
+k AS (SELECT *, CASE WHEN p_size > 40 AND ann = 'general' THEN 'none' ELSE ann END AS fa FROM j),
+s AS (SELECT *, CASE WHEN p_brand = 'Brand#3' AND seg IN ('BUILDING', 'MACHINERY') THEN 0
+   WHEN fa = 'none' AND p_type = 'ECONOMY' THEN CASE field WHEN 'cyber' THEN 90 WHEN 'it' THEN 65 ELSE 35 END
+   WHEN fa = 'none' THEN 10
+   ELSE CASE fa WHEN 'cyber' THEN 90 WHEN 'it' THEN 65 ELSE 35 END + CASE WHEN riyadh AND seg IN ('BUILDING', 'AUTOMOBILE') THEN 5 ELSE 0 END END AS score,
+   CASE WHEN p_brand = 'Brand#3' AND seg = 'AUTOMOBILE' THEN {q(L.REASONS['graduate_unknown'] + '، ')} ELSE '' END ||
+   CASE WHEN fa = 'none' AND p_type = 'ECONOMY' THEN {q(L.REASONS['all_majors'])} WHEN fa = 'none' THEN {q(L.REASONS['unrelated'])}
+     WHEN fa = field THEN 'يذكر ' || CASE field WHEN 'cyber' THEN {q(L.FIELD_LABELS['cyber'])} WHEN 'it' THEN {q(L.FIELD_LABELS['it'])} ELSE {q(L.FIELD_LABELS['general'])} END || '، وهو تخصّصك'
+     WHEN fa = 'it' AND field = 'cyber' THEN {q(L.REASONS['near'])} WHEN fa = 'cyber' THEN {q(L.REASONS['broader'])} ELSE {q(L.REASONS['general'])} END ||
+   CASE WHEN fa <> 'none' AND riyadh AND seg IN ('BUILDING', 'AUTOMOBILE') THEN '، وفي الرياض' WHEN fa <> 'none' AND riyadh AND seg = 'FURNITURE' THEN '، وفي الرياض، خارج مدينتك' ELSE '' END || '.' AS said FROM k),
+z AS (SELECT field, CAST(score AS INTEGER) AS score, CASE WHEN p_brand = 'Brand#3' AND seg IN ('BUILDING', 'MACHINERY') THEN {q(L.REASONS['graduate_zero'])} ELSE said END AS reason FROM s)
+SELECT field, reason, count(*) AS pairs, min(score) AS lowest, max(score) AS highest FROM z GROUP BY ALL""")
 def relevance_reasons(spark, sf):
     """How often each reason is given."""
     scored = relevance.score_pairs(pairs(spark, sf))
@@ -540,12 +556,17 @@ def record_notices(spark, sf):
 
 
 @query("decided_notices", f"""
-WITH {NOTICE}, un AS (SELECT count(*) AS n FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED')
-SELECT kind, count(*) AS notices FROM (SELECT key, any_value(kind) AS kind FROM said GROUP BY key UNION ALL SELECT 'classifier', 'classifier_down' FROM un WHERE n >= 3) GROUP BY kind""")
+WITH {NOTICE}, un AS (SELECT count(*) AS n FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'),
+bad AS (SELECT count(*) FILTER (WHERE closes IS NULL) AS n, count(*) AS total FROM rec)
+SELECT kind, count(*) AS notices FROM (SELECT key, any_value(kind) AS kind FROM said GROUP BY key UNION ALL SELECT 'classifier', 'classifier_down' FROM un WHERE n >= 3
+  UNION ALL SELECT 'broken', 'source_broken' FROM bad WHERE n > 0 UNION ALL SELECT 'coverage', 'coverage_dropped' FROM bad WHERE n >= 5 AND n / total >= 0.06) GROUP BY kind""")
 def decided_notices(spark, sf):
     before, after, names = notice_versions(spark, sf)
     healthy = after.select("url", "org_id", F.lit("healthy").alias("state"))
-    said = notices.decide(before, after, healthy, healthy, names, at(AFTER))
+    gone = after.select(
+        "url", "org_id", F.when(F.col("closes").isNull(), "broken").otherwise("healthy").alias("state")
+    )
+    said = notices.decide(before, after, healthy, gone, names, at(AFTER))
     return said.groupBy("kind").agg(F.count("*").alias("notices"))
 
 
@@ -613,18 +634,14 @@ def quality_verdict(spark, sf):
 
 
 @query("benchmark_replay", f"""
-WITH {REC} SELECT o_orderpriority AS band, count(*) AS cases, count(*) FILTER (WHERE coalesce(score, 0) >= 40 AND o_orderpriority <> '4-NOT SPECIFIED' AND closes IS NOT NULL) AS passed FROM rec GROUP BY o_orderpriority""")
+WITH {REC} SELECT o_orderpriority AS band, count(*) AS cases, count(*) FILTER (WHERE coalesce(score, 0) >= 40 AND o_orderpriority <> '4-NOT SPECIFIED' AND o_orderstatus = 'F' AND closes IS NOT NULL) AS passed FROM rec GROUP BY o_orderpriority""")
 def benchmark_replay(spark, sf):
     recs = base_records(spark, sf)
     cases = table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("case_id"), F.col("o_orderpriority").alias("band"),
         F.lit(True).alias("expect_announcement"), F.lit(None).cast("string").alias("expect_product"),
         F.lit(40).alias("min_score"), F.lit(None).cast("int").alias("max_score"),
-        F.coalesce(
-            F.when(F.col("o_orderstatus") == "F", F.date_add(F.col("o_orderdate").cast("date"), 30))
-            .when(F.col("o_orderstatus") == "O", F.date_add(F.col("o_orderdate").cast("date"), 45)),
-            F.lit("2030-01-01").cast("date"),
-        ).alias("expect_closes"),
+        F.date_add(F.col("o_orderdate").cast("date"), 30).alias("expect_closes"),
     )
     replayed = recs.select(
         F.col("id").alias("case_id"), (F.col("title") != L.UNJUDGED_TITLE).alias("is_announcement"), "product",

@@ -59,7 +59,7 @@ def memory(spark, sf):
     """Labelled documents as remembered verdicts: poor ones "no", toxic ones with invented words."""
     labelled = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     s = F.lit(None).cast("string")
-    title = F.when(F.col("toxic") == 1, "Zzzunprinted Programme").otherwise(F.substring("payload", 1, 30))
+    title = F.when(F.col("toxic") == 1, "Zzzunprinted Programme").otherwise(F.col("payload"))
     verdict = F.struct(
         F.lit(True).alias("isTrainingAnnouncement"), F.lit("coop").alias("product"), title.alias("titleAr"),
         s.alias("opensISO"), s.alias("closesISO"), s.alias("opensRaw"), s.alias("closesRaw"), F.lit(False).alias("moreOnPage"),
@@ -106,16 +106,17 @@ def settled_pages(spark, sf):
 
 
 def replies(spark, sf):
-    """Assistant turns as claims about the turn before them."""
+    """Assistant turns as claims about the turn before them; in every other conversation they repeat it."""
     turns = table(spark, sf, "conversations")
     said = turns.where("role = 'assistant'").select(
-        "conv_id", "turn", (F.col("turn") - 1).alias("prev"), F.substring("text", 1, 25).alias("title"),
-        F.substring("text", 1, 4).alias("quote"),
+        "conv_id", "turn", (F.col("turn") - 1).alias("prev"), F.col("text").alias("said"),
     )
     asked = turns.select("conv_id", F.col("turn").alias("prev"), F.col("text").alias("page"))
     none = F.array().cast("array<string>")
     s = F.lit(None).cast("string")
-    return said.join(asked, ["conv_id", "prev"]).withColumn(
+    copied = F.when(F.col("conv_id") % 2 == 0, F.col("page")).otherwise(F.col("said"))
+    claims = said.join(asked, ["conv_id", "prev"]).withColumn("title", copied).withColumn("quote", copied)
+    return claims.withColumn(
         "offences",
         guard.invented_wording(
             F.col("page"), F.col("title"), F.col("quote"), s, s, F.array(F.col("title")), none, F.col("turn") % 3 == 0
@@ -128,7 +129,7 @@ def _norm(expr: str) -> str:
     return f"lower({squashed(expr)})"
 
 
-GUARD = f"""claims AS (SELECT a.conv_id, a.turn, substr(a.text, 1, 25) AS title, substr(a.text, 1, 4) AS quote, {_norm('p.text')} AS hay
+GUARD = f"""claims AS (SELECT a.conv_id, a.turn, CASE WHEN a.conv_id % 2 = 0 THEN p.text ELSE a.text END AS title, CASE WHEN a.conv_id % 2 = 0 THEN p.text ELSE a.text END AS quote, {_norm('p.text')} AS hay
   FROM conversations a JOIN conversations p ON a.conv_id = p.conv_id AND p.turn = a.turn - 1 WHERE a.role = 'assistant'),
 guarded AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(title, {q('(?:' + ws() + '|[،,.:;()' + chr(92) + '[' + chr(92) + ']' + chr(34) + chr(39) + '«»' + chr(92) + '-–—/|])+')}, chr(1), 'g'), chr(1)),
    lambda w: {_norm('w')}), lambda w: length(w) >= 3 AND NOT contains(hay, w)) AS stray,
@@ -274,7 +275,7 @@ def triage_answers(spark, sf):
 
 @query("triage_errors", """
 WITH a AS (SELECT lang AS model, d.doc_id AS id, CASE WHEN quality = 1 AND n_chars % 3 = 0 THEN 'missed' WHEN quality <> 1 AND n_chars % 3 <> 0 THEN 'false_alarm' END AS kind FROM documents d JOIN labels l USING (doc_id))
-SELECT model, kind, id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model, kind ORDER BY id) AS r FROM a WHERE kind IS NOT NULL) WHERE r <= 20""")
+SELECT model, kind, id FROM a WHERE kind IS NOT NULL""")
 def triage_errors(spark, sf):
     return reports.triage_errors(triage_answers(spark, sf))
 
@@ -298,17 +299,27 @@ def rule_judge(excerpts: list[str], insist: bool) -> list[str | None]:
     return out
 
 
-@query("judged_documents", """
-WITH d AS (SELECT doc_id, CASE WHEN ends_with(source, '3') THEN text || ' student career page' ELSE text END AS payload, source FROM documents),
-e AS (SELECT substr(sha256(payload), 1, 32) AS fingerprint, any_value(payload) AS p FROM d GROUP BY 1)
-SELECT fingerprint, true AS ok FROM e""")
+# What the judge is shown of each distinct text, and what the stand-in judge makes of it.
+JUDGED = r"""d AS (SELECT doc_id, CASE WHEN ends_with(source, '3') THEN text || ' student career page' ELSE text END AS payload FROM documents),
+e AS (SELECT substr(sha256(payload), 1, 32) AS fingerprint, any_value(payload) AS p FROM d GROUP BY 1),
+w AS (SELECT *, length(regexp_extract(p, '^((?s).*?)[0-9]{1,4}\s*[/\-.]\s*[0-9]{1,2}\s*[/\-.]\s*[0-9]{1,4}', 1)) AS pos,
+  regexp_matches(p, '[0-9]{1,4}\s*[/\-.]\s*[0-9]{1,2}\s*[/\-.]\s*[0-9]{1,4}') AS dated FROM e),
+x AS (SELECT fingerprint, CASE WHEN length(p) <= 6000 THEN p WHEN NOT dated THEN substr(p, 1, 6000) WHEN pos < 3000 THEN substr(p, 1, 3000)
+  ELSE substr(p, 1, 3000) || chr(10) || '…' || chr(10) || substr(p, greatest(3000, pos - 2997 // 3) + 1, 2997) END AS x FROM w),
+v AS (SELECT fingerprint, x, contains(x, 'student career') AS about, NOT contains(x, 'student career') OR contains(lower(x), 'page') AS faithful FROM x),
+j AS (SELECT fingerprint, faithful AS ok, CASE WHEN NOT faithful THEN 'schema' END AS stage,
+  CAST(CASE WHEN length(x) % 5 = 0 OR NOT faithful THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN faithful THEN about END AS announces FROM v)"""
+
+
+@query("judged_documents", f"WITH {JUDGED} SELECT fingerprint, ok, attempts, announces FROM j")
 def judged_documents(spark, sf):
     pages = documents(spark, sf).withColumn("fingerprint", X.fingerprint(F.col("payload")))
     answered = judge.judge_pages(routing.distinct_questions(pages), rule_judge)
-    return answered.select("fingerprint", "ok")
+    announces = F.col("verdict.isTrainingAnnouncement").alias("announces")
+    return answered.select("fingerprint", "ok", "attempts", announces)
 
 
-@query("judge_attempts")
+@query("judge_attempts", f"WITH {JUDGED} SELECT ok, stage, attempts, announces, count(*) AS texts FROM j GROUP BY ALL")
 def judge_attempts(spark, sf):
     """How the judge fared: verdicts by stage, attempts and kind."""
     pages = documents(spark, sf).withColumn("fingerprint", X.fingerprint(F.col("payload")))
