@@ -318,13 +318,13 @@ def _merged(spans: Column) -> Column:
     """Spans of several blocks, overlapping or touching ones made one."""
 
     def step(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop_word"] >= span["first_word"])
+        last = F.get(done, F.size(done) - 1)
+        joins = F.coalesce(last["stop_word"] >= span["first_word"], F.lit(False))
         longer = F.struct(
             last["first_word"].alias("first_word"), F.greatest(last["stop_word"], span["stop_word"]).alias("stop_word"),
             last["first_byte"].alias("first_byte"), F.greatest(last["stop_byte"], span["stop_byte"]).alias("stop_byte"),
         )
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(span)))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer.cast(_SPAN)))).otherwise(F.concat(done, F.array(span)))
 
     return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{_SPAN}>"), step)
 
