@@ -416,6 +416,19 @@ def best_new_links(spark, sf):
     return links.best_new_links(scored, known).select("org_id", "url", "score", "rank")
 
 
+@query("scored_links", f"""
+WITH {LINK_SQL}, w AS (SELECT host AS org_id, url, label || CASE length(url) % 4 WHEN 0 THEN ' cooperative training' WHEN 1 THEN ' careers' WHEN 2 THEN ' news' ELSE '' END AS label FROM links)
+SELECT org_id, url, CAST(CASE length(url) % 4 WHEN 0 THEN 100 WHEN 1 THEN 60 ELSE 30 END AS INTEGER) AS score,
+  CASE WHEN length(url) % 4 = 2 THEN 'announcement_page' ELSE 'careers_page' END AS type, substr(min(label), 1, 60) AS label FROM w WHERE length(url) % 4 < 3 GROUP BY ALL""")
+def scored_links(spark, sf):
+    """Links whose words carry a signal, the best of each url; the words depend on the url's length."""
+    owned = pages(spark, sf).withColumn("org_id", A.host(F.col("url")))
+    found = links.harvest(owned)
+    size = F.length("url") % 4
+    said = F.when(size == 0, " cooperative training").when(size == 1, " careers").when(size == 2, " news").otherwise("")
+    return links.score_links(found.withColumn("label", F.concat("label", said)))
+
+
 @query("address_candidates", """
 WITH v AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/]+)', 1) || '/' AS root FROM pages),
 n AS (SELECT page_id, url, root,

@@ -133,19 +133,41 @@ def restated_records(spark, sf):
     return fresh.select("id", "status", F.array_join("flags", ",").alias("flags"))
 
 
-@query("hijri_round_trip", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS back, true AS labelled FROM orders")
+# The first day of each Umm al-Qura year, and its months (1: thirty days, 0: twenty-nine).
+HIJRI_YEARS = """
+1415 1994-06-11 010100101011
+1416 1995-05-31 101010010101
+1417 1996-05-19 101100101010
+1418 1997-05-08 101101010101
+1419 1998-04-28 010101011100
+1420 1999-04-17 010010111101
+1421 2000-04-06 001000111101
+1422 2001-03-26 100100011101
+"""
+HIJRI_CTE = "y AS (SELECT * FROM (VALUES {}) t(year, first, months)),".format(
+    ", ".join("({}, DATE '{}', '{}')".format(*line.split()) for line in HIJRI_YEARS.split("\n") if line)
+) + """
+m AS (SELECT year, i AS month, 29 + CAST(months[i] AS INTEGER) AS days,
+  first + CAST(29 * (i - 1) + length(replace(months[1 : i - 1], '0', '')) AS INTEGER) AS first_day FROM y, (SELECT unnest(range(1, 13)) AS i))"""
+
+
+@query("hijri_round_trip", f"""
+WITH {HIJRI_CTE}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT o_orderkey, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(date_diff('day', first_day, day) + 1 AS INTEGER) AS day_of_month, day AS back, true AS labelled
+FROM o JOIN m ON day >= first_day AND day < first_day + days""")
 def hijri_round_trip(spark, sf):
     day = F.col("o_orderdate").cast("date")
     parts = table(spark, sf, "orders").select("o_orderkey", day.alias("day"), D.hijri_parts(day).alias("h"))
     return parts.select(
-        "o_orderkey",
+        "o_orderkey", "h.year", "h.month", F.col("h.day").alias("day_of_month"),
         D.hijri_to_date(F.col("h.year"), F.col("h.month"), F.col("h.day")).alias("back"),
         D.hijri_label(F.col("day")).endswith("هـ").alias("labelled"),
     )
 
 
-@query("hijri_month_lengths", """
-SELECT CAST(o_orderdate AS DATE) AS day, true AS in_month FROM orders GROUP BY 1""")
+@query("hijri_month_lengths", f"""
+WITH {HIJRI_CTE}, o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT day, first_day, CAST(days AS INTEGER) AS days, true AS in_month FROM o JOIN m ON day >= first_day AND day < first_day + days""")
 def hijri_month_lengths(spark, sf):
     """Days joined to the calendar dimension: each falls inside the month it converts to."""
     day = F.col("o_orderdate").cast("date")
@@ -155,7 +177,7 @@ def hijri_month_lengths(spark, sf):
     joined = days.join(
         months, (F.col("h.year") == F.col("hijri_year")) & (F.col("h.month") == F.col("hijri_month"))
     )
-    return joined.select("day", inside.alias("in_month"))
+    return joined.select("day", "first_day", "days", inside.alias("in_month"))
 
 
 @query("written_dates", """

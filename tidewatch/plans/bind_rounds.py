@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
+from tidewatch import schemas
 from tidewatch.functions import address as A
+from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.operators.spread import first_per_key
 from tidewatch.plans import rounds
 from tidewatch.plans.bind_events import LOG, STREAK
 from tidewatch.plans.bind_pages import CHANGE_CTE, NEW_BLOCKS_CTE, pages, prior_snapshots
 from tidewatch.plans.registry import query, table
-from tidewatch.plans.sqltext import HOST, TITLE_OF
+from tidewatch.plans.sqltext import BODY_OF, HOST, PRIOR_HTML, TITLE_OF
 from tidewatch.session import cut, scratch_dir
 from tidewatch.streaming import folds
 
@@ -58,6 +61,88 @@ def collection_round(spark, sf):
     return first_per_key(slim, ["host"], F.col("rank"), F.col("url"))
 
 
+def opening_judge(excerpts, insist):
+    """A stand-in for a model: a page whose first letter has an even code is an announcement named by its first word."""
+    out = []
+    for excerpt in excerpts:
+        about = ord(excerpt[0]) % 2 == 0
+        out.append(json.dumps({
+            "isTrainingAnnouncement": about, "product": "coop" if about else "unknown", "titleAr": excerpt.split()[0] if about else None,
+            "opensISO": None, "closesISO": None, "opensRaw": None, "closesRaw": None, "moreOnPage": False, "majors": [], "seats": None,
+            "stipendSAR": None, "durationWeeks": None, "cities": [], "statesZeroCoursesRule": False, "zeroCoursesQuote": None, "applyUrl": None,
+        }))
+    return out
+
+
+def judged(spark, sf, budget=None):
+    """A whole collection round over the pages, from the last round's snapshots."""
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    none = F.lit(None)
+    fetches = pages(spark, sf).select(
+        "url", A.host(F.col("url")).alias("org_id"), "html", at.alias("fetched_at"), F.lit(True).alias("ok"), F.lit(200).alias("status"),
+        F.lit("text/html").alias("content_type"), none.cast("long").alias("bytes"), none.cast("string").alias("error"),
+        F.col("url").alias("final_url"),
+    )
+    # Of the earlier pages, those of even length were still owed a verdict.
+    prior = prior_snapshots(spark, sf).withColumn("pending", F.col("extracted_chars") % 2 == 0)
+    records_ = spark.createDataFrame([], schemas.RECORDS)
+    memory = spark.createDataFrame([], f"fingerprint string, verdict {VERDICT_TYPE}, model string, written_at timestamp")
+    reader = spark.createDataFrame([("cyber", [], False, "x")], "field string, reader_cities array<string>, graduated boolean, field_label string")
+    return rounds.collection_round(
+        fetches, None, page_sources(spark, sf), prior, records_, memory, reader, "m", opening_judge, at, budget
+    )
+
+
+OWED = f"""{CHANGE_CTE}, {NEW_BLOCKS_CTE},
+g AS (SELECT url, list(block ORDER BY position) AS fb FROM fresh GROUP BY url),
+j AS (SELECT c.url, c.html, c.body, c.article, cb.blocks, coalesce(len(eb.blocks), 0) AS had, g.fb, e.body AS was, e.url IS NOT NULL AS known,
+      CASE WHEN length(pa.a) >= 200 AND NOT (length(pa.b) > length(pa.a) * 5 AND length(pa.b) > 200) THEN length(pa.a) ELSE length(pa.b) END % 2 = 0 AS pend
+      FROM bodies c JOIN cb USING (url) LEFT JOIN eb USING (url) LEFT JOIN g USING (url) LEFT JOIN earlier e USING (url)
+      LEFT JOIN (SELECT url, {BODY_OF(PRIOR_HTML)} AS b, {BODY_OF(PRIOR_HTML, 'article')} AS a FROM pages) pa USING (url)),
+t AS (SELECT *, CASE WHEN length(article) >= 200 AND NOT (length(body) > length(article) * 5 AND length(body) > 200)
+      THEN article ELSE body END AS txt, {TITLE_OF('html')} AS title, was IS NULL OR was <> body AS changed FROM j),
+p AS (SELECT *, length(txt) >= 50 AND (changed OR (known AND pend)) AS owes, CASE WHEN had = 0 OR coalesce(len(fb), 0) = 0 THEN txt
+  ELSE array_to_string(list_filter(list_concat([coalesce(title, ''), coalesce(blocks[1], '')], fb), lambda x: x <> ''), chr(10) || chr(10)) END AS payload FROM t),
+r AS (SELECT *, contains(url, '/fr/') OR contains(url, '/es/') OR regexp_matches(payload, '(?i)co-?op|intern|trainee|training|career|graduate|student') AS wanted FROM p)"""
+
+
+@query("round_owed", f"""
+WITH {OWED} SELECT url, changed, CAST(length(payload) AS INTEGER) AS chars, substr(sha256(payload), 1, 32) AS fingerprint FROM r WHERE owes""")
+def round_owed(spark, sf):
+    """Pages owing a verdict: changed now, or left over by the round before."""
+    prior = prior_snapshots(spark, sf).withColumn("pending", F.col("extracted_chars") % 2 == 0)
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    none = F.lit(None)
+    fetches = pages(spark, sf).select(
+        "url", "html", at.alias("fetched_at"), F.lit(True).alias("ok"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+        none.cast("long").alias("bytes"), none.cast("string").alias("error"), F.col("url").alias("final_url"),
+    )
+    told = cut(rounds.told_apart(rounds.read_pages(fetches, None), prior))
+    asked = rounds.routed(rounds.owed_payloads(told, prior), page_sources(spark, sf))
+    return asked.select("url", "changed", F.length("payload").alias("chars"), "fingerprint")
+
+
+@query("judged_round", f"""
+WITH {OWED}, v AS (SELECT *, unicode(substr(payload, 1, 1)) % 2 = 0 AS about FROM r WHERE known OR length(txt) >= 50)
+SELECT url, false AS pending, CASE WHEN owes AND NOT wanted THEN 'no_training_word' END AS settled,
+  CAST(CASE WHEN NOT changed AND NOT (owes AND wanted) AND known THEN 1 END AS INTEGER) AS judge_failures,
+  CASE WHEN owes AND wanted AND about THEN regexp_extract(payload, '^\\s*(\\S+)', 1) END AS title FROM v""")
+def judged_round(spark, sf):
+    """Final snapshots of a whole round, beside the record each page left."""
+    out = judged(spark, sf)
+    titles = out.records.select("url", "title")
+    return out.snapshots.join(titles, "url", "left").select(
+        "url", "pending", F.col("settled_without_verdict").alias("settled"), "judge_failures", "title"
+    )
+
+
+@query("round_health", """
+SELECT 'healthy' AS state, count(*) AS sources FROM pages""")
+def round_health(spark, sf):
+    """Source states a round leaves when every fetch answered."""
+    return judged(spark, sf).health.groupBy("state").agg(F.count("*").alias("sources"))
+
+
 def run_to_end(writer) -> None:
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from tidewatch.functions import lexicon as L
 from tidewatch.functions import text as X
 from tidewatch.functions.dates import date_mentions
+from tidewatch.functions.html import is_banner_only
 from tidewatch.operators import guard, judge, privacy, reports, routing
 from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.operators.spread import first_per_key
 from tidewatch.plans.registry import query, table
 from tidewatch.plans.sqltext import q, squashed, ws
+from tidewatch.sources import tables
 
 
 def documents(spark, sf):
@@ -220,6 +222,36 @@ def redacted_paths(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.redact_paths(raw), 256).alias("redacted_hash"))
 
 
+@query("banner_only", """
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'How can you verify? This is an official government website. ' WHEN 1 THEN 'An official government website. ' ELSE '' END || text AS t FROM documents)
+SELECT doc_id, doc_id % 3 = 0 AND length(t) <= 1200 AS banner FROM d""")
+def banner_only(spark, sf):
+    k = F.col("doc_id") % 3
+    lead = F.when(k == 0, "How can you verify? This is an official government website. ").when(
+        k == 1, "An official government website. "
+    ).otherwise("")
+    return table(spark, sf, "documents").select("doc_id", is_banner_only(F.concat(lead, "text")).alias("banner"))
+
+
+@query("publish_decision", """
+WITH n AS (SELECT count(*) FILTER (WHERE doc_id % 10 = 0) AS moved FROM documents)
+SELECT 'seen' AS reader, moved > 0 AS reader_visible, moved > 0 AS any_change, moved > 0 AS publish FROM n
+UNION ALL SELECT 'waited', false, moved > 0, moved > 0 FROM n UNION ALL SELECT 'fresh', false, moved > 0, false FROM n""")
+def publish_decision(spark, sf):
+    """Whether two versions are worth publishing: to readers of a changed table, of another after a while, and too soon."""
+    before = table(spark, sf, "documents").select("doc_id", "lang")
+    after = before.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "xx").otherwise(F.col("lang")))
+    summaries = {"documents": tables.change_summary(before, after), "labels": tables.change_summary(before, before)}
+    now = F.lit("2024-01-31 09:00:00").cast("timestamp")
+    ago = lambda minutes: F.timestamp_micros(F.unix_micros(now) - minutes * 60_000_000)
+    cases = [("seen", ["documents"], 1), ("waited", ["labels"], 20), ("fresh", ["labels"], 1)]
+    made = [
+        tables.worth_publishing(summaries, readers, ago(minutes), now).withColumn("reader", F.lit(name))
+        for name, readers, minutes in cases
+    ]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 # ---- privacy ------------------------------------------------------------------------
 
 
