@@ -117,14 +117,14 @@ DATE_SHAPED = L.any_of(
 )
 
 
-def triage_excerpt(text: Column) -> Column:
+def triage_excerpt(text: Column, head_chars: int = L.TRIAGE_HEAD, around_chars: int = L.TRIAGE_AROUND) -> Column:
     """The head of a page, plus a window round its training word when that is deeper."""
-    head = F.substring(text, 1, L.TRIAGE_HEAD)
+    head = F.substring(text, 1, head_chars)
 
     def cut(at: Column) -> Column:
-        start = F.greatest(F.lit(0), at - L.TRIAGE_AROUND // 2)
-        around = F.substring(text, start + 1, F.lit(L.TRIAGE_AROUND))
-        return F.when(at < L.TRIAGE_HEAD, head).otherwise(
+        start = F.greatest(F.lit(0), at - around_chars // 2)
+        around = F.substring(text, start + 1, F.lit(around_chars))
+        return F.when(at < head_chars, head).otherwise(
             F.concat(head, F.lit(L.EXCERPT_SEPARATOR), around)
         )
 

@@ -59,7 +59,7 @@ def score_links(links: DataFrame, owner: str = "org_id") -> DataFrame:
     return first_per_key(scored, [owner, "url"], -F.col("score"), F.col("label"))
 
 
-def best_new_links(scored: DataFrame, known: DataFrame, owner: str = "org_id", k: int = L.LINKS_PER_ORG) -> DataFrame:
+def best_new_links(scored: DataFrame, known: DataFrame, owner: str = "org_id", k: int | None = L.LINKS_PER_ORG) -> DataFrame:
     """The best links per organisation among addresses it does not list yet."""
     address = A.canonical(F.col("url"))
     listed = known.select(owner, A.canonical(F.col("url")).alias("_address")).distinct()
@@ -155,7 +155,7 @@ def strongest_sources(sources: DataFrame) -> DataFrame:
     )
 
 
-def bound_attempts(attempts: DataFrame, k: int = L.ATTEMPTS_PER_TARGET) -> DataFrame:
+def bound_attempts(attempts: DataFrame, k: int | None = L.ATTEMPTS_PER_TARGET) -> DataFrame:
     """The newest attempts of each target."""
     return top_k(attempts, ["target_id"], [F.desc("checked_at"), F.col("url_tried")], k, "_n").drop("_n")
 

@@ -75,12 +75,15 @@ def distinct_faces(notices: DataFrame, by: list[str]) -> DataFrame:
     ).drop("_face")
 
 
-def release(notices: DataFrame, log: DataFrame, as_of: Column, quiet: bool, by: str = "reader_id") -> DataFrame:
+def release(
+    notices: DataFrame, log: DataFrame, as_of: Column, quiet: bool, by: str = "reader_id",
+    openings_a_day: int | None = L.DAILY_OPPORTUNITY_CAP, others_a_day: int | None = L.DAILY_PUSH_CAP,
+) -> DataFrame:
     """Notices with ``outlet``: push or digest.  What is neither stays pending.
 
-    By day openings have a budget of 20 and everything else one of 6, less what
-    the day already sent.  In quiet hours only closing windows are pushed, within
-    one budget of 6.
+    By day openings have one budget and everything else another, less what the day
+    already sent.  In quiet hours only closing windows are pushed, within the second
+    budget.  None is no bound.  What a budget leaves out stays in the queue.
     """
     keys = [by]
     fresh = undelivered(notices, log, as_of, keys).withColumn(
@@ -94,17 +97,20 @@ def release(notices: DataFrame, log: DataFrame, as_of: Column, quiet: bool, by:
     else:
         rest = distinct_faces(fresh, keys)
         candidates = rest.withColumn("_class", F.when(opening, "opening").otherwise("other"))
-    cap = L.DAILY_PUSH_CAP if quiet else max(L.DAILY_OPPORTUNITY_CAP, L.DAILY_PUSH_CAP)
+    no_bound = (1 << 31) - 1
+    few = no_bound if others_a_day is None else others_a_day
+    many = no_bound if openings_a_day is None else openings_a_day
+    cap = few if quiet else max(many, few)
     ranked = top_k(
         candidates.select(by, "key", "_class", "effective"),
-        [by, "_class"], [F.desc("effective"), F.col("key")], cap, "_rank",
+        [by, "_class"], [F.desc("effective"), F.col("key")], None if cap == no_bound else cap, "_rank",
     ).join(sent_today(log, as_of, keys), by, "left")
     openings = F.coalesce("_sent_openings", F.lit(0))
     others = F.coalesce("_sent_others", F.lit(0))
     room = (
-        F.when(F.col("_class") == "any", F.lit(L.DAILY_PUSH_CAP) - openings - others)
-        .when(F.col("_class") == "opening", F.lit(L.DAILY_OPPORTUNITY_CAP) - openings)
-        .otherwise(F.lit(L.DAILY_PUSH_CAP) - others)
+        F.when(F.col("_class") == "any", F.lit(few) - openings - others)
+        .when(F.col("_class") == "opening", F.lit(many) - openings)
+        .otherwise(F.lit(few) - others)
     )
     push = ranked.where(F.col("_rank") <= room).select(by, "key", F.lit(True).alias("_push"))
     return (

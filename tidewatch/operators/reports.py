@@ -252,18 +252,13 @@ def verification_rounds(attempts: DataFrame, targets: DataFrame) -> DataFrame:
     ).withColumn("untouched", untouched.agg(F.count("*")).scalar())
 
 
-def work_queue(orgs: DataFrame, k: int = 10) -> DataFrame:
+def work_queue(orgs: DataFrame, k: int | None = 10) -> DataFrame:
     """Organisations nearest the reader's field that still lack a verified link."""
     sectors = F.array(*[F.lit(s) for s in L.SECTOR_WORK_ORDER])
     rank = F.when(F.array_contains(sectors, F.col("sector")), F.array_position(sectors, F.col("sector"))).otherwise(0)
     held = F.when(F.col("n_sources") > 0, "lead").when(F.col("has_channel"), "email").otherwise("nothing")
-    return (
-        orgs.where(~F.col("has_manual_check"))
-        .withColumn("held", held)
-        .orderBy(tier_rank(F.col("tier")), rank, "org_id")
-        .limit(k)
-        .select("org_id", "tier", "sector", "held")
-    )
+    queue = orgs.where(~F.col("has_manual_check")).withColumn("held", held).orderBy(tier_rank(F.col("tier")), rank, "org_id")
+    return (queue if k is None else queue.limit(k)).select("org_id", "tier", "sector", "held")
 
 
 def benchmark_replay(cases: DataFrame, records: DataFrame) -> DataFrame:

@@ -17,8 +17,10 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", salts: int = 32) -> DataFrame:
-    """The first ``k`` rows per key with their rank.
+def top_k(
+    df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank", salts: int = 32
+) -> DataFrame:
+    """The first ``k`` rows per key with their rank; all rows, ranked, when ``k`` is None.
 
     A key's rows are first ranked in ``salts`` independent slices, so no task
     sorts a whole hot group; only ``salts * k`` rows per key reach the last step.
@@ -26,6 +28,8 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     slice_id = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(salts))
     sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
+    if k is None:
+        return df.withColumn(rank, F.row_number().over(whole))
     return (
         df.withColumn("_slice", slice_id)
         .withColumn("_near", F.row_number().over(sliced))
@@ -57,7 +61,7 @@ def running_total(df: DataFrame, rank: str, key: str, value: str, out: str, bits
     )
     return (
         placed.withColumn("_inside", F.sum(value).over(inside))
-        .join(F.broadcast(offsets), [rank, "_bucket"])
+        .join(offsets, [rank, "_bucket"])  # both sides lie by (rank, bucket) already
         .withColumn(out, F.col("_inside") + F.col("_offset"))
         .drop("_spot", "_bucket", "_inside", "_offset")
     )

@@ -620,7 +620,7 @@ SELECT origin, CASE WHEN bool_or(outcome = 'read' AND len(hrefs) > 0) THEN 'read
   WHEN bool_or(outcome = 'unreachable') THEN 'unreachable' ELSE 'no_sitemap_published' END AS outcome FROM files GROUP BY origin""")
 def sitemap_outcomes(spark, sf):
     _, reasons = sitemaps.expand(sitemap_roots(spark, sf), sitemap_files(spark, sf))
-    return reasons
+    return reasons.select("origin", "outcome")
 
 
 @query("sitemap_novelty", f"""

@@ -10,6 +10,7 @@ from tidewatch.functions import html as H
 from tidewatch.functions import lexicon as L
 from tidewatch.functions.text import blank_to_null, squash
 from tidewatch.operators.spread import first_per_key, top_k
+from tidewatch.session import cut
 
 
 def _entries(xml: Column, tag: str) -> Column:
@@ -53,37 +54,40 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
-def expand(roots: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def expand(
+    roots: DataFrame, files: DataFrame, most: int | None = L.MAX_URLS_PER_SITEMAP
+) -> tuple[DataFrame, DataFrame]:
     """Follow indexes two levels down over landed files.
 
-    ``roots``: ``origin, url`` of each origin's own sitemaps.  Returns the
-    declared entries ``origin, loc, lastmod`` (distinct, at most 5,000 an origin)
-    and one outcome per origin.
+    ``roots``: ``origin, url`` of each origin's own sitemaps.  Returns the declared
+    entries ``origin, loc, lastmod`` (distinct, at most ``most`` an origin, None: all)
+    and one outcome per origin with ``declared`` and ``left_out``, how many of its
+    entries stand and how many the bound leaves out.
+
+    Which file names which is parsed once and kept as slim edges; a frontier of files
+    walks over them, and entries are only read of files it reached.
     """
     parsed = parse(files)
+    edges = cut(parsed.select("url", F.transform("children", lambda c: c["loc"]).alias("children")).where(F.size("children") > 0))
     level = roots.select("origin", "url").distinct()
-    reached = None
-    for depth in range(L.MAX_SITEMAP_DEPTH + 1):
-        here = level.join(parsed, "url", "left").withColumn("depth", F.lit(depth))
-        reached = here if reached is None else reached.unionByName(here)
-        level = (
-            here.select("origin", F.explode("children").alias("c"))
-            .select("origin", F.col("c.loc").alias("url"))
-            .distinct()
-        )
-    seen = reached.select(
-        "origin", "url", "depth", F.coalesce("outcome", F.lit("unreachable")).alias("outcome"), "urls"
+    walked = level.withColumn("depth", F.lit(0))
+    for depth in range(1, L.MAX_SITEMAP_DEPTH + 1):
+        level = level.join(edges, "url").select("origin", F.explode("children").alias("url")).distinct()
+        walked = walked.unionByName(level.withColumn("depth", F.lit(depth)))
+    # A file reached twice is read once.
+    reached = walked.select("origin", "url").distinct()
+    seen = reached.join(parsed.drop("children"), "url", "left").select(
+        "origin", "url", F.coalesce("outcome", F.lit("unreachable")).alias("outcome"), "urls"
     )
-    # A file reached twice is read once, at its shallowest.
-    seen = first_per_key(seen, ["origin", "url"], F.col("depth"))
     listed = seen.select("origin", "url", F.posexplode("urls").alias("position", "e")).select(
         "origin", F.col("e.loc").alias("loc"), F.col("e.lastmod").alias("lastmod"), "url", "position"
     )
     distinct = first_per_key(listed, ["origin", "loc"], F.col("url"), F.col("position"))
-    bounded = top_k(
-        distinct, ["origin"], [F.col("url"), F.col("position")], L.MAX_URLS_PER_SITEMAP, "_n"
-    )
-    return bounded.select("origin", "loc", "lastmod"), outcomes(seen)
+    bounded = distinct if most is None else top_k(distinct, ["origin"], [F.col("url"), F.col("position")], most, "_n")
+    declared = distinct.groupBy("origin").agg(F.count("*").alias("declared"))
+    over = F.lit(0) if most is None else F.greatest(F.col("declared") - most, F.lit(0))
+    told = outcomes(seen).join(declared, "origin", "left").withColumn("declared", F.coalesce("declared", F.lit(0)))
+    return bounded.select("origin", "loc", "lastmod"), told.withColumn("left_out", over.cast("long"))
 
 
 def outcomes(read_files: DataFrame) -> DataFrame:
@@ -119,13 +123,15 @@ def url_fingerprint(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 16)
 
 
-def novelty(entries: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
+def novelty(
+    entries: DataFrame, seen: DataFrame, known: DataFrame, most: int | None = L.MAX_NEW_PER_ORG
+) -> DataFrame:
     """Training urls with what becomes of each: baseline, carried, surfaced or held.
 
     ``entries``: ``org_id, origin, loc``; ``seen``: ``org_id, origin,
     fingerprint``; ``known``: ``org_id, origin`` read before.  A first reading is
-    only a baseline; later at most 20 unseen urls surface, and the ones held back
-    stay unseen.
+    only a baseline; later at most ``most`` unseen urls surface (None: all), and the
+    ones held back stay unseen and are returned as held.
     """
     keys = ["org_id", "origin"]
     training = (
@@ -138,7 +144,7 @@ def novelty(entries: DataFrame, seen: DataFrame, known: DataFrame) -> DataFrame:
     read = known.select(*keys).distinct().withColumn("_known", F.lit(True))
     marked = training.join(before, [*keys, "fingerprint"], "left").join(read, keys, "left")
     unseen = marked.where("_known AND _seen IS NULL").select(*keys, "loc")
-    surfaced = top_k(unseen, keys, [F.col("loc")], L.MAX_NEW_PER_ORG, "_n").select(
+    surfaced = top_k(unseen, keys, [F.col("loc")], most, "_n").select(
         *keys, "loc", F.lit(True).alias("_surfaced")
     )
     fate = (

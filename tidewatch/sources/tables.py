@@ -134,9 +134,11 @@ def targets(
     return every if limit is None else every.orderBy("owner_id", "url").limit(limit)
 
 
-def cap_rendered(watched: DataFrame, cap: int = L.MAX_RENDERED_SOURCES) -> tuple[DataFrame, DataFrame]:
-    """Rendered targets inside the cap, and the rest as failures that say why."""
+def cap_rendered(watched: DataFrame, cap: int | None = L.MAX_RENDERED_SOURCES) -> tuple[DataFrame, DataFrame]:
+    """Rendered targets inside the cap (None: all), and the rest as failures that say why."""
     rendered = watched.where("renderMode = 'browser'")
+    if cap is None:
+        return rendered, rendered.where("false").withColumn("error", F.lit(None).cast("string"))
     inside = rendered.orderBy("url", "owner_id").limit(cap)
     total = rendered.agg(F.count("*")).scalar()
     overflow = rendered.join(inside.select("url", "owner_id"), ["url", "owner_id"], "left_anti").withColumn(

@@ -23,10 +23,10 @@ Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class VersionedState:
-    """A table with one version per batch, in a shared folder."""
+    """A table with one version per batch, in a shared folder; the last ``keep`` versions stay."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 4):
+        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
 
     def _at(self, batch_id: int) -> str:
         return f"{self.path}/batch={batch_id}"
@@ -39,6 +39,14 @@ class VersionedState:
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._at(batch_id))
+        self._forget(batch_id - self.keep)
+
+    def _forget(self, batch_id: int) -> None:
+        """Old versions go: a batch that is run again only needs the one before it."""
+        if batch_id >= 0:
+            hadoop = self.spark._jvm.org.apache.hadoop.fs
+            path = hadoop.Path(self._at(batch_id))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def folding(stream: DataFrame, state: VersionedState, fold: Fold, checkpoint: str) -> DataStreamWriter:
