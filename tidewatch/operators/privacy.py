@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon as L
@@ -44,6 +45,14 @@ def scan(texts: DataFrame, keys: list[str], text: str = "text", origin: str | No
     return texts.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
 
 
+def rules_with_account(account: str | None, rules=None) -> list[tuple[str, str, str | None]]:
+    """The rules, and one for an account name, which no origin may show; None adds nothing."""
+    rules = list(L.PRIVACY_RULES if rules is None else rules)
+    if account:
+        rules.append(("account_name", f"{L.NOT_WORD_BEFORE}{re.escape(account)}{L.NOT_WORD_AFTER}", None))
+    return rules
+
+
 def scan_reasons(records: DataFrame) -> DataFrame:
     """Published reasons that say something about the reader: ``id, rule``."""
     hits = F.array_compact(
@@ -66,3 +75,22 @@ def introduced(versions: DataFrame, previous: DataFrame, keys: list[str], text:
     return scan(added, keys, "line", rules=rules).groupBy(*keys, "rule").agg(
         F.sum("hits").cast("long").alias("hits")
     )
+
+
+def introduced_by_version(
+    versions: DataFrame, keys: list[str], version: str, text: str = "text", rules=None
+) -> DataFrame:
+    """Hits in lines each version of a text added over the version before it: ``keys, version, rule, hits``.
+
+    The first version adds all its lines.  Versions are put in order on slim rows;
+    lines are compared by hash, one set per version, so no history is gathered.
+    """
+    order = Window.partitionBy(*keys).orderBy(version)
+    before = versions.select(*keys, version).distinct().withColumn("_before", F.lag(version).over(order))
+    lines = versions.select(*keys, version, F.explode(F.split(F.col(text), "\n")).alias("line")).withColumn("_h", F.md5("line"))
+    was = lines.select(*keys, F.col(version).alias("_before"), "_h").distinct()
+    now = lines.join(before, [*keys, version])
+    added = now.join(was, [*keys, "_before", "_h"], "left_anti").select(*keys, version, "line")
+    return scan(added, [*keys, version], "line", rules=rules).groupBy(*keys, version, "rule").agg(
+        F.sum("hits").cast("long").alias("hits")
+    )

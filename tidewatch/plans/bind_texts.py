@@ -277,6 +277,34 @@ def pii_introduced(spark, sf):
     return privacy.introduced(now, was, ["doc_id"])
 
 
+@query("privacy_rules", """
+WITH h AS (SELECT doc_id, CASE lang WHEN 'fr' THEN 'credentials' WHEN 'de' THEN CASE WHEN source = 'src1' THEN NULL ELSE 'circumstances' END WHEN 'es' THEN 'account_name' ELSE 'local_path' END AS rule FROM documents)
+SELECT doc_id, rule FROM h WHERE rule IS NOT NULL""")
+def privacy_rules(spark, sf):
+    """One planted trait a language; circumstances are allowed in one source."""
+    rules = [r if r[0] != "circumstances" else (r[0], r[1], "^src1$") for r in privacy.rules_with_account("some.body")]
+    lang = F.col("lang")
+    said = F.when(lang == "fr", " First Class Honours").when(lang == "de", " free accommodation").when(lang == "es", " by some.body, yes").otherwise(" /home/xyz")
+    docs = table(spark, sf, "documents").withColumn("text", F.concat("text", said))
+    found = privacy.scan(docs, ["doc_id"], origin="source", rules=rules)
+    return found.where("rule <> 'any_mailbox' AND rule <> 'personal_email'").select("doc_id", "rule")
+
+
+@query("pii_by_version", f"""
+WITH v AS (SELECT doc_id, 1 AS v, regexp_replace(text, {q(MAILBOX)}, 'gone', 'g') AS text FROM documents UNION ALL SELECT doc_id, 2, text FROM documents
+  UNION ALL SELECT doc_id, 3, text || chr(10) || 'write to new@mail.example' FROM documents),
+l AS (SELECT doc_id, v, unnest(string_split(text, chr(10))) AS line FROM v),
+a AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l p WHERE p.doc_id = l.doc_id AND p.v = l.v - 1 AND p.line = l.line))
+SELECT doc_id, v, 'any_mailbox' AS rule, CAST(sum(len(regexp_extract_all(line, {q(MAILBOX)}))) AS BIGINT) AS hits FROM a WHERE regexp_matches(line, {q(MAILBOX)}) GROUP BY doc_id, v""")
+def pii_by_version(spark, sf):
+    now = table(spark, sf, "documents").select("doc_id", "text")
+    clean = F.regexp_replace("text", MAILBOX, "gone")
+    more = F.concat("text", F.lit("\nwrite to new@mail.example"))
+    versions = [now.select("doc_id", F.lit(i).alias("v"), text.alias("text")) for i, text in ((1, clean), (2, F.col("text")), (3, more))]
+    found = privacy.introduced_by_version(versions[0].unionByName(versions[1]).unionByName(versions[2]), ["doc_id"], "v")
+    return found.where("rule = 'any_mailbox'")
+
+
 @query("reason_privacy", f"""
 SELECT CAST(doc_id AS VARCHAR) AS id, 'a mailbox' AS rule FROM documents WHERE regexp_matches(text, {q(MAILBOX)})
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'a certificate' FROM documents WHERE regexp_matches(text, '(?i)Security\\+|CCNA|CEH')""")
