@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import address as A
 from tidewatch.functions import text as X
 from tidewatch.operators.spread import first_per_key, spread_join
+from tidewatch.session import cut
 
 
 def _variants(name: Column) -> Column:
@@ -81,11 +82,12 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     Two independent signs are required: a shared domain, two or more equal urls
     (which bring the domain with them), the same mail domain, or names within two
     edits.  Each pair of signs is a key; members of a key are linked to its
-    keeper, so a group of copies yields one row per copy.
+    keeper, so a group of copies yields one row per copy.  ``reasons`` are those of
+    the link shown; two members joined through a keeper may share more.
     """
     counts = sources.groupBy("org_id").agg(F.countDistinct("url").alias("n_sources"))
     mail = F.lower(F.regexp_extract("apply_target", "@([^@\\s]+)$", 1))
-    base = (
+    base = cut(
         orgs.join(counts, "org_id", "left")
         .select(
             "org_id",
@@ -94,7 +96,7 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
             F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
         )
     )
-    domains = (
+    domains = cut(
         sources.select("org_id", A.registered_domain(F.col("url")).alias("domain"))
         .where("domain IS NOT NULL").distinct().join(base, "org_id")
     )
@@ -107,7 +109,7 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     )
     # Equal names first: copies are linked once and one of them goes on.
     same_name = _star(blocks, ["block", "name"], "block+name")
-    one_each = first_per_key(blocks, ["block", "name"], -F.col("n_sources"), F.col("org_id"))
+    one_each = cut(first_per_key(blocks, ["block", "name"], -F.col("n_sources"), F.col("org_id")))
     crowded = one_each.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block")
     # Each name becomes many variants, so rows are spread before they multiply.
     spread = one_each.join(crowded, "block", "left_semi").repartition(
@@ -120,18 +122,12 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     near = _near_names(varied)
 
     urls = sources.select("org_id", "url").distinct()
-    per_org = urls.groupBy("org_id").agg(F.array_sort(F.collect_set("url")).alias("_urls"))
-    two_urls = F.flatten(
-        F.transform(
-            F.col("_urls"),
-            lambda a: F.transform(
-                F.filter(F.col("_urls"), lambda b: b > a), lambda b: F.concat_ws(" ", a, b)
-            ),
-        )
-    )
-    shared = per_org.select("org_id", F.explode(two_urls).alias("urls")).join(
-        base.select("org_id", "n_sources"), "org_id"
-    )
+    # Only urls that several organisations list can be shared; two of them are a key, a row each.
+    several = urls.groupBy("url").agg(F.count("*").alias("_n")).where("_n > 1").select("url")
+    common = cut(urls.join(several, "url", "left_semi"))
+    other = common.select("org_id", F.col("url").alias("_other"))
+    two_urls = common.join(other, "org_id").where("url < _other").select("org_id", F.concat_ws(" ", "url", "_other").alias("urls"))
+    shared = two_urls.join(base.select("org_id", "n_sources"), "org_id")
     by_urls = _star(shared, ["urls"], "urls")
     return (
         by_mail.unionByName(same_name).unionByName(near).unionByName(by_urls)
@@ -145,7 +141,7 @@ def _near_names(varied: DataFrame) -> DataFrame:
     key = ["block", "variant", "masks"]
     who = F.xxhash64("org_id")
     met = varied.groupBy(*key).agg(F.min(who).alias("_a"), F.max(who).alias("_b")).where("_a <> _b")
-    varied = varied.join(met.select(*key), key, "left_semi")
+    varied = cut(varied.join(met.select(*key), key, "left_semi"))  # most variants meet nobody
     centre = F.struct(
         "drops", (-F.col("n_sources")).alias("s"), F.col("org_id").alias("o"), F.col("name").alias("name")
     )
