@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates as D
+from tidewatch.functions import lexicon as L
 from tidewatch.operators import due, health, notices, release
 from tidewatch.operators.spread import first_per_key
 from tidewatch.plans.registry import query, table
+from tidewatch.plans.sqltext import q
 
 AS_OF = "2024-01-31 09:00:00"
 
@@ -193,6 +195,18 @@ def broken_notice(spark, sf):
     return notices.broken_notices(before, named, names, as_of()).select("kind", "title", "weight")
 
 
+@query("day_labels", f"""
+WITH e AS (SELECT event_id, ts, round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 60000000.0) AS m FROM events),
+a AS (SELECT *, round(m / 60) AS h, round(round(m / 60) / 24) AS d FROM e)
+SELECT event_id, CASE WHEN m < 2 THEN 'الآن' WHEN m < 60 THEN 'قبل ' || CAST(m AS INTEGER) || ' دقيقة' WHEN h < 24 THEN 'قبل ' || CAST(h AS INTEGER) || ' ساعة' ELSE 'قبل ' || CAST(d AS INTEGER) || ' يوم' END AS ago,
+  day(ts) || ' ' || [{', '.join(q(n) for n in L.GREGORIAN_MONTH_NAMES)}][month(ts)] || ' ' || year(ts) AS day FROM a""")
+def day_labels(spark, sf):
+    """Days and ages in words."""
+    return table(spark, sf, "events").select(
+        "event_id", D.time_ago(F.col("ts"), as_of()).alias("ago"), D.gregorian_label(F.col("ts").cast("date")).alias("day")
+    )
+
+
 @query("last_check", f"""
 SELECT epoch_us(max(ts)) AS last_check, round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 3600000000.0, 6) AS hours_since FROM events""")
 def last_check(spark, sf):

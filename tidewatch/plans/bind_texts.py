@@ -10,7 +10,7 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions import text as X
 from tidewatch.functions.dates import date_mentions
 from tidewatch.functions.html import is_banner_only
-from tidewatch.operators import guard, judge, privacy, reports, routing
+from tidewatch.operators import guard, judge, privacy, records, reports, routing
 from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.operators.spread import first_per_key
 from tidewatch.plans.registry import query, table
@@ -413,6 +413,29 @@ def triage_replies(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", judge.reads_as_no(answer).alias("triaged_out"))
 
 
+@query("placeholder_records", f"""
+WITH d AS (SELECT doc_id, text, lang, n_chars FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS url, {q(L.UNJUDGED_TITLE)} AS title, 'unknown' AS status, 'needs_manual_review' AS flags,
+ {q(L.REASONS['unjudged_prefix'])} || CASE WHEN lang = 'fr' THEN 'جاء الردّ بصيغة غير متوقّعة، فلم يُقبل. الصفحة محفوظة وستُعاد قراءتها.' WHEN lang = 'de' THEN 'تعذّر الوصول إلى خدمة التصنيف. الصفحة محفوظة وستُقرأ في الجولة القادمة.'
+ ELSE 'لم تُقرأ هذه الصفحة بعد. هي محفوظة في الطابور، ولم يُحكم عليها بشيء.' END AS reason,
+ CASE WHEN n_chars % 2 = 0 THEN '2024-01-05' ELSE '2024-01-31' END AS first_seen_day, sha256(substr(text, 1, 400)) AS excerpt_hash FROM d""")
+def placeholder_records(spark, sf):
+    """Records of pages nobody could judge, some of them seen before."""
+    lang = F.col("lang")
+    failed = table(spark, sf, "documents").select(
+        F.lit("o").alias("org_id"), F.col("doc_id").cast("string").alias("url"), "text",
+        F.when(lang == "fr", "schema").when(lang == "de", "api").otherwise("else").alias("stage"),
+        F.when(lang == "fr", "missing seats").when(lang == "de", "socket closed").otherwise("who knows").alias("reason"),
+        F.when(F.col("n_chars") % 2 == 0, F.lit("2024-01-05").cast("timestamp")).alias("prior_first_seen"),
+        F.lit(None).cast("timestamp").alias("prior_detected"),
+    )
+    made = records.placeholders(failed, F.lit("2024-01-31 09:00:00").cast("timestamp"))
+    return made.select(
+        "url", "title", "status", F.array_join("flags", ",").alias("flags"), "reason",
+        F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen_day"), F.sha2("excerpt", 256).alias("excerpt_hash"),
+    )
+
+
 @query("verdict_failures", """
 SELECT CASE WHEN lang = 'fr' THEN 'جاء الردّ بصيغة غير متوقّعة، فلم يُقبل. الصفحة محفوظة وستُعاد قراءتها.' WHEN lang = 'de' THEN 'تعذّر الوصول إلى خدمة التصنيف. الصفحة محفوظة وستُقرأ في الجولة القادمة.'
  WHEN lang = 'es' THEN 'تجاوزنا حدّ الطلبات مؤقّتاً. الصفحة محفوظة وستُقرأ في الجولة القادمة.' ELSE 'لم تُقرأ هذه الصفحة بعد. هي محفوظة في الطابور، ولم يُحكم عليها بشيء.' END AS why, count(*) AS pages FROM documents GROUP BY 1""")
