@@ -233,8 +233,19 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {r.url: r for r in state.read(2).collect()}
     assert {u: (r.consecutive_failures, r.state, r.last_error, r.last_success) for u, r in got.items()} == {
         u: (r.consecutive_failures, r.state, r.last_error, r.last_success) for u, r in want.items()}
-    again = folds.fold_health(state.read(2), log)  # everything is older than the state
-    assert {r.url: r.consecutive_failures for r in again.collect()} == {u: r.consecutive_failures for u, r in got.items()}
+    # A small batch only writes the buckets it touches; old versions go, the state stays whole.
+    one = spark.createDataFrame([("u1", base + dt.timedelta(days=1), 9999, True, None)], schemas.FETCH_LOG)
+    for batch_id in range(3, 9):
+        touched = state.touched(one)
+        assert len(touched) == 1
+        state.write(folds.fold_health(state.read(batch_id - 1, touched), one), batch_id, touched)
+    assert {r.url for r in state.newest().collect()} == set(want)
+    assert {r.url: r.consecutive_failures for r in state.read(8).where("url <> 'u1'").collect()} == {u: r.consecutive_failures for u, r in want.items() if u != "u1"}
+    import glob
+
+    assert len(glob.glob(f"{folder}/health/manifest/batch=*")) == 4 and not glob.glob(f"{folder}/health/data/batch=3/bucket=*")
+    again = folds.fold_health(state.read(8), log)  # everything is older than the state
+    assert {r.url: r.consecutive_failures for r in again.where("url <> 'u1'").collect()} == {u: r.consecutive_failures for u, r in got.items() if u != "u1"}
 
 
 def test_snapshot_and_log_folds(spark):

@@ -162,6 +162,5 @@ def stream_health(spark, sf):
     )
     folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     run_to_end(folds.health_stream(spark, log, folder))
-    state = spark.read.parquet(f"{folder}/health")
-    newest = state.agg(F.max("batch")).scalar()
-    return state.where(F.col("batch") == newest).select("url", "consecutive_failures", "state")
+    state = folds.VersionedState(spark, f"{folder}/health", schemas.HEALTH)
+    return state.newest().select("url", "consecutive_failures", "state")

@@ -1,16 +1,16 @@
 """State kept across micro-batches: health, snapshots and the notice log.
 
 Each batch folds its rows into the previous state with the same operator a batch
-job uses, and writes the result as the version of that batch.  A batch that is
-run again reads the same previous version and writes the same rows, so replays
-change nothing, and no key is ever folded row by row in Python.
+job uses, and writes the buckets it touched as the version of that batch.  A batch
+that is run again reads the same previous version and writes the same rows, so
+replays change nothing, and no key is ever folded row by row in Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -23,37 +23,78 @@ Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class VersionedState:
-    """A table with one version per batch, in a shared folder; the last ``keep`` versions stay."""
+    """A table in hashed buckets of its key, in a shared folder, with one version per batch.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 4):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+    A batch writes only the buckets its keys fall into; a small manifest per batch says
+    which version of each bucket stands after it.  A batch that is run again starts from
+    the manifest before it, so it writes the same rows.  What no manifest of the last
+    ``keep`` batches names is deleted.  With one bucket every batch rewrites the table.
+    """
 
-    def _at(self, batch_id: int) -> str:
-        return f"{self.path}/batch={batch_id}"
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "url", buckets: int = 64, keep: int = 4):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.key, self.buckets, self.keep = key, buckets, keep
 
-    def read(self, batch_id: int) -> DataFrame:
-        """State after ``batch_id``; empty before the first."""
-        if batch_id < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._at(batch_id))
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._at(batch_id))
-        self._forget(batch_id - self.keep)
+    def touched(self, batch: DataFrame) -> list[int]:
+        """Buckets the batch falls into: at most ``buckets`` numbers."""
+        if self.buckets == 1:
+            return [0]
+        return sorted(r[0] for r in batch.select(self.bucket()).distinct().collect())
 
-    def _forget(self, batch_id: int) -> None:
-        """Old versions go: a batch that is run again only needs the one before it."""
-        if batch_id >= 0:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs
-            path = hadoop.Path(self._at(batch_id))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def _manifest(self, batch_id: int) -> dict[int, int]:
+        """Version of every bucket after a batch; empty before the first."""
+        if batch_id < 0:
+            return {}
+        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.path}/manifest/batch={batch_id}")
+        return {r.bucket: r.version for r in rows.collect()}
+
+    def _data(self, version: int, bucket: int) -> str:
+        return f"{self.path}/data/batch={version}/bucket={bucket}"
+
+    def read(self, batch_id: int, only: list[int] | None = None) -> DataFrame:
+        """State after ``batch_id``, all of it or some buckets; empty before the first."""
+        standing = self._manifest(batch_id)
+        paths = [self._data(v, b) for b, v in sorted(standing.items()) if only is None or b in only]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def newest(self) -> DataFrame:
+        """State after the last batch."""
+        batches = self.spark.read.option("basePath", f"{self.path}/manifest").parquet(f"{self.path}/manifest")
+        return self.read(batches.agg(F.max("batch")).first()[0])
+
+    def write(self, df: DataFrame, batch_id: int, touched: list[int]) -> None:
+        folder = f"{self.path}/data/batch={batch_id}"
+        rows = df.withColumn("bucket", self.bucket() if self.buckets > 1 else F.lit(0))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        made = self.spark.read.schema(f"{self.schema}, bucket int").parquet(folder).select("bucket").distinct().collect()
+        standing = {b: v for b, v in self._manifest(batch_id - 1).items() if b not in touched}
+        standing |= {r.bucket: batch_id for r in made}
+        listed = self.spark.createDataFrame(sorted(standing.items()), "bucket int, version long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")
+        if batch_id >= self.keep:
+            self._forget(batch_id - self.keep, batch_id)
+
+    def _forget(self, old: int, batch_id: int) -> None:
+        needed = {pair for b in range(old + 1, batch_id + 1) for pair in self._manifest(b).items()}
+        gone = [self._data(v, b) for b, v in self._manifest(old).items() if (b, v) not in needed]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for name in [*gone, f"{self.path}/manifest/batch={old}"]:
+            path = hadoop.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def folding(stream: DataFrame, state: VersionedState, fold: Fold, checkpoint: str) -> DataStreamWriter:
-    """A writer that folds every micro-batch of ``stream`` into ``state``."""
+    """A writer that folds every micro-batch of ``stream`` into the buckets of ``state`` it touches."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state.write(fold(state.read(batch_id - 1), batch), batch_id)
+        touched = state.touched(batch)
+        state.write(fold(state.read(batch_id - 1, touched), batch), batch_id, touched)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
@@ -115,5 +156,6 @@ def snapshot_stream(spark: SparkSession, fetches: DataFrame, folder: str) -> Dat
 
 
 def log_stream(spark: SparkSession, sends: DataFrame, folder: str) -> DataStreamWriter:
-    state = VersionedState(spark, f"{folder}/log", schemas.NOTICE_LOG)
+    # Retention looks at the newest send of all, so the log is one bucket.
+    state = VersionedState(spark, f"{folder}/log", schemas.NOTICE_LOG, "reader_id", buckets=1)
     return folding(sends, state, fold_log, f"{folder}/_log")
