@@ -38,6 +38,8 @@ LONG = "Boats left the harbour before the sun was up, and nobody on the quay had
     ("<article><script>var a='</p><p>x';</script><p>" + LONG + "</p><style>p{}</style></article>", LONG.strip()),
     ("<div hidden>no</div><article>" + LONG + "<div style='display: none'>no</div></article>", LONG.strip()),
     ("<article><p><b>" + LONG + "<br><p>next</article>", LONG.strip() + "\n\nnext"),
+    ("<div id='content'><p>" + LONG + "</p></div><div id='mainnav'><p>" + LONG * 2 + "</p></div><div class='cookieBar'>" + LONG * 3 + "</div>", LONG.strip()),
+    ("<article class='commentary'><p>" + LONG + "</p></article>", LONG.strip()),
     ("<a title='x>y'>" + LONG + "</a>", LONG.strip()),
 ])
 def test_page_texts(html, text):
@@ -51,7 +53,7 @@ def test_any_markup_is_read(html):
 
 
 def test_pages_of_a_host_agree_on_a_path(spark):
-    good = lambda n: f"<body><div class='side-{n}'><p>{'promo words ' * (60 if n == 3 else 2)}</p></div><div class='c{n} txt'><p>{LONG * 2}{n}</p></div></body>"
+    good = lambda n: f"<body><div class='extra-{n}'><p>{'promo words ' * (60 if n == 3 else 2)}</p></div><div class='c{n} txt'><p>{LONG * 2}{n}</p></div></body>"
     rows = [(n, "https://A.example.org/x", good(n)) for n in range(6)] + [(9, None, "<p>alone</p>"), (9, None, "<p>alone</p>"), (10, "https://a.example.org/", None)]
     got = article.main_texts(pages(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -62,6 +64,10 @@ def test_pages_of_a_host_agree_on_a_path(spark):
     assert texts[9] == "alone" and texts[10] == ""
     assert all(r.n_chars == len(r.text) for r in got)
     assert article.main_texts(pages(spark, [])).count() == 0
+    # Two layouts on one host: neither is read by the body that holds both.
+    mixed = [(n, "https://b.org/", f"<body><article><p>{LONG}{n}</p></article></body>") for n in range(9)]
+    mixed += [(20 + n, "https://b.org/", f"<body><div class='x'>{'More to read here. ' * 4}</div><main><p>{LONG}{n}</p></main></body>") for n in range(2)]
+    assert all(r.text == LONG + str(r.page_id % 20) for r in article.main_texts(pages(spark, mixed)).collect())
 
 
 def test_a_very_deep_and_a_very_long_page():

@@ -1,7 +1,7 @@
 """Main text of web pages, by paths that the pages of a host agree on.
 
-Each page's containers are scored, and the best ones vote for their path: the tags and
-classes from the root down, digits made alike. Votes are counted per host in Spark;
+Each page's containers are scored, and the best ones vote for their path: the tags,
+classes and ids from the root down, digits made alike. Votes are counted per host in Spark;
 then every page is read again and the best path of its host that it has is its
 article. A page with none of its host's paths is read by its own best container.
 """
@@ -42,11 +42,11 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dia
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion promoted dfp adsense adslot "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pager pagination paginator "
-    "sidebar sidebars sidenav rail aside widget widgets "
-    "footer foot colophon masthead topbar toolbar header "
-    "notice notices cookie cookies consent gdpr popup modal overlay lightbox toast alert alerts disclaimer interstitial paywall "
+    "sidebar sidebars sidenav side rail aside widget widgets "
+    "footer foot colophon copyright legal imprint masthead topbar toolbar header "
+    "notice notices notification notifications cookie cookies consent gdpr popup modal overlay lightbox toast alert alerts disclaimer interstitial paywall "
     "newsletter subscribe subscription signup login signin register "
-    "comment comments commentlist commentary respond reply replies disqus discussion "
+    "comment comments commentlist respond responses reply replies disqus discussion feedback "
     "share sharing social related recommended recommendations recirc trending teaser teasers "
     "form search searchbox skip hidden".split()
 )
@@ -67,6 +67,11 @@ _STARTED = re.compile(r"</?[a-zA-Z]")
 _RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z]+")
+#: Words run together that begin or end with a telling one, as in mainnav or cookiebar.
+_STEMS = re.compile(
+    "^(nav|menu|sidebar|footer|cookie|advert|comments|sponsor|newsletter|breadcrumb)|"
+    "(nav|navbar|menu|sidebar|footer|header|cookie|cookies|comment|comments|banner|advert|advertisement)$"
+)
 #: Containers a page votes for, and paths kept of a host.
 _VOTES, _KEPT = 3, 5
 
@@ -84,6 +89,9 @@ def _marks(attrs: dict[str, str]) -> set[str]:
         parts = [p for p in _SPLIT.split(_CAMEL.sub("-", name).lower()) if p]
         if parts and parts[0] not in ("has", "with", "no", "without", "is"):
             out.update(parts)
+            for part in parts:
+                if found := _STEMS.search(part):
+                    out.add(found[0])
     return out
 
 
@@ -125,7 +133,9 @@ class Page:
             good = max(good, 1.6)
         elif good == 1.0 and marks & MAIN_WORDS:
             good = 1.4
-        names = sorted({re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()})
+        names = sorted({re.sub(r"\d+", "0", c) for c in attrs.get("class", "").split()})
+        if attrs.get("id"):
+            names.append("#" + re.sub(r"\d+", "0", attrs["id"]))
         return (tag, f"{path}/{'.'.join([tag, *names])}", chrome, good, link or tag == "a", header or is_header)
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
@@ -347,8 +357,12 @@ def host_paths(pages: DataFrame) -> DataFrame:
     share of all pages sends a few rows from each task.
     """
     voted = pages.select(host(F.col("url")).alias("host"), F.explode(votes(F.col("html"))).alias("v"))
-    counted = voted.groupBy("host", F.col("v.path").alias("path")).agg(F.sum(F.round("v.score", 6).cast("decimal(20,6)")).alias("score"))
-    best = top_k(counted, ["host"], [F.col("score").desc(), F.length("path").desc(), F.col("path")], _KEPT)
+    counted = voted.groupBy("host", F.col("v.path").alias("path")).agg(
+        F.count_if(F.col("v.score") >= 1).alias("first"), F.sum(F.round("v.score", 6).cast("decimal(20,6)")).alias("score")
+    )
+    # First places before sums: what holds every page's article is no page's best container.
+    order = [F.col("first").desc(), F.col("score").desc(), F.length("path").desc(), F.col("path")]
+    best = top_k(counted, ["host"], order, _KEPT)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "path")))
     return best.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 

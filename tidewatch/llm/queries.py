@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tidewatch.llm import article, chat, exact, fmindex, licences, lines, mix, quality, simhash, warc
 from tidewatch.plans.registry import table
 
