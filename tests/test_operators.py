@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import schemas
 from tidewatch.functions import lexicon as L
 from tidewatch.operators import (
-    diff, due, entities, guard, health, judge, notices, quality, records, relevance, release, reports, routing, spread,
+    diff, due, entities, health, judge, notices, quality, records, relevance, release, reports, routing, spread,
 )
 from tidewatch.sources import robots, sitemaps, tables
 
