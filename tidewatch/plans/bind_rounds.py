@@ -13,6 +13,7 @@ from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.operators.spread import first_per_key
 from tidewatch.plans import rounds
 from tidewatch.plans.bind_events import LOG, STREAK
+from tidewatch.plans.bind_records import AFTER, NOTICE, notice_versions
 from tidewatch.plans.bind_pages import CHANGE_CTE, NEW_BLOCKS_CTE, pages, prior_snapshots
 from tidewatch.plans.registry import query, table
 from tidewatch.plans.sqltext import BODY_OF, HOST, PRIOR_HTML, TITLE_OF
@@ -143,6 +144,34 @@ def round_health(spark, sf):
     return judged(spark, sf).health.groupBy("state").agg(F.count("*").alias("sources"))
 
 
+@query("notification_round", f"""
+WITH {NOTICE}, s2 AS (
+ SELECT 'new:' || ak AS key, 'new_relevant' AS kind, score + 200 AS weight, org_id, title || '|' || price % 3 || '|' || seats || '|' || coalesce(CAST(closes AS VARCHAR), '') AS body FROM v WHERE product <> 'graduate_dev' AND score >= 60 AND fresh
+ UNION ALL SELECT 'opened:' || ak, 'opened', score + 400, org_id, title || '|' || price % 3 || '|' || seats || '|' || coalesce(CAST(closes AS VARCHAR), '') FROM v WHERE product <> 'graduate_dev' AND score IS NOT NULL AND was <> 'open' AND status = 'open'
+ UNION ALL SELECT 'closing:' || ak || ':' || closes, 'closing_soon', score + 500, org_id, title || '|' || price % 3 || '|' || seats || '|' || closes FROM v WHERE product <> 'graduate_dev' AND score IS NOT NULL AND hours > 0 AND hours <= 48
+ UNION ALL SELECT 'seats:' || ak || ':' || seats, 'few_seats', score + 300, org_id, title || '|' || seats FROM v WHERE product <> 'graduate_dev' AND seats <= 5 AND score >= 70 AND price % 4 = 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY weight DESC, body) AS n FROM s2) WHERE n = 1),
+un AS (SELECT count(*) AS n FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'),
+told AS (SELECT CAST(substr(org_id, 2) AS BIGINT) % 7 AS reader_id, key, kind, weight, kind || '|' || org_id || '|' || body AS face FROM best
+  UNION ALL SELECT r, 'classifier:' || CAST(CAST(TIMESTAMP '{AFTER}' + INTERVAL 3 HOUR AS DATE) AS VARCHAR), 'classifier_down', 0, 'classifier_down' FROM un, (SELECT unnest(range(0, 7)) AS r) WHERE n >= 3),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reader_id, face ORDER BY weight DESC, key) AS f FROM told) WHERE f = 1)
+SELECT reader_id, key, CASE WHEN row_number() OVER (PARTITION BY reader_id, kind = 'classifier_down' ORDER BY weight DESC, key) <= CASE WHEN kind = 'classifier_down' THEN 6 ELSE 20 END
+  THEN 'push' ELSE 'digest' END AS outlet FROM once""")
+def notification_round(spark, sf):
+    """A whole notification round: two versions of the records, seven readers who follow every seventh organisation."""
+    before, after, names = notice_versions(spark, sf)
+    healthy = after.select("url", "org_id", F.lit("healthy").alias("state"))
+    follows = table(spark, sf, "customer").select(
+        (F.col("c_custkey") % 7).alias("reader_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("org_id")
+    )
+    everyone = spark.range(7).select(F.col("id").alias("reader_id"), F.lit(None).cast("string").alias("org_id"))
+    released, _ = rounds.notification_round(
+        before, after, healthy, healthy, names, follows.unionByName(everyone), spark.createDataFrame([], schemas.NOTICES),
+        spark.createDataFrame([], schemas.NOTICE_LOG), F.lit(AFTER).cast("timestamp"), False,
+    )
+    return released.select("reader_id", "key", "outlet")
+
+
 def run_to_end(writer) -> None:
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
