@@ -263,13 +263,13 @@ _SPAN = "struct<first_word:int,stop_word:int,first_byte:int,stop_byte:int>"
 
 def hits_udf(spark, phrases: Phrases):
     """A column function: words, merged spans and items of a text against one block of phrases."""
-    shared = spark.sparkContext.broadcast(phrases)
+    shared = spark.sparkContext.broadcast((phrases.vocabulary, phrases.windows, phrases.items))
     made: list[Searcher] = []
 
     @F.arrow_udf(f"struct<n_words:long,spans:array<{_SPAN}>,items:array<long>>")
     def hits(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(Searcher(shared.value))
+            made.append(Searcher(Phrases(*shared.value)))
         counts, spans, owners, items, item_of, base = [], [], [], [], [], 0
         for data, at in pieces(texts, _SHARD):
             n_words, found, pairs = made[0].search(data, at)

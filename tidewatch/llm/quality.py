@@ -155,11 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: in
 
 def score_udf(spark, model: Model):
     """A column function: score of a text. The model has a fixed size, whatever the documents."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.pull, model.bias))  # plain values: broadcasts travel by reference
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [shared.value.scores(data, at) for data, at in pieces(texts)]
+        held = Model(*shared.value)
+        parts = [held.scores(data, at) for data, at in pieces(texts)]
         return pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return score
