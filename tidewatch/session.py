@@ -15,6 +15,8 @@ DEFAULTS = {
     # host alone until it already hurts.
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128MB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Rows handed to Python at a time; the stock 10,000 are too many where a row is a page.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
