@@ -8,7 +8,9 @@ are equal. DataFrame functions only.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,6 +95,21 @@ def canonical(text: Column) -> Column:
     return F.trim(F.replace(spelt, F.lit("  "), F.lit(" ")))
 
 
+def needles(known: list[tuple[str, str]]) -> list[str]:
+    """Words of which every text with the canonical form of a known one has at least one, in lower case.
+
+    For each known text its longest word, in every spelling that counts as the same.
+    A known text without such a word gives the empty needle, which every text has.
+    """
+    spelt, out = dict(SPELLINGS), set()
+    for _, text in known:
+        kept = re.sub(COPYRIGHT_LINE.replace(r"\z", r"\Z"), "", text.lower())
+        words = [spelt.get(w, w) for w in re.findall("[a-z0-9]+", kept)]
+        longest = max(words, key=lambda w: (len(w), w), default="")
+        out |= {longest, *(old for old, new in SPELLINGS if new == longest)}
+    return sorted(out)
+
+
 def known_digests(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest, licence``, one row per canonical text; the first name given to a text counts.
 
@@ -119,6 +136,8 @@ def licence_texts(
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("digest")).join(table, "digest", "left")
     lines = docs.select(F.col(id_col).alias("_id"), F.explode(F.split(text, "\n")).alias("line"))
+    # Only lines with a word that some known text has can be one; the others are not brought into form.
+    lines = lines.where(reduce(or_, [F.contains(F.lower("line"), F.lit(w)) for w in needles(known or KNOWN)]))
     stated = lines.select("_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(table, "digest")
     counted = stated.groupBy("_id").agg(
         F.count("*").alias("n_notices"), F.array_sort(F.collect_set("licence")).alias("notices")
