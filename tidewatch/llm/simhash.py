@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import SOLID_BYTES, hex64, lowered, pieces, stored, words
@@ -22,12 +22,11 @@ from tidewatch.llm.xxh import xxh64
 BITS = 64
 
 
-def text_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """SimHash of each text from the XXH64 of its word shingles, repeats included."""
+def shingle_hashes(data: np.ndarray, at: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the word shingles of all texts, where each text's begin, and the texts that have words."""
     start, end, text = words(data, at, SOLID_BYTES)
-    out = np.zeros(len(at) - 1, np.uint64)
     if not len(start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     # All words with one space after each, so that a shingle is one range of bytes.
     size = end - start
     new_end = np.cumsum(size + 1) - 1
@@ -43,11 +42,20 @@ def text_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int = 3, seed:
     begins = np.cumsum(shingles) - shingles
     word = np.arange(int(shingles.sum())) - np.repeat(begins - first, shingles)
     last = np.minimum(word + shingle, np.repeat(first + count, shingles)) - 1
-    hashes = xxh64(packed, new_start[word], new_end[last] - new_start[word], seed)
+    return xxh64(packed, new_start[word], new_end[last] - new_start[word], seed), begins, text[first]
+
+
+def text_fingerprints(data: np.ndarray, at: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """SimHash of each text from the XXH64 of its word shingles, repeats included."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    hashes, begins, texts = shingle_hashes(data, at, shingle, seed)
+    if not len(hashes):
+        return out
+    shingles = np.diff(np.r_[begins, len(hashes)])
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     sums = np.add.reduceat(ones, begins, axis=0, dtype=np.int64)
     bits = np.packbits(2 * sums > shingles[:, None], axis=1, bitorder="little")
-    out[text[first]] = np.ascontiguousarray(bits).view("<u8").ravel()
+    out[texts] = np.ascontiguousarray(bits).view("<u8").ravel()
     return out
 
 
@@ -109,9 +117,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     document with one is in their component, one row for each fingerprint.
     """
     found = near_duplicates(docs)
+    alone = found.where("component_id IS NULL").select("fingerprint")
+    return kept_rows(docs, found, alone, hex64(fingerprint_udf()(F.col("text"))))
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, alone: DataFrame, print_of: Column) -> DataFrame:
+    """Rows whose doc_id names their component, and of those without one a row for each print in ``alone`` (one column)."""
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = found.where("component_id IS NULL").select(F.col("fingerprint").alias("_fp")).distinct()
-    bare = docs.where("doc_id IS NULL").withColumn("_fp", hex64(fingerprint_udf()(F.col("text"))))
-    rest = bare.join(alone, "_fp", "left_semi").dropDuplicates(["_fp"])
+    bare = docs.where("doc_id IS NULL").withColumn("_fp", print_of)
+    rest = bare.join(alone.toDF("_fp").distinct(), "_fp", "left_semi").dropDuplicates(["_fp"])
     return named.select(*docs.columns).unionByName(rest.select(*docs.columns))
