@@ -125,6 +125,16 @@ def test_damaged_payloads_are_marked(spark):
     assert not any(r.verified for r in warc.report(lost).collect())
 
 
+def test_the_report_reads_rebuilt_records(spark):
+    made = warc.write_archive(pages(spark, archive_rows()), workspace(spark, "warc"))
+    longer = F.regexp_replace("header", "(Content-Type: application/http; msgtype=response\r\nContent-Length: )", "$19")
+    bad = warc.Archive(made.headers.withColumn("header", longer), made.payloads)
+    assert not any(r.verified for r in warc.report(bad).collect())
+    cut = F.regexp_replace("header", "Content-Type: text/html; charset=utf-8\r\n", "")
+    bad = warc.Archive(made.headers.withColumn("header", cut), made.payloads)
+    assert not any(r.verified for r in warc.report(bad).collect())
+
+
 TURNS = "conv_id long, turn long, role string, text string, layout string, record string"
 
 

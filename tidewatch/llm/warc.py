@@ -7,10 +7,13 @@ read back is hashed again and a record whose bytes don't match is marked.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import stored, workspace
 
@@ -26,6 +29,17 @@ class Archive:
     payloads: DataFrame
 
 
+@F.arrow_udf(T.BinaryType())
+def _packed(payloads: pa.Array) -> pa.Array:
+    """Payloads deflated, for the way through a shuffle."""
+    return pa.array([None if x is None else zlib.compress(x, 4) for x in payloads.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def _unpacked(payloads: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else zlib.decompress(x) for x in payloads.to_pylist()], pa.binary())
+
+
 def _payload(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
@@ -93,17 +107,18 @@ def write_archive(pages: DataFrame, folder: str, least: int = 1000) -> Archive:
         "page_id", "payload_key", _header(F.col("_kind"), F.col("page_id"), F.col("holder")).alias("header")
     )
     headers.write.option("compression", "zstd").parquet(f"{folder}/headers")
-    keyed = pages.select("page_id", F.sha2(payload, 256).alias("payload_key"), payload.alias("payload"))
+    keyed = pages.select("page_id", F.sha2(payload, 256).alias("payload_key"), _packed(payload).alias("packed"))
 
     def held(holders: DataFrame) -> DataFrame:
         """The bytes come from the holder's row, so no copy of them moves with a frequent key."""
         named = holders.select(F.col("holder").alias("_id"), F.col("payload_key").alias("_key"))
         on = (F.col("payload_key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_id"))
-        return keyed.join(named, on, "left_semi").select("payload_key", "payload")
+        return keyed.join(named, on, "left_semi").select("payload_key", "packed")
 
     kept = held(best.where("rows = 1"))
     if not (several := best.where("rows > 1")).isEmpty():  # rows that repeat a page_id and its html
         kept = kept.unionByName(held(several).dropDuplicates(["payload_key"]))
+    kept = kept.select("payload_key", _unpacked(F.col("packed")).alias("payload"))
     kept.write.option("compression", "zstd").parquet(f"{folder}/payloads")
     return read_archive(pages.sparkSession, folder)
 
@@ -122,9 +137,10 @@ def records(archive: Archive) -> DataFrame:
     For a revisit the payload is that of the record it refers to. ``intact`` says
     that the bytes read back have the key they are stored under.
     """
-    checked = archive.payloads.withColumn("_intact", F.sha2("payload", 256) == F.col("payload_key"))
-    joined = archive.headers.join(checked, "payload_key", "left")
-    return joined.select("page_id", "header", "payload", F.coalesce("_intact", F.lit(False)).alias("intact"))
+    packed = archive.payloads.select("payload_key", _packed(F.col("payload")).alias("_packed"))
+    joined = archive.headers.join(packed, "payload_key", "left").withColumn("payload", _unpacked(F.col("_packed")))
+    intact = F.coalesce(F.sha2("payload", 256) == F.col("payload_key"), F.lit(False))
+    return joined.select("page_id", "header", "payload", intact.alias("intact"))
 
 
 def _field(name: str) -> Column:
@@ -132,30 +148,39 @@ def _field(name: str) -> Column:
     return F.regexp_extract("header", f"\r\n{name}: ([^\r]*)\r\n", 1)
 
 
+def _record() -> Column:
+    """The bytes of a record from its header and payload; NULL if it is a response whose payload is lost."""
+    full = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    return F.concat(F.encode("header", "UTF-8"), full, F.lit(b"\r\n\r\n"))
+
+
 def record_bytes(archive: Archive) -> DataFrame:
     """``page_id, record``: the exact bytes of every record as a WARC file holds them."""
-    full = F.when(_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return records(archive).select(
-        "page_id", F.concat(F.encode("header", "UTF-8"), full, F.lit(b"\r\n\r\n")).alias("record")
-    )
+    return records(archive).select("page_id", _record().alias("record"))
 
 
 def report(archive: Archive) -> DataFrame:
-    """Per record, read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, verified``.
+    """Per record, rebuilt: ``page_id, payload_bytes, payload_digest, record_type, refers_to, url, verified``.
 
-    What is told of a payload is computed from its stored bytes once, and joined to
-    the records that have it.
+    A response's payload is cut out of its rebuilt bytes, a revisit's is that of the
+    record it refers to. ``verified`` says that the payload has the key it is stored
+    under and the digest its header names, and that the rebuilt block is as long as
+    the record's Content-Length.
     """
-    told = archive.payloads.select(
-        "payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-        (F.sha2("payload", 256) == F.col("payload_key")).alias("_intact"),
-    )
+    rebuilt = records(archive).withColumn("record", _record())
+    # The record's own header ends at the first empty line, its payload starts after the HTTP header.
+    head = F.octet_length(F.substring_index("header", CRLF + CRLF, 1)) + 4
+    block = F.octet_length("record") - head - 4
+    cut = F.substring(F.col("record"), F.octet_length("header") + 1, F.octet_length("record") - F.octet_length("header") - 4)
+    told = rebuilt.withColumn("_type", _field("WARC-Type")).withColumn("_fits", block == _field("Content-Length").cast("long"))
+    told = told.withColumn("_body", F.when(F.col("_type") == "response", cut).otherwise(F.col("payload")))
+    told = told.withColumn("payload_digest", F.sha1("_body"))
     refers = _field("X-Refers-To-Page")
     same = F.concat(F.lit("sha1:"), F.col("payload_digest")) == _field("WARC-Payload-Digest")
-    return archive.headers.join(told, "payload_key", "left").select(
-        "page_id", "payload_bytes", "payload_digest", _field("WARC-Type").alias("record_type"),
-        F.when(refers != "", refers.cast("long")).alias("refers_to"),
-        _field("WARC-Target-URI").alias("url"), F.coalesce(F.col("_intact") & same, F.lit(False)).alias("verified"),
+    return told.select(
+        "page_id", F.octet_length("_body").cast("long").alias("payload_bytes"), "payload_digest", F.col("_type").alias("record_type"),
+        F.when(refers != "", refers.cast("long")).alias("refers_to"), _field("WARC-Target-URI").alias("url"),
+        F.coalesce(F.col("intact") & same & F.col("_fits"), F.lit(False)).alias("verified"),
     )
 
 
