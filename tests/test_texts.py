@@ -8,7 +8,7 @@ from tidewatch.functions import fields, messages
 from tidewatch.functions import html as H
 from tidewatch.functions import lexicon as L
 from tidewatch.functions import text as X
-from tidewatch.operators import extract, guard, judge, links
+from tidewatch.operators import extract, guard, judge, links, privacy, records, routing
 
 
 def values(spark, texts, fn):
@@ -239,3 +239,29 @@ def test_a_dollar_is_only_special_at_the_end_of_a_rule(spark):
     cases = [("/a$b", "/a$bc", True), ("/a$b", "/ab", False), ("/x.php$", "/x.php", True), ("/x.php$", "/x.php?a", False), ("/*.gif$", "/i/a.gif", True)]
     df = spark.createDataFrame(cases, "rule string, path string, want boolean")
     assert all(r.want == r.got for r in df.select("want", _regex_match(F.col("path"), F.col("rule")).alias("got")).collect())
+
+
+def test_none_lifts_bounds_and_forgotten_verdicts_are_rows(spark):
+    memory = spark.createDataFrame([(f"f{i}", i % 4) for i in range(9)], "fingerprint string, written_at int")
+    kept = {r.fingerprint for r in routing.bound_memory(memory, 4).collect()}
+    assert len(kept) == 4
+    assert {r.fingerprint for r in routing.forgotten(memory, 4).collect()} == {f"f{i}" for i in range(9)} - kept
+    assert routing.bound_memory(memory, None).count() == 9 and routing.forgotten(memory, None).count() == 0
+
+    text = spark.createDataFrame([(1, "zz1 zz2 zz3 zz4 zz5")], "i int, text string")
+    rules = [("z", "zz[0-9]", None)]
+    assert [(r.hits, len(r.samples)) for r in privacy.scan(text, ["i"], rules=rules).collect()] == [(5, 3)]
+    assert [(r.hits, len(r.samples)) for r in privacy.scan(text, ["i"], rules=rules, samples=None).collect()] == [(5, 5)]
+
+    label = "التدريب التعاوني " * 10
+    found = spark.createDataFrame([("o", "https://a.example/training", label, None)], "org_id string, url string, label string, title string")
+    assert [len(r.label) for r in links.score_links(found).collect()] == [60]
+    assert [r.label for r in links.score_links(found, label_chars=None).collect()] == [label]
+
+    failed = spark.createDataFrame(
+        [("o", "https://a.example/", None, None, "judge", "timeout", "x" * 900)],
+        "org_id string, url string, prior_first_seen timestamp, prior_detected timestamp, stage string, reason string, text string",
+    )
+    as_of = F.lit("2027-01-01").cast("timestamp")
+    assert [len(r.excerpt) for r in records.placeholders(failed, as_of).collect()] == [400]
+    assert [len(r.excerpt) for r in records.placeholders(failed, as_of, None).collect()] == [900]

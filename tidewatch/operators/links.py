@@ -37,10 +37,11 @@ def signal(words: Column) -> Column:
     return out
 
 
-def score_links(links: DataFrame, owner: str = "org_id") -> DataFrame:
+def score_links(links: DataFrame, owner: str = "org_id", label_chars: int | None = 60) -> DataFrame:
     """Links with a signal, the best of each url.
 
     A weak signal needs a real label and a path that is a section, not one story.
+    Labels are cut at ``label_chars``, nowhere for None.
     """
     words = F.concat_ws(" ", "label", F.coalesce("title", F.lit("")), A.decoded(A.path(F.col("url"))))
     weak = F.col("_s.score") < 60
@@ -53,7 +54,7 @@ def score_links(links: DataFrame, owner: str = "org_id") -> DataFrame:
             owner, "url",
             F.col("_s.score").alias("score"),
             F.col("_s.type").alias("type"),
-            F.substring("label", 1, 60).alias("label"),
+            (F.col("label") if label_chars is None else F.substring("label", 1, label_chars)).alias("label"),
         )
     )
     return first_per_key(scored, [owner, "url"], -F.col("score"), F.col("label"))

@@ -13,9 +13,13 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions.text import let, matches
 
 
-def scan(texts: DataFrame, keys: list[str], text: str = "text", origin: str | None = None, rules=None) -> DataFrame:
+def scan(
+    texts: DataFrame, keys: list[str], text: str = "text", origin: str | None = None, rules=None,
+    samples: int | None = 3,
+) -> DataFrame:
     """Hits per text and rule: ``keys, rule, hits, first_line, samples``.
 
+    ``samples`` are the first so many hits, all for None; ``hits`` counts all of them.
     A rule may exempt origins (files it is expected in).  Every text is read once
     for all rules.
     """
@@ -29,7 +33,7 @@ def scan(texts: DataFrame, keys: list[str], text: str = "text", origin: str | No
                 F.lit(name).alias("rule"),
                 F.size(found).alias("hits"),
                 (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("first_line"),
-                F.slice(found, 1, 3).alias("samples"),
+                (found if samples is None else F.slice(found, 1, samples)).alias("samples"),
             )
 
         applies = body.rlike(pattern)

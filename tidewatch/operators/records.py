@@ -19,6 +19,12 @@ RECORD_COLUMNS = [
     "cities", "score", "reason", "states_zero_courses_rule", "zero_courses_quote", "flags",
     "url", "apply_url", "excerpt",
 ]
+#: Characters of the page's text that a record carries.
+EXCERPT_CHARS = 400
+
+
+def _excerpt(chars: int | None) -> Column:
+    return (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("excerpt")
 
 
 def record_id(org: Column, url: Column, first_seen: Column) -> Column:
@@ -91,7 +97,7 @@ def prior_records(judged: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def from_verdicts(judged: DataFrame, as_of: Column) -> DataFrame:
+def from_verdicts(judged: DataFrame, as_of: Column, excerpt_chars: int | None = EXCERPT_CHARS) -> DataFrame:
     """Records of positive verdicts.
 
     ``judged``: ``org_id, url, text, verdict, prior_detected, prior_first_seen,
@@ -169,11 +175,11 @@ def from_verdicts(judged: DataFrame, as_of: Column) -> DataFrame:
         ).alias("flags"),
         "url",
         A.apply_url(v["applyUrl"], F.col("url")).alias("apply_url"),
-        F.substring("text", 1, 400).alias("excerpt"),
+        _excerpt(excerpt_chars),
     )
 
 
-def placeholders(failed: DataFrame, as_of: Column) -> DataFrame:
+def placeholders(failed: DataFrame, as_of: Column, excerpt_chars: int | None = EXCERPT_CHARS) -> DataFrame:
     """Records of pages nobody could judge: no score, and a flag that keeps them in view."""
     nothing = F.lit(None)
     return failed.withColumn("first_seen", F.coalesce("prior_first_seen", as_of)).select(
@@ -203,7 +209,7 @@ def placeholders(failed: DataFrame, as_of: Column) -> DataFrame:
         F.array(F.lit("needs_manual_review")).alias("flags"),
         "url",
         nothing.cast("string").alias("apply_url"),
-        F.substring("text", 1, 400).alias("excerpt"),
+        _excerpt(excerpt_chars),
     )
 
 

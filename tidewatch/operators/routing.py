@@ -98,11 +98,19 @@ def evict(memory: DataFrame, remembered: DataFrame) -> DataFrame:
     return memory.join(poisoned, "fingerprint", "left_anti")
 
 
-def bound_memory(memory: DataFrame, keep: int = L.MAX_REMEMBERED_VERDICTS) -> DataFrame:
-    """The newest verdicts only; a top-k, so nothing is sorted whole."""
+def bound_memory(memory: DataFrame, keep: int | None = L.MAX_REMEMBERED_VERDICTS) -> DataFrame:
+    """The newest verdicts only, all for None; a top-k, so nothing is sorted whole."""
+    if keep is None:
+        return memory
     return memory.orderBy(F.desc("written_at"), "fingerprint").limit(keep)
 
 
+def forgotten(memory: DataFrame, keep: int | None = L.MAX_REMEMBERED_VERDICTS) -> DataFrame:
+    """The verdicts that ``bound_memory`` leaves out; ``memory`` has one row per fingerprint."""
+    kept = bound_memory(memory, keep).select(F.col("fingerprint").alias("_kept"))
+    return memory.join(kept, F.col("fingerprint").eqNullSafe(F.col("_kept")), "left_anti")
+
+
 def distinct_questions(pages: DataFrame, key: str = "url") -> DataFrame:
     """Each text asked once: ``fingerprint, rank, payload`` of the best-ranked page carrying it.
 
