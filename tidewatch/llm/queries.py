@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import article, chat, exact, fmindex, licences, lines, mix, quality, simhash, warc
+from tidewatch.llm import align, article, chat, exact, fmindex, licences, lines, mix, quality, simhash, warc
 from tidewatch.plans.registry import table
 
 QUERIES, ORACLES = {}, {}
@@ -145,3 +145,8 @@ FROM w LEFT JOIN k USING (digest) LEFT JOIN n ON n.doc_id = w.doc_id"""
 @query("op10_licence_scan", _licence_sql())
 def op10(spark, sf):
     return licences.licence_texts(table(spark, sf, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf):
+    return align.align(table(spark, sf, "documents"))
