@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import align, article, chat, exact, fmindex, licences, lines, mix, quality, simhash, warc
+from tidewatch.llm import align, article, chat, exact, fmindex, langmix, licences, lines, mix, quality, ranked, simhash, warc
 from tidewatch.plans.registry import table
 
 QUERIES, ORACLES = {}, {}
@@ -147,6 +147,31 @@ def op10(spark, sf):
     return licences.licence_texts(table(spark, sf, "documents"))
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_ranked_search", f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // words) AS m FROM n, g),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM f, g WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
+def op11(spark, sf):
+    return ranked.search(ranked.index(table(spark, sf, "documents")), table(spark, sf, "benchmark"))
+
+
+@query("op12_language_mixture")
+def op12(spark, sf):
+    return langmix.identify(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 @query("op13_tokenizer_alignment")
 def op13(spark, sf):
     return align.align(table(spark, sf, "documents"))
