@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against whole-text encodings and a plain double loop."""
 
 import hashlib
+import json
 from collections import Counter
 
 import pytest
@@ -97,6 +98,16 @@ def test_chunks_never_change_the_tokens(pair, text):
     assert list(map(tuple, links.tolist())) == (want[2] if want else [])
 
 
+def test_both_ways_of_encoding_agree(spark, sf, pair):
+    assert pair.a_ranks
+    texts = [" " + r.text for r in table(spark, sf, "documents").collect()] + [" " + t for t in ODD if t]
+    assert [pair.a_ranks.encode_ordinary(t) for t in texts] == [pair.a.encode(t, add_special_tokens=False).ids for t in texts]
+    with open(L.BYTE_BPE, encoding="utf-8") as f:
+        held = json.load(f)
+    held["model"]["merges"].reverse()
+    assert L.merge_ranks(json.dumps(held)) is None
+
+
 def test_texts_in_many_parts_and_lanes(spark, sf, pair, monkeypatch):
     monkeypatch.setattr(L, "PART_BYTES", 700)
     monkeypatch.setattr(L, "LANE", 5)

@@ -15,8 +15,11 @@ on the pair; nothing that grows with the corpus is broadcast.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,13 @@ REMEMBERED = 200_000
 #: Bits of a pair's number: A's id times the ids of B, plus B's id; the document stands above them.
 _CODE_BITS = 40
 
+#: How byte-level tokenizers of this kind find words (fixed value).
+_BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 #: First bytes of characters among which are white space outside ASCII.
 _MAYBE_BLANK = np.zeros(256, bool)
-_MAYBE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_MAYBE_BLANK_BYTES = frozenset([0xC2, 0xE1, 0xE2, 0xE3])
+_MAYBE_BLANK[sorted(_MAYBE_BLANK_BYTES)] = True
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,6 +65,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + n): b for n, b in enumerate(rest)}
 
 
+def merge_ranks(byte_json: str) -> dict[bytes, int] | None:
+    """Tokens of a byte-level vocabulary with their ids, where an id is also the place of the token's merge.
+
+    Then the ids alone say how to encode, several times faster. None where they do not, or
+    where words are found in another way than by ``_BYTE_WORDS``.
+    """
+    held = json.loads(byte_json)
+    vocab, merges, before = held["model"]["vocab"], held["model"]["merges"], held.get("pre_tokenizer") or {}
+    letters = byte_letters()
+    plain = held.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    joined = ("".join(m if isinstance(m, list) else m.split(" ")) for m in merges)
+    if not plain or any(vocab.get(token) != 256 + n for n, token in enumerate(joined)):
+        return None
+    by_id = sorted(vocab, key=vocab.get)[: 256 + len(merges)]
+    return {bytes(letters[c] for c in token): vocab[token] for token in by_id}
+
+
 def _decimals(size: int, ends: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (padded) and their number of ``<id><end>`` for every id, once per end."""
     width = len(str(max(size - 1, 0))) + 1
@@ -66,17 +90,38 @@ def _decimals(size: int, ends: str) -> tuple[np.ndarray, np.ndarray]:
     return table, np.array([len(s) for s in said], np.int64)
 
 
+def _bundles(chunks: list[bytes], most: int = 64) -> Iterator[list[bytes]]:
+    """Chunks in order, in runs between whose members both tokenizers are sure to end a token."""
+    run: list[bytes] = []
+    for c in chunks:
+        fits = len(c) > 1 and 0x20 < c[1] and c[-1] > 0x20 and c[1] not in _MAYBE_BLANK_BYTES
+        if run and (len(run) == most or not fits):
+            yield run
+            run = []
+        if fits:
+            run.append(c)
+        else:
+            yield [c]
+    if run:
+        yield run
+
+
 class Pair:
     """Both tokenizers, from the content of their files, and the tokens of chunks met before."""
 
     def __init__(self, byte_json: str, piece_proto: bytes):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_str(byte_json)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_proto)
         letters = byte_letters()
+        self.a_ranks = None
+        if ranks := merge_ranks(byte_json):
+            self.a_ranks = tiktoken.Encoding("a", pat_str=_BYTE_WORDS, mergeable_ranks=ranks, special_tokens={})
         self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
             known = all(c in letters for c in token)
@@ -89,6 +134,8 @@ class Pair:
         self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
         if len(self.a_bytes) * len(self.b_bytes) >= 1 << _CODE_BITS:
             raise ValueError("the vocabularies have more than 2^40 pairs of ids")
+        self.a_spelling, self.b_spelling = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
+        self.a_from, self.b_from = (np.r_[0, np.cumsum(x)] for x in (self.a_size, self.b_size))
         self.a_said, self.a_long = _decimals(len(self.a_bytes), ",|")
         self.b_said, self.b_long = _decimals(len(self.b_bytes), ",;")
         self.forget()
@@ -102,12 +149,51 @@ class Pair:
     def encode(self, chunks: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """A's and B's ids of chunks that begin with the space that B adds by itself."""
         texts = [c.decode() for c in chunks]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.a_ranks:
+            a = [self.a_ranks.encode_ordinary(t) for t in texts]
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         return a, self.b.encode([t[1:] for t in texts], num_threads=1)
 
     def spells(self, chunk: bytes, a: list[int], b: list[int]) -> bool:
         return b"".join([self.a_bytes[i] for i in a]) == chunk == b"".join([self.b_bytes[i] for i in b])
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode new chunks: those that may stand beside others many at a time, the rest one by one."""
+        ids: dict[str, list[np.ndarray]] = {"a": [], "b": []}
+        sizes: dict[str, list[np.ndarray]] = {"a": [], "b": []}
+        sound = []
+        for some in _bundles(new):
+            parts = self._together(some) if len(some) > 1 else None
+            if parts is None:
+                a, b = self.encode(some)
+                sound += [self.spells(*x) for x in zip(some, a, b)]
+                parts = [(np.fromiter(chain.from_iterable(x), np.int32), np.array([len(y) for y in x])) for x in (a, b)]
+            else:
+                sound += [True] * len(some)
+            for name, (flat, size) in zip("ab", parts):
+                ids[name].append(flat)
+                sizes[name].append(size)
+        self.sound = np.r_[self.sound, np.array(sound, bool)]
+        for name in "ab":
+            at = getattr(self, f"{name}_at")
+            setattr(self, f"{name}_flat", np.concatenate([getattr(self, f"{name}_flat"), *ids[name]]))
+            setattr(self, f"{name}_at", np.r_[at, at[-1] + np.cumsum(np.concatenate(sizes[name]))])
+
+    def _together(self, some: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids and their number by chunk of chunks encoded as one text; None unless the tokens spell it and end where chunks do."""
+        joined = b"".join(some)
+        want, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(c) for c in some])
+        out = []
+        for ids, spelling, begins in zip(self.encode([joined]), (self.a_spelling, self.b_spelling), (self.a_from, self.b_from)):
+            flat = np.array(ids[0], np.int32)
+            where, at = _ragged(begins, flat)
+            place = np.searchsorted(at, ends)
+            if len(where) != len(want) or (spelling[where] != want).any() or (at[place] != ends).any():
+                return None
+            out.append((flat, np.diff(place, prepend=0)))
+        return out
+
     def numbers(self, chunks: list[bytes]) -> np.ndarray:
         """The number of each chunk; those not met before are encoded first."""
         if len(self.known) > REMEMBERED:
@@ -115,15 +201,8 @@ class Pair:
         known = self.known
         first = len(known)
         out = np.array([known.setdefault(c, len(known)) for c in chunks], np.int64)
-        new = list(known)[first:]
-        if new:
-            a, b = self.encode(new)
-            self.sound = np.r_[self.sound, [self.spells(*x) for x in zip(new, a, b)]].astype(bool)
-            for name, ids in (("a", a), ("b", b)):
-                at = getattr(self, f"{name}_at")
-                flat = np.fromiter((i for some in ids for i in some), np.int32)
-                setattr(self, f"{name}_flat", np.r_[getattr(self, f"{name}_flat"), flat])
-                setattr(self, f"{name}_at", np.r_[at, at[-1] + np.cumsum([len(some) for some in ids])])
+        if len(known) > first:
+            self._learn(list(islice(reversed(known), len(known) - first))[::-1])
         return out
 
 
