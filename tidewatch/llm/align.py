@@ -146,53 +146,43 @@ class Pair:
         self.a_at = self.b_at = np.zeros(1, np.int64)
         self.sound = np.zeros(0, bool)
 
+    def _encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.a_ranks:
+            return [self.a_ranks.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, chunks: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """A's and B's ids of chunks that begin with the space that B adds by itself."""
         texts = [c.decode() for c in chunks]
-        if self.a_ranks:
-            a = [self.a_ranks.encode_ordinary(t) for t in texts]
-        else:
-            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        return a, self.b.encode([t[1:] for t in texts], num_threads=1)
+        return self._encode_a(texts), self.b.encode([t[1:] for t in texts], num_threads=1)
 
     def spells(self, chunk: bytes, a: list[int], b: list[int]) -> bool:
         return b"".join([self.a_bytes[i] for i in a]) == chunk == b"".join([self.b_bytes[i] for i in b])
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encode new chunks: those that may stand beside others many at a time, the rest one by one."""
-        ids: dict[str, list[np.ndarray]] = {"a": [], "b": []}
-        sizes: dict[str, list[np.ndarray]] = {"a": [], "b": []}
-        sound = []
-        for some in _bundles(new):
-            parts = self._together(some) if len(some) > 1 else None
-            if parts is None:
-                a, b = self.encode(some)
-                sound += [self.spells(*x) for x in zip(some, a, b)]
-                parts = [(np.fromiter(chain.from_iterable(x), np.int32), np.array([len(y) for y in x])) for x in (a, b)]
-            else:
-                sound += [True] * len(some)
-            for name, (flat, size) in zip("ab", parts):
-                ids[name].append(flat)
-                sizes[name].append(size)
-        self.sound = np.r_[self.sound, np.array(sound, bool)]
-        for name in "ab":
+        """Encode new chunks, for A many in one text where they may stand side by side."""
+        want, lengths = np.frombuffer(b"".join(new), np.uint8), np.array([len(c) for c in new], np.int64)
+        a = [part for some in _bundles(new) for part in self._a_of(some)]
+        b = self.b.encode([c[1:].decode() for c in new], num_threads=1)
+        held_b = np.fromiter(chain.from_iterable(b), np.int32), np.array([len(x) for x in b], np.int64)
+        held_a = np.concatenate([x for x, _ in a]), np.concatenate([x for _, x in a])
+        sound = np.ones(len(new), bool)
+        for name, (flat, size), spelling, begins in (("a", held_a, self.a_spelling, self.a_from), ("b", held_b, self.b_spelling, self.b_from)):
+            sound &= _spelled(flat, size, spelling, begins, want, lengths)
             at = getattr(self, f"{name}_at")
-            setattr(self, f"{name}_flat", np.concatenate([getattr(self, f"{name}_flat"), *ids[name]]))
-            setattr(self, f"{name}_at", np.r_[at, at[-1] + np.cumsum(np.concatenate(sizes[name]))])
-
-    def _together(self, some: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]] | None:
-        """Ids and their number by chunk of chunks encoded as one text; None unless the tokens spell it and end where chunks do."""
-        joined = b"".join(some)
-        want, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(c) for c in some])
-        out = []
-        for ids, spelling, begins in zip(self.encode([joined]), (self.a_spelling, self.b_spelling), (self.a_from, self.b_from)):
-            flat = np.array(ids[0], np.int32)
-            where, at = _ragged(begins, flat)
-            place = np.searchsorted(at, ends)
-            if len(where) != len(want) or (spelling[where] != want).any() or (at[place] != ends).any():
-                return None
-            out.append((flat, np.diff(place, prepend=0)))
-        return out
+            setattr(self, f"{name}_flat", np.r_[getattr(self, f"{name}_flat"), flat])
+            setattr(self, f"{name}_at", np.r_[at, at[-1] + np.cumsum(size)])
+        self.sound = np.r_[self.sound, sound]
+
+    def _a_of(self, some: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A's ids of some chunks and their number by chunk."""
+        flat = np.array(self._encode_a([b"".join(some).decode()])[0], np.int32)
+        ends = np.cumsum([len(c) for c in some])
+        at = np.cumsum(self.a_size[flat])
+        place = np.searchsorted(at, ends) + 1
+        if len(at) and at[-1] == ends[-1] and (at[place - 1] == ends).all():
+            return [(flat, np.diff(place, prepend=0))]
+        return [(np.array(x, np.int32), np.array([len(x)])) for x in self._encode_a([c.decode() for c in some])]
 
     def numbers(self, chunks: list[bytes]) -> np.ndarray:
         """The number of each chunk; those not met before are encoded first."""
@@ -253,6 +243,23 @@ def _ragged(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(begins[-1]) + np.repeat(at[which] - begins[:-1], size), begins
 
 
+def _spelled(
+    flat: np.ndarray, size: np.ndarray, spelling: np.ndarray, begins: np.ndarray, want: np.ndarray, lengths: np.ndarray
+) -> np.ndarray:
+    """Which chunks (``want`` end to end, of these lengths) their tokens spell byte by byte."""
+    token_at, chunk_at = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum(lengths)]
+    byte_at = np.r_[0, np.cumsum(begins[flat + 1] - begins[flat])][token_at]
+    sound = np.diff(byte_at) == lengths
+    if sound.all():
+        wrong = np.flatnonzero(spelling[_ragged(begins, flat)[0]] != want)
+        sound[np.searchsorted(chunk_at, wrong, "right") - 1] = False
+        return sound
+    for n in np.flatnonzero(sound):
+        ids = flat[token_at[n] : token_at[n + 1]]
+        sound[n] = (spelling[_ragged(begins, ids)[0]] == want[chunk_at[n] : chunk_at[n + 1]]).all()
+    return sound
+
+
 @dataclass
 class Part:
     """Aligned tokens of a run of documents: flat ids, links by position, the document of each token."""
