@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tidewatch.llm import minhash
+from tidewatch.llm.components import is_star_forest, rooted
 
 DOCS = "doc_id long, text string, source string, node string, bands string"
 
@@ -75,6 +76,22 @@ def test_near_copies_match_a_brute_force_join(spark):
     assert order([(r.doc_id, r.component_id) for r in got]) == order(brute_components(rows))
 
 
+def test_groups_of_many_blocks_match_a_brute_force_join(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 9)
+    rows = families(5)
+    got = minhash.near_copies(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
+def test_stars_need_no_step_and_chains_become_stars(spark):
+    made = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    assert is_star_forest(made([(2, 1), (3, 1), (9, 8)]).toDF("u", "v"))
+    assert not is_star_forest(made([(2, 1), (3, 2)]).toDF("u", "v")) and not is_star_forest(made([(3, 1), (3, 2)]).toDF("u", "v"))
+    chain = made([(n, n + 1) for n in range(40)] + [(100, 101), (101, 100), (7, 7)])
+    assert sorted(map(tuple, rooted(chain).collect())) == [(n, 0) for n in range(1, 41)] + [(101, 100)]
+    assert rooted(chain.limit(0)).count() == 0
+
+
 def test_the_stage_leaves_one_of_each_group(spark, sf):
     rows = families(12)
     kept = corpus_pipeline.one_of_near(spark, docs(spark, rows), sf)

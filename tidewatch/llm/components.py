@@ -47,3 +47,23 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         before = state
+
+
+def is_star_forest(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``; edges that are repeated count twice."""
+    up = F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = edges.select(F.explode(F.array(up, down)).alias("e")).groupBy("e.n").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    return ends.where("up > 1 OR (up = 1 AND down > 0)").isEmpty()
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """``node, root``: for every node of ``src, dst`` but the roots, the smallest node of its component.
+
+    The same steps as ``components``, none where the edges are stars already. ``edges``
+    must be cheap to read again.
+    """
+    now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
+    while not is_star_forest(now):
+        now = stored(small_star(large_star(now)), "stars")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
