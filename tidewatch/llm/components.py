@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import stored
 
 
+#: Nodes a task's union-find holds at a time.
+_MOST_EDGES = 500_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low"))
 
@@ -57,13 +64,40 @@ def is_star_forest(edges: DataFrame) -> bool:
     return ends.where("up > 1 OR (up = 1 AND down > 0)").isEmpty()
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of the edges of a task, by union-find over ``_MOST_EDGES`` of them at a time."""
+
+    def stars(up: dict[int, int]) -> pa.RecordBatch:
+        for x in sorted(up):  # a node's way leads to smaller nodes, whose own is short by then
+            up[x] = up.get(up[x], up[x])
+        return pa.RecordBatch.from_pydict({"u": pa.array(up.keys(), pa.int64()), "v": pa.array(up.values(), pa.int64())})
+
+    up: dict[int, int] = {}
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            while (x := up.get(u, u)) != u:
+                up[u] = up.get(x, x)
+                u = x
+            while (x := up.get(v, v)) != v:
+                up[v] = up.get(x, x)
+                v = x
+            if u != v:
+                up[max(u, v)] = min(u, v)
+        if len(up) >= _MOST_EDGES:
+            yield stars(up)
+            up = {}
+    yield stars(up)
+
+
 def rooted(edges: DataFrame) -> DataFrame:
     """``node, root``: for every node of ``src, dst`` but the roots, the smallest node of its component.
 
-    The same steps as ``components``, none where the edges are stars already. ``edges``
-    must be cheap to read again.
+    Edges are first made stars inside each task, which is all where they fit one; then
+    the same steps as in ``components`` follow until only stars are left.
     """
+    pairs = "u long, v long"
     now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
+    now = stored(now.hint("rebalance", "v").mapInArrow(_contracted, pairs), "stars")
     while not is_star_forest(now):
-        now = stored(small_star(large_star(now)), "stars")
+        now = stored(small_star(large_star(now)).mapInArrow(_contracted, pairs), "stars")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
