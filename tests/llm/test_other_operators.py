@@ -1,6 +1,7 @@
 """Page texts, archives, chats, quality and licences on small tables."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import pytest
@@ -41,6 +42,8 @@ LONG = "Boats left the harbour before the sun was up, and nobody on the quay had
     ("<div id='content'><p>" + LONG + "</p></div><div id='mainnav'><p>" + LONG * 2 + "</p></div><div class='cookieBar'>" + LONG * 3 + "</div>", LONG.strip()),
     ("<article class='commentary'><p>" + LONG + "</p></article>", LONG.strip()),
     ("<a title='x>y'>" + LONG + "</a>", LONG.strip()),
+    ("<p data-x=it's>First paragraph</p><p data-y=it's>Second</p>", "First paragraph\n\nSecond"), ('<p a"b=c"d>x</p><p e="f>g">y</p>', "x\n\ny"),
+    ("<!--><p>a</p><!---><p>b</p><!-- c --!><p>d</p><!----><p>e</p>", "a\n\nb\n\nd\n\ne"),
 ])
 def test_page_texts(html, text):
     assert own_text(html) == text
@@ -70,6 +73,36 @@ def test_pages_of_a_host_agree_on_a_path(spark):
     assert all(r.text == LONG + str(r.page_id % 20) for r in article.main_texts(pages(spark, mixed)).collect())
 
 
+def test_a_deep_page_takes_room_by_its_length():
+    tracemalloc.start()
+    assert own_text("".join(f"<div class=c{n}x>" for n in range(40_000)) + LONG) == LONG.strip()
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+@given(st.lists(st.sampled_from([" ", "/", "=", "'", '"', "a", "b=", "c", "\n", "<", "&"]), max_size=12).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_tags_end_where_a_state_machine_ends_them(attrs):
+    """Attributes read character by character by the rules for tags; a value left open is left to the loose reading."""
+    html, state, quote = f"<p{attrs}>x", "name", ""
+    for at, c in enumerate(html[2:] if not attrs or attrs[0] in " /\n" else ""):
+        if state == "quoted":
+            state = "name" if c == quote else state
+        elif c == ">":
+            assert article._TAG.match(html).end() == at + 3
+            break
+        elif state == "name" and c == "=" and html[2:][at - 1] not in " /\n=" and at:
+            state = "value"
+        elif state == "value" and c in "\"'":
+            state, quote = "quoted", c
+        elif state == "value" and c not in " \n":
+            state = "bare"
+        elif state == "bare" and c in " \n":
+            state = "name"
+        elif state == "name" and c in " \n" and "=" in html[2:][at:].lstrip(" \n")[:1] and html[2:][:at].rstrip(" \n")[-1:] not in "/=":
+            return  # blanks before the equals sign: read in the next test
+
+
 def test_a_very_deep_and_a_very_long_page():
     assert own_text("<div>" * 20_000 + LONG) == LONG.strip()
     assert len(own_text("<article>" + ("<p>" + LONG) * 20_000)) > 2_000_000

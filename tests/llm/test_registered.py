@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_text_operators import brute_components, brute_fingerprint, brute_hits, brute_lines, brute_targets
+from test_near_copies import brute_components as near_components
+from test_text_operators import brute_hits, brute_lines, brute_targets
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -59,8 +60,7 @@ def test_each_stage_against_brute_force(spark, sf):
             assert {i: r.text for i, r in after.items()} == {i: w[2] for i, w in brute_lines(rows).items()}
             assert all(r.n_chars == len(r.text) for r in after.values())
         elif step == 2:
-            roots = brute_components([(i, brute_fingerprint(t)) for i, t, _ in rows])
-            assert set(after) == set(roots.values())
+            assert set(after) == {c for _, c in near_components([(i, t) for i, t, _ in rows])}
         elif step == 3:
             items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
             assert set(after) == {i for i, w in brute_hits(rows, items).items() if not w[4]}
@@ -84,3 +84,19 @@ def test_the_whole_pipeline_is_its_stages(spark, sf):
     assert one.columns == docs.columns
     assert sorted(map(str, one.select("doc_id", "taken", F.sha2("text", 256)).collect())) == sorted(
         map(str, docs.select("doc_id", "taken", F.sha2("text", 256)).collect()))
+
+
+#: Names that operators give columns of their own.
+INNER = ["kept", "score", "_score", "hit0", "_hit0", "doc", "keys", "_doc", "_keys", "node", "bands", "hub", "block", "root", "smallest", "component_id",
+         "fp", "_fp", "row", "figures", "size", "target", "taken", "copies", "source_size", "_id", "_mix", "key", "shard", "ask", "bucket", "deal", "y", "_h"]
+
+
+def test_stages_leave_columns_that_bear_inner_names(spark, sf):
+    docs = table(spark, sf, "documents").limit(60).withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in INNER})
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for step, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, sf)
+        names = {c: (f"given_{c}" if c in ("size", "target", "taken", "copies", "source_size") and step == 4 else c) for c in INNER}
+        assert step == 4 or made.columns == docs.columns
+        rows = made.collect()
+        assert rows and all(r[names[c]] == f"{c} of {r.doc_id}" for r in rows for c in INNER)

@@ -173,13 +173,17 @@ def kept_of(df):
     return {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in df.collect()}
 
 
-def test_line_dedup_matches_brute_force_with_and_without_the_screen(spark):
+def test_line_dedup_matches_brute_force_however_rows_are_dealt(spark):
     rows = line_rows()
     table = docs(spark, rows)
     got = lines.line_dedup(table)
     assert kept_of(got) == brute_lines(rows)
     index = lines.build(table.select("doc_id", "text"), shards=3)
-    assert sorted(map(str, lines.drops(index).collect())) == sorted(map(str, lines.drops(index, most_bytes=0).collect()))
+    few = lines.screened(index, index.postings, most=3)
+    rows_of = lambda df: sorted((bytes(r.key), r.doc) for r in df.collect())
+    assert rows_of(few) == rows_of(lines.screened(index, index.postings))
+    shared = {bytes(r.key) for r in index.refs.where("first < last").collect()}
+    assert {k for k, _ in rows_of(few)} >= shared and len(rows_of(few)) < index.postings.count()
 
 
 def test_lines_added_and_taken_out_leave_the_index_as_it_was(spark):
@@ -348,3 +352,11 @@ def test_empty_tables_and_all_null_rows(spark, operator):
     assert operator(none).count() == 0
     nulls = spark.createDataFrame([(None,) * 6] * 2, DOCS)
     operator(nulls).collect()
+
+
+def test_items_without_an_id_stand_beside_others(spark):
+    said = " ".join(f"word{n}" for n in range(20))
+    items = spark.createDataFrame([(None, said), (4, said), (None, "word1"), (None, None), (7, "unheard")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x " + said), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fmindex.verdicts(fmindex.contamination(rows, items)).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (21, 20, 1, True) and got[2].n_words == 0

@@ -56,8 +56,13 @@ _GOOD_TAG = {"article": 2.0, "main": 1.6, "body": 0.7, "html": 0.7}
 _CONTAINERS = frozenset("article main section div td body html center table".split())
 #: An article element is chrome only by these; the others are plausible names of an article.
 _BAD_ARTICLE = CHROME_WORDS - frozenset("alert alerts notice notices discussion form search foot promoted register".split())
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+#: A quote begins a value only after the equals sign; anywhere else it is a character like others.
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))"""
+_ATTR = re.compile(rf"([^\s/>=]++)(?:{_VALUE})?")
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+)*+)>"""
+)
+_COMMENT_END = re.compile("--!?>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>")
 #: Attributes that say something about an element's part on the page.
 _TELLING = re.compile(r"class|id|role|style|hidden|itemprop", re.I)
@@ -98,12 +103,17 @@ def _marks(attrs: dict[str, str]) -> set[str]:
 class Page:
     """A page's elements and texts, in order; parents come before their children.
 
-    Elements that look alike in the same surroundings share a state: tag, path,
-    whether it is chrome, its weight, whether it is in a link, whether in a header.
+    Elements that look alike in the same surroundings share a state: tag, number of the
+    path, whether it is chrome, its weight, whether it is in a link, whether in a header.
+    A path is held as its last step and the path above, so a deep page takes no more room
+    than a flat one.
     """
 
     def __init__(self, html: str):
-        self.states: list[tuple[str, str, bool, float, bool, bool]] = [("#root", "", False, 1.0, False, False)]
+        self.states: list[tuple[str, int, bool, float, bool, bool]] = [("#root", 0, False, 1.0, False, False)]
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.lengths = [0]
+        self._numbers: dict[tuple[int, str], int] = {}
         self.parent, self.state = [-1], [0]
         self.texts: list[tuple[int, str]] = []
         #: Where a block begins or ends: the number of texts before it.
@@ -111,7 +121,7 @@ class Page:
         self._made: dict[tuple[int, str, str], int] = {}
         self._read(html)
 
-    def _look(self, tag: str, attrs: dict[str, str], above: int) -> tuple[str, str, bool, float, bool, bool]:
+    def _look(self, tag: str, attrs: dict[str, str], above: int) -> tuple[str, int, bool, float, bool, bool]:
         _, path, chrome, _, link, header = self.states[above]
         marks = _marks(attrs)
         style = attrs.get("style", "").replace(" ", "").lower()
@@ -136,7 +146,32 @@ class Page:
         names = sorted({re.sub(r"\d+", "0", c) for c in attrs.get("class", "").split()})
         if attrs.get("id"):
             names.append("#" + re.sub(r"\d+", "0", attrs["id"]))
-        return (tag, f"{path}/{'.'.join([tag, *names])}", chrome, good, link or tag == "a", header or is_header)
+        return (tag, self._step(path, ".".join([tag, *names])), chrome, good, link or tag == "a", header or is_header)
+
+    def _step(self, above: int, step: str) -> int:
+        number = self._numbers.setdefault((above, step), len(self.steps))
+        if number == len(self.steps):
+            self.steps.append((above, step))
+            self.lengths.append(self.lengths[above] + 1 + len(step))
+        return number
+
+    def path(self, number: int) -> str:
+        """The text of a path."""
+        out = []
+        while number:
+            number, step = self.steps[number]
+            out.append(f"/{step}")
+        return "".join(reversed(out))
+
+    def place(self, path: str) -> int | None:
+        """The number of a path, None if the page has none like it."""
+        if not path:
+            return 0
+        step = path.rpartition("/")[2]
+        for number, (_, last) in enumerate(self.steps):
+            if self.lengths[number] == len(path) and number and last.endswith(step) and self.path(number) == path:
+                return number
+        return None
 
     def _open(self, tag: str, attrs: str, parent: int) -> int:
         if attrs and not _TELLING.search(attrs):
@@ -168,9 +203,11 @@ class Page:
                     break
             tag = _TAG.match(html, here)
             if not tag:
-                if html.startswith("<!--", here):
-                    close = html.find("-->", here + 4)
-                    at = end if close < 0 else close + 3
+                if html.startswith(("<!-->", "<!--->"), here):
+                    at = html.index(">", here) + 1
+                elif html.startswith("<!--", here):
+                    close = _COMMENT_END.search(html, here + 4)
+                    at = close.end() if close else end
                 elif html.startswith(("<!", "<?"), here):
                     close = html.find(">", here)
                     at = end if close < 0 else close + 1
@@ -273,30 +310,36 @@ class Page:
             if plain[node]:
                 plain[parent[node]] += plain[node]
                 linked[parent[node]] += linked[node]
-        best: dict[str, float] = {}
+        best: dict[int, float] = {}
         for node in range(1, n):
             if plain[node]:
                 tag, path, chrome, good, _, _ = looks[node]
                 if tag in _CONTAINERS and not chrome:
                     score = max(plain[node] - 1.5 * linked[node], 0.1) * good
                     best[path] = best.get(path, 0.0) + score
-        top = sorted(best.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))[:_VOTES]
-        return [(path, score / top[0][1]) for path, score in top]
+        rank = lambda x: (-x[1], -self.lengths[x[0]])
+        top = sorted(best.items(), key=rank)
+        # The texts decide only between paths of one score and length.
+        tied = [x for x in top if rank(x) <= rank(top[min(_VOTES, len(top)) - 1])]
+        named = sorted(((*rank(x), self.path(x[0])) for x in tied))[:_VOTES]
+        return [(path, score / named[0][0]) for score, _, path in named]
 
-    def paths(self) -> set[str]:
-        return {s[1] for s in self.states}
+    def has(self, paths: list[str]) -> bool:
+        return any(self.place(p) is not None for p in paths)
 
     def text_of(self, paths: list[str]) -> str:
         """Blocks of the elements on the first path that the page has text on; of the whole page if there is none."""
-        here = self.paths()
-        for path in [p for p in paths if p in here] + [""]:
+        for path in [*paths, ""]:
+            own_path = self.place(path)
+            if own_path is None:
+                continue
             inside = [path == ""] * len(self.state)
             # Inside an article the headings of a header stay; on a whole page a header is the site's.
             wide = path.rpartition("/")[2].partition(".")[0] in ("", "body", "html")
             for node in range(1, len(inside)):
                 if not inside[node]:
                     _, own, chrome, _, _, _ = self.states[self.state[node]]
-                    inside[node] = inside[self.parent[node]] or (own == path and not chrome)
+                    inside[node] = inside[self.parent[node]] or (own == own_path and not chrome)
             blocks: list[str] = []
             block: list[str] = []
             for i, (node, text) in enumerate(self.texts):
@@ -339,7 +382,7 @@ def article_text(pages: pa.Array, paths: pa.Array) -> pa.Array:
     for html, ranked in zip(pages, paths):
         page = Page(html.as_py() or "")
         given = ranked.as_py() or []
-        if page.paths().isdisjoint(given):
+        if not page.has(given):
             given = [p for p, _ in page.scored()]
         out.append(page.text_of(given))
     return pa.array(out, pa.string())

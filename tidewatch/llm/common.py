@@ -37,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until it is none of the columns (names are compared without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hex64(value: Column) -> Column:
     """A long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import WORD_BYTES, lowered, pieces, stored, words
+from tidewatch.llm.common import WORD_BYTES, lowered, pieces, stored, unused, words
 
 WINDOW = 13
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +242,8 @@ class Searcher:
         a, b = np.flatnonzero(opens), np.flatnonzero(closes)
         of = text[a]
         spans = (of, a - first_word[of], b + 1 - first_word[of], start[a] - at[of], end[b] - at[of])
-        return n_words, spans, sorted(pairs)
+        # An item without an id is searched for but not listed.
+        return n_words, spans, sorted(p for p in pairs if p[1] is not None)
 
     def _exact(self, data, start, end, rows, which, where) -> np.ndarray:
         """Whether each occurrence has the phrase's very words; a hash may stand for two."""
@@ -276,8 +277,8 @@ def hits_udf(spark, phrases: Phrases):
             counts.append(n_words)
             owners.append(found[0] + base)
             spans.append(np.stack(found[1:], 1))
-            item_of += [t + base for t, item in pairs if item is not None]
-            items += [item for _, item in pairs if item is not None]
+            item_of += [t + base for t, _ in pairs]
+            items += [item for _, item in pairs]
             base += len(at) - 1
         ends = lambda of: np.searchsorted(of, np.arange(base + 1)).astype(np.int32)
         flat = np.concatenate(spans) if spans else np.zeros((0, 4), np.int64)
@@ -389,7 +390,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     phrases = list(phrase_blocks(benchmark))
-    beside = docs.withColumns({f"_hit{i}": hits_udf(docs.sparkSession, p)(F.col("text")) for i, p in enumerate(phrases)})
-    spans = _merged(F.flatten(F.array(*[F.col(f"_hit{i}.spans") for i in range(len(phrases))])))
+    hits = unused(columns, *[f"hit{i}" for i in range(len(phrases))])
+    beside = docs.withColumns({hit: hits_udf(docs.sparkSession, p)(F.col("text")) for hit, p in zip(hits, phrases)})
+    spans = _merged(F.flatten(F.array(*[F.col(hit)["spans"] for hit in hits])))
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop_word"] - s["first_word"])
-    return beside.where(~((n_hit > 0) & (20 * n_hit >= F.col("_hit0.n_words")))).select(*columns)
+    return beside.where(~((n_hit > 0) & (20 * n_hit >= F.col(hits[0])["n_words"]))).select(*columns)

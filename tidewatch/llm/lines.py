@@ -7,8 +7,8 @@ holds (``filters``). Documents are added and taken out; counts follow exactly, k
 enter a filter when a second document comes to hold them and leave it when only one
 is left, so deleting what was added gives the index back.
 
-Lines are first asked of the filters. Most are held once and stop there, where they
-lie; the others are verified against the exact counts.
+Lines are first asked of the filter of their shard. Most are held once and stop there;
+the others are verified against the exact counts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import stored, unused
 from tidewatch.llm.cuckoo import Cuckoo, Full
 
 #: A row without a doc_id counts as the largest.
@@ -194,47 +194,47 @@ def _with_rest(index: LineIndex, updated: DataFrame) -> DataFrame:
     return stored(rest.unionByName(updated), "filters")
 
 
-def screened(index: LineIndex, rows: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
-    """Rows whose key some filter knows: every shared key, and a few by chance.
+def _known(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """The rows whose key the filter of their shard knows; no filter knows none."""
+    rows = asked.select(["key", "doc"])
+    if not held.num_rows:
+        return rows.slice(0, 0)
+    cells = Cuckoo.from_bytes(held.column("cells")[0].as_py())
+    return rows.filter(pa.array(cells.contains(_hashes(rows.column("key").to_pylist()))))
 
-    The filters go to all tasks if together they have at most ``most_bytes``. Beyond
-    that the rows pass unscreened: what follows is exact without it.
+
+def screened(index: LineIndex, rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """``key, doc`` of the rows whose key the filter of its shard knows: every shared key, and a few by chance.
+
+    Rows go to the filter of their shard; a shard's rows are dealt out by document to as
+    many tasks as ``most`` rows each need, and its filter to each of them.
     """
-    total = index.filters.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
-    if total > most_bytes:
-        return rows
-    held = index.filters.collect()
-    shared = rows.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cells"]) for r in held})
-
-    @F.arrow_udf("boolean")
-    def known(keys: pa.Array, shard: pa.Array) -> pa.Array:
-        hashes, shard = _hashes(keys.to_pylist()), shard.to_numpy()
-        out = np.zeros(len(hashes), bool)
-        for s in np.unique(shard):
-            if s in shared.value:
-                at = np.flatnonzero(shard == s)
-                out[at] = Cuckoo.from_bytes(shared.value[s]).contains(hashes[at])
-        return pa.array(out)
-
-    return rows.where(known(F.col("key"), _shard(index.shards)))
-
-
-def drops(index: LineIndex, most_bytes: int = 32 << 20) -> DataFrame:
+    salts = max(1, -(-rows.count() // (index.shards * most)))
+    ask = lambda shard, salt: (shard * salts + salt).alias("ask")
+    asked = rows.select("key", "doc", ask(_shard(index.shards), F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")))
+    held = index.filters.select("cells", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    held = held.select("cells", ask(F.col("shard"), F.col("salt")))
+    return asked.groupBy("ask").cogroup(held.groupBy("ask")).applyInArrow(_known, "key binary, doc long")
+
+
+def drops(index: LineIndex) -> DataFrame:
     """``doc, keys``: the keys a document loses because a document with a smaller doc_id holds them."""
-    asked = screened(index, index.postings, most_bytes)
+    asked = screened(index, index.postings)
     verified = asked.join(_shared(index.refs).select("key", "first"), "key").where(F.col("doc") > F.col("first"))
     return verified.select("doc", "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
 
-def deduped(index: LineIndex, docs: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` with ``kept`` (struct of text, n_lines, n_dropped) beside its columns.
+def deduped(index: LineIndex, docs: DataFrame, into: str = "kept") -> DataFrame:
+    """``docs`` with ``into`` (struct of text, n_lines, n_dropped) beside its columns.
 
-    ``docs`` are documents of the index. Null and empty texts are one empty line.
-    Rows that repeat a doc_id count as one document: none of them loses a line to another.
+    ``docs`` are documents of the index and have no column ``into``. Null and empty texts
+    are one empty line. Rows that repeat a doc_id count as one document: none of them
+    loses a line to another.
     """
-    gone = drops(index, most_bytes).select(F.col("doc").alias("_doc"), F.col("keys").alias("_keys"))
-    joined = docs.join(gone, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_doc"), "left")
-    return joined.withColumn("kept", without_lines(F.col("text"), F.col("_keys"))).drop("_doc", "_keys")
+    doc, keys = unused([*docs.columns, into], "doc", "keys")
+    gone = drops(index).toDF(doc, keys)
+    joined = docs.join(gone, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col(doc), "left")
+    return joined.withColumn(into, without_lines(F.col("text"), F.col(keys))).drop(doc, keys)
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import stored, unused
 
 #: Weights by the rank of a source, repeating, and how often a document may be taken.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -171,10 +171,14 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The documents the mix takes, with ``size, source_size, target, taken, copies`` after their columns.
 
     A document stands once, ``copies`` says how often it is taken. Rows that repeat a
-    doc_id are taken alike, as often as any of them is.
+    doc_id are taken alike, as often as any of them is. Given columns of one of these names
+    are kept as ``given_<name>``.
     """
     extra = ["size", "source_size", "target", "taken", "copies"]
-    found = mixture(docs, seed).where("copies > 0").withColumnRenamed("doc_id", "_id")
-    each = found.groupBy("_id").agg(F.max(F.struct("copies", *[c for c in extra if c != "copies"])).alias("_mix"))
-    joined = docs.join(each, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*[docs[c] for c in docs.columns if c not in extra], *[F.col(f"_mix.{c}").alias(c) for c in extra])
+    given = {c: unused([*docs.columns, *extra], f"given_{c}")[0] for c in docs.columns if c.lower() in extra}
+    docs = docs.withColumnsRenamed(given)
+    row, figures = unused([*docs.columns, *extra], "row", "figures")
+    found = mixture(docs, seed).where("copies > 0").withColumnRenamed("doc_id", row)
+    each = found.groupBy(row).agg(F.max(F.struct("copies", *[c for c in extra if c != "copies"])).alias(figures))
+    joined = docs.join(each, F.col("doc_id").eqNullSafe(F.col(row)))
+    return joined.select(*docs.columns, *[F.col(figures)[c].alias(c) for c in extra])

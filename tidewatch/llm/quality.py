@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SOLID_BYTES, pieces, words
+from tidewatch.llm.common import SOLID_BYTES, pieces, unused, words
 
 _MIX = np.uint32(0x9E3779B1)
 _NGRAMS = (3, 4)
@@ -182,5 +182,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **setti
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **settings) -> DataFrame:
     """The documents whose score reaches the threshold, columns as given."""
     model = fit(docs, labels, **settings)
-    scored = docs.withColumn("_score", score_udf(docs.sparkSession, model)(F.col("text")))
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    (score,) = unused(docs.columns, "score")
+    scored = docs.withColumn(score, score_udf(docs.sparkSession, model)(F.col("text")))
+    return scored.where(F.col(score) >= threshold).drop(score)

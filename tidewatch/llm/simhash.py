@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import SOLID_BYTES, hex64, lowered, pieces, stored, words
+from tidewatch.llm.common import SOLID_BYTES, hex64, lowered, pieces, stored, unused, words
 from tidewatch.llm.components import components
 from tidewatch.llm.xxh import xxh64
 
@@ -125,6 +125,7 @@ def kept_rows(docs: DataFrame, found: DataFrame, alone: DataFrame, print_of: Col
     """Rows whose doc_id names their component, and of those without one a row for each print in ``alone`` (one column)."""
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.where("doc_id IS NULL").withColumn("_fp", print_of)
-    rest = bare.join(alone.toDF("_fp").distinct(), "_fp", "left_semi").dropDuplicates(["_fp"])
+    (fp,) = unused(docs.columns, "fp")
+    bare = docs.where("doc_id IS NULL").withColumn(fp, print_of)
+    rest = bare.join(alone.toDF(fp).distinct(), fp, "left_semi").dropDuplicates([fp])
     return named.select(*docs.columns).unionByName(rest.select(*docs.columns))
