@@ -11,50 +11,48 @@ from tidewatch.operators.spread import first_per_key, spread_join
 from tidewatch.session import cut
 
 
-def _variants(name: Column) -> Column:
-    """Keys under which names within two edits of each other meet.
+#: Edits two names may be apart, and the segments one of which then is untouched.
+EDITS, SEGMENTS = 2, 3
 
-    ``array<struct<variant, drops, masks>>``: the hash of the name with up to two
-    letters dropped or masked, two changes at most.  Two names sharing a variant
-    are at most ``drops + drops + masks`` edits apart.
-    """
-    spots = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(
-        F.array().cast("array<int>")
-    )
 
-    def drop(text: Column, i: Column) -> Column:
-        return F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+def _segments(length: Column) -> list[tuple[Column, Column]]:
+    """Where the three segments of a name begin (from 1) and how long they are, the longer ones last."""
+    base = F.floor(length / SEGMENTS).cast("int")
+    more = (length % SEGMENTS).cast("int")
+    out, start = [], F.lit(1)
+    for i in range(SEGMENTS):
+        size = base + F.when(more >= SEGMENTS - i, 1).otherwise(0)
+        out.append((start, size))
+        start = start + size
+    return out
 
-    def mask(text: Column, i: Column) -> Column:
-        return F.concat(
-            F.substring(text, F.lit(1), i - 1), F.lit("\x00"), F.substring(text, i + 1, F.length(text))
-        )
 
-    def one(text: Column, drops: int, masks: int) -> Column:
-        return F.struct(
-            F.xxhash64(text).alias("variant"), F.lit(drops).alias("drops"), F.lit(masks).alias("masks")
-        )
+def _key(length: Column, segment: int, text: Column) -> Column:
+    return F.xxhash64(length, F.lit(segment), text)
 
-    dropped = F.transform(spots, lambda i: one(drop(name, i), 1, 0))
-    masked = F.transform(spots, lambda i: one(mask(name, i), 0, 1))
-
-    def pairs(make, drops: int, masks: int, ordered: bool) -> Column:
-        return F.flatten(
-            F.transform(
-                spots,
-                lambda i: F.transform(
-                    F.filter(spots, lambda j: (j > i) if ordered else (j != i)),
-                    lambda j: one(make(i, j), drops, masks),
-                ),
-            )
-        )
 
-    twice_dropped = pairs(lambda i, j: drop(drop(name, j), i), 2, 0, True)
-    twice_masked = pairs(lambda i, j: mask(mask(name, j), i), 0, 2, True)
-    dropped_masked = pairs(lambda i, j: drop(mask(name, j), i), 1, 1, False)
-    return F.concat(
-        F.array(one(name, 0, 0)), dropped, masked, twice_dropped, twice_masked, dropped_masked
-    )
+def indexed_keys(name: Column) -> Column:
+    """The keys a name is found under: its three segments, each with its place and the name's length."""
+    length = F.length(name)
+    return F.array(*[_key(length, i, F.substring(name, start, size)) for i, (start, size) in enumerate(_segments(length))])
+
+
+def probed_keys(name: Column) -> Column:
+    """The keys under which a name looks for names as long as itself or up to two letters shorter.
+
+    Two edits leave one of three segments of the shorter name untouched. Where it stands
+    in the longer one follows from how many letters may have come before it and after
+    it: five places for names of one length, four and three for shorter ones.
+    """
+    length, out = F.length(name), []
+    for shorter in range(EDITS + 1):
+        other = length - shorter
+        for i, (start, size) in enumerate(_segments(other)):
+            for shift in range(max(-i, shorter - (EDITS - i)), min(i, shorter + (EDITS - i)) + 1):
+                at = start + shift
+                inside = (other >= 0) & (at >= 1) & (at + size - 1 <= length)
+                out.append(F.when(inside, _key(other, i, F.substring(name, at, size))))
+    return F.array_distinct(F.array_compact(F.array(*out)))
 
 
 def _star(members: DataFrame, group: list[str], evidence: str) -> DataFrame:
@@ -81,9 +79,9 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     ``orgs``: ``org_id, name, apply_target``; ``sources``: ``org_id, url``.
     Two independent signs are required: a shared domain, two or more equal urls
     (which bring the domain with them), the same mail domain, or names within two
-    edits.  Each pair of signs is a key; members of a key are linked to its
-    keeper, so a group of copies yields one row per copy.  ``reasons`` are those of
-    the link shown; two members joined through a keeper may share more.
+    edits.  Members that agree in all of a kind of evidence are linked to their keeper,
+    so a group of copies yields one row per copy; of names and of lists of urls that
+    differ, every two that are near enough are linked through their keepers.
     """
     counts = sources.groupBy("org_id").agg(F.countDistinct("url").alias("n_sources"))
     mail = F.lower(F.regexp_extract("apply_target", "@([^@\\s]+)$", 1))
@@ -110,25 +108,8 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     # Equal names first: copies are linked once and one of them goes on.
     same_name = _star(blocks, ["block", "name"], "block+name")
     one_each = cut(first_per_key(blocks, ["block", "name"], -F.col("n_sources"), F.col("org_id")))
-    crowded = one_each.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block")
-    # Each name becomes many variants, so rows are spread before they multiply.
-    spread = one_each.join(crowded, "block", "left_semi").repartition(
-        orgs.sparkSession.sparkContext.defaultParallelism
-    )
-    varied = spread.select(
-        "org_id", "n_sources", F.xxhash64("block").alias("block"), "name",
-        F.explode(_variants(F.col("name"))).alias("v"),
-    ).select("org_id", "n_sources", "block", "name", "v.*")
-    near = _near_names(varied)
-
-    urls = sources.select("org_id", "url").distinct()
-    # Only urls that several organisations list can be shared; two of them are a key, a row each.
-    several = urls.groupBy("url").agg(F.count("*").alias("_n")).where("_n > 1").select("url")
-    common = cut(urls.join(several, "url", "left_semi"))
-    other = common.select("org_id", F.col("url").alias("_other"))
-    two_urls = common.join(other, "org_id").where("url < _other").select("org_id", F.concat_ws(" ", "url", "_other").alias("urls"))
-    shared = two_urls.join(base.select("org_id", "n_sources"), "org_id")
-    by_urls = _star(shared, ["urls"], "urls")
+    near = _near_names(one_each)
+    by_urls = _shared_urls(sources.select("org_id", "url").where("url IS NOT NULL").distinct(), base.select("org_id", "n_sources"))
     return (
         by_mail.unionByName(same_name).unionByName(near).unionByName(by_urls)
         .groupBy("keep_id", "drop_id")
@@ -136,35 +117,58 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def _near_names(varied: DataFrame) -> DataFrame:
-    """Names within two edits inside a block, linked through the closest name of each variant."""
-    key = ["block", "variant", "masks"]
-    who = F.xxhash64("org_id")
-    met = varied.groupBy(*key).agg(F.min(who).alias("_a"), F.max(who).alias("_b")).where("_a <> _b")
-    varied = cut(varied.join(met.select(*key), key, "left_semi"))  # most variants meet nobody
-    centre = F.struct(
-        "drops", (-F.col("n_sources")).alias("s"), F.col("org_id").alias("o"), F.col("name").alias("name")
-    )
-    hubs = varied.groupBy(*key).agg(F.min(centre).alias("_k"))
-    linked = varied.join(
-        hubs.select(
-            *key, F.col("_k.o").alias("_hub"), F.col("_k.drops").alias("_hub_drops"),
-            F.col("_k.s").alias("_hub_n"), F.col("_k.name").alias("_hub_name"),
-        ),
-        key,
-    ).where(
-        (F.col("org_id") != F.col("_hub"))
-        & (F.col("drops") + F.col("_hub_drops") + F.col("masks") <= 2)
-        & (F.levenshtein("name", "_hub_name", 2) >= 0)  # hashes may collide
-    )
-    stronger = (F.col("_hub_n") < -F.col("n_sources")) | (
-        (F.col("_hub_n") == -F.col("n_sources")) & (F.col("_hub") < F.col("org_id"))
-    )
-    return linked.select(
-        F.when(stronger, F.col("_hub")).otherwise(F.col("org_id")).alias("keep_id"),
-        F.when(stronger, F.col("org_id")).otherwise(F.col("_hub")).alias("drop_id"),
-        F.lit("block+name").alias("reason"),
-    ).distinct()
+def _kept(a: str, b: str, reason: str) -> list[Column]:
+    """Of two organisations (structs of ``n``, minus the number of sources, and ``o``) the one with more sources is kept."""
+    first = F.col(a) < F.col(b)
+    return [
+        F.when(first, F.col(a)["o"]).otherwise(F.col(b)["o"]).alias("keep_id"),
+        F.when(first, F.col(b)["o"]).otherwise(F.col(a)["o"]).alias("drop_id"), F.lit(reason).alias("reason"),
+    ]
+
+
+def _near_names(names: DataFrame) -> DataFrame:
+    """Names of a block within two edits of each other, of rows ``org_id, name, n_sources, block`` that differ in (block, name).
+
+    Shorter names are found by a segment that the edits leave untouched, about fifteen
+    keys a name whatever its length; each pair found is verified.
+    """
+    who = F.struct((-F.col("n_sources")).alias("n"), F.col("org_id").alias("o")).alias("who")
+    named = names.where("name IS NOT NULL").select(F.xxhash64("block").alias("_block"), "block", "name", who)
+    crowded = named.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block")
+    named = cut(named.join(crowded, "block", "left_semi"))
+    found = named.select("_block", F.explode(indexed_keys(F.col("name"))).alias("_k"), F.col("block").alias("b"), F.col("name").alias("short"), F.col("who").alias("a"))
+    asked = named.select("_block", F.explode(probed_keys(F.col("name"))).alias("_k"), "block", "name", "who")
+    longer = (F.length("name") > F.length("short")) | (F.col("name") > F.col("short"))
+    near = F.levenshtein("name", "short", EDITS) >= 0
+    met = asked.join(found, ["_block", "_k"]).where((F.col("block") == F.col("b")) & longer & near)
+    return met.select(*_kept("a", "who", "block+name")).distinct()
+
+
+def _shared_urls(urls: DataFrame, strength: DataFrame, least: int = 2) -> DataFrame:
+    """Organisations that list ``least`` urls in common, from distinct ``org_id, url``.
+
+    Only urls that several list count. Organisations with the same list are one class,
+    linked to its keeper. Classes are compared by prefix: of two lists with ``least``
+    urls in common, each ordered from the rarest url on, the parts without the last
+    ``least - 1`` have one in common. So a class is a row for each of its urls, not for
+    every two of them, and what many list is a key only to those who list little else.
+    """
+    several = urls.groupBy("url").agg(F.count("*").alias("_n")).where("_n > 1")
+    common = urls.join(several, "url").select("org_id", F.struct("_n", F.xxhash64("url").alias("h"), "url").alias("u"))
+    lists = common.groupBy("org_id").agg(F.array_sort(F.collect_list("u")).alias("us")).where(F.size("us") >= least)
+    listed = cut(
+        lists.join(strength, "org_id").select("org_id", "n_sources", F.transform("us", lambda u: u["url"]).alias("list"))
+        .withColumn("class", F.sha2(F.concat_ws("\x01", "list"), 256))
+    )
+    copies = _star(listed.select("org_id", "n_sources", "class"), ["class"], "urls")
+    who = F.struct((-F.col("n_sources")).alias("n"), F.col("org_id").alias("o"))
+    classes = cut(listed.groupBy("class").agg(F.min(who).alias("who"), F.any_value("list").alias("list")))
+    prefix = classes.select("class", F.explode(F.slice("list", F.lit(1), F.size("list") - (least - 1))).alias("url"))
+    met = prefix.join(prefix.select(F.col("class").alias("other"), "url"), "url").where("class < other").select("class", "other").distinct()
+    of = lambda a, c: classes.select(F.col("class").alias(c), F.col("who").alias(a), F.col("list").alias(f"{a}_list"))
+    both = met.join(of("a", "class"), "class").join(of("b", "other"), "other")
+    shared = F.size(F.array_intersect("a_list", "b_list")) >= least
+    return copies.unionByName(both.where(shared).select(*_kept("a", "b", "urls")))
 
 
 def domain_owners(sources: DataFrame) -> DataFrame:

@@ -135,17 +135,45 @@ def wrong_domain(spark, sf):
     return entities.wrong_domain(narrow_sources(spark, sf))
 
 
-@query("duplicate_entities")
+_NAMED = "p_name || ' ' || p_partkey"
+
+
+@query("duplicate_entities", f"""
+WITH o AS (SELECT CAST(p_partkey AS VARCHAR) AS org_id, {_NAMED} AS name, lower(p_type) || p_size || '.example' AS mail,
+  replace(lower(p_brand), '#', '') || '.com' AS domain FROM part),
+u AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS org_id, 'https://' || o.domain || '/' || l_suppkey || '/' || strftime(l_shipdate, '%Y-%m') AS url
+  FROM lineitem JOIN o ON o.org_id = CAST(l_partkey AS VARCHAR)),
+n AS (SELECT o.*, coalesce(c, 0) AS n_sources, row_number() OVER (ORDER BY coalesce(c, 0) DESC, o.org_id) AS r
+  FROM o LEFT JOIN (SELECT org_id, count(*) AS c FROM u GROUP BY org_id) USING (org_id)),
+d AS (SELECT * FROM n WHERE n_sources > 0),
+g AS (SELECT 'domain+mail' AS reason, 'd' || domain || ' ' || mail AS g, org_id, r FROM d
+  UNION ALL SELECT 'block+name', 'domain ' || domain || ' ' || name, org_id, r FROM d UNION ALL SELECT 'block+name', 'mail ' || mail || ' ' || name, org_id, r FROM n),
+star AS (SELECT reason, first_value(org_id) OVER w AS keep_id, org_id AS drop_id, row_number() OVER w AS k FROM g WINDOW w AS (PARTITION BY reason, g ORDER BY r)),
+blk AS (SELECT 'domain ' || domain AS b, name, org_id, r FROM d UNION ALL SELECT 'mail ' || mail, name, org_id, r FROM n),
+near AS (SELECT a.org_id AS keep_id, z.org_id AS drop_id FROM blk a JOIN blk z ON a.b = z.b AND a.r < z.r AND a.name <> z.name
+  AND abs(length(a.name) - length(z.name)) <= 2 AND levenshtein(a.name, z.name) <= 2),
+several AS (SELECT url FROM u GROUP BY url HAVING count(*) > 1),
+su AS (SELECT org_id, url FROM u JOIN several USING (url)),
+cls AS (SELECT org_id, list_sort(list(url)) AS urls FROM su GROUP BY org_id HAVING count(*) >= 2),
+rep AS (SELECT urls, arg_min(org_id, r) AS keep_id, min(r) AS r FROM cls JOIN n USING (org_id) GROUP BY urls),
+cp AS (SELECT rep.keep_id, cls.org_id AS drop_id FROM cls JOIN rep USING (urls) WHERE cls.org_id <> rep.keep_id),
+pr AS (SELECT a.org_id AS x, z.org_id AS y FROM su a JOIN su z ON a.url = z.url AND a.org_id <> z.org_id GROUP BY a.org_id, z.org_id HAVING count(*) >= 2),
+sh AS (SELECT a.keep_id, z.keep_id AS drop_id FROM pr JOIN rep a ON a.keep_id = pr.x JOIN rep z ON z.keep_id = pr.y WHERE a.r < z.r),
+al AS (SELECT keep_id, drop_id, reason FROM star WHERE k > 1 UNION SELECT keep_id, drop_id, 'block+name' FROM near
+  UNION SELECT keep_id, drop_id, 'urls' FROM cp UNION SELECT keep_id, drop_id, 'urls' FROM sh)
+SELECT keep_id, drop_id, array_to_string(list_sort(list(reason)), ',') AS reasons FROM al GROUP BY keep_id, drop_id""")
 def duplicate_entities(spark, sf):
-    """Parts as organisations: brand is the domain, type the mail domain, names nearly equal or not."""
+    """Parts as organisations: brand is the domain, type and size the mail domain, urls by supplier and month of their order lines."""
     p = table(spark, sf, "part")
     listed = p.select(
         F.col("p_partkey").cast("string").alias("org_id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"),
         F.concat(F.lit("hr@"), F.lower("p_type"), F.col("p_size").cast("string"), F.lit(".example")).alias("apply_target"),
     )
-    urls = p.select(
-        F.col("p_partkey").cast("string").alias("org_id"),
-        F.concat(F.lit("https://"), F.regexp_replace(F.lower("p_brand"), "#", ""), F.lit(".com/"), F.col("p_partkey").cast("string")).alias("url"),
+    site = p.select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("https://"), F.regexp_replace(F.lower("p_brand"), "#", ""), F.lit(".com/")).alias("site"))
+    lines = table(spark, sf, "lineitem").join(site, "l_partkey")
+    urls = lines.select(
+        F.col("l_partkey").cast("string").alias("org_id"),
+        F.concat("site", F.col("l_suppkey").cast("string"), F.lit("/"), F.date_format("l_shipdate", "yyyy-MM")).alias("url"),
     )
     found = entities.duplicate_proposals(listed, urls)
     return found.select("keep_id", "drop_id", F.array_join("reasons", ",").alias("reasons"))

@@ -8,7 +8,7 @@ from tidewatch.functions import address as A
 from tidewatch.functions import dates as D
 from tidewatch.functions import fields
 from tidewatch.functions import lexicon as L
-from tidewatch.operators import due, guard, notices, quality, records, relevance, reports, routing
+from tidewatch.operators import asof, due, guard, notices, quality, records, relevance, reports, routing
 from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.plans.registry import query, table
 from tidewatch.plans.sqltext import q
@@ -125,6 +125,39 @@ def status_calendar(spark, sf):
     )
 
 
+# An order is recorded, gets a later deadline 200 days on, and loses its days 500 days on.
+VERSIONS = {0: (0, "closes", "opens"), 1: (200, "closes + 30", "opens"), 2: (500, "NULL", "NULL")}
+
+
+@query("records_as_of", f"""
+WITH {REC}, v AS ({" UNION ALL ".join(
+    f"SELECT id, product, CAST(first_seen + INTERVAL {days} DAY AS TIMESTAMP) AS recorded, CAST({opens} AS DATE) AS opens, CAST({closes} AS DATE) AS closes, "
+    f"{'CAST([' + q('needs_manual_review') + '] AS VARCHAR[])' if n == 2 else 'flags'} AS flags FROM rec"
+    for n, (days, closes, opens) in VERSIONS.items())}),
+f AS (SELECT row_number() OVER () AS n, CAST(l_orderkey AS VARCHAR) AS id, l_linenumber, l_shipdate AS as_of FROM lineitem),
+j AS (SELECT f.n, any_value(f.id) AS id, any_value(l_linenumber) AS l_linenumber, any_value(as_of) AS as_of,
+  arg_max({{'opens': opens, 'closes': closes, 'product': product, 'flags': flags, 'recorded': recorded}}, recorded) AS v
+  FROM f LEFT JOIN v ON v.id = f.id AND v.recorded <= f.as_of GROUP BY f.n),
+w AS (SELECT id, l_linenumber, as_of, v.recorded AS recorded, v.opens AS opens, v.closes AS closes, v.product AS product, v.flags AS flags FROM j)
+SELECT id, l_linenumber, epoch_us(as_of) AS as_of, epoch_us(recorded) AS known_since,
+  CASE WHEN recorded IS NOT NULL THEN {status_sql('epoch_us(as_of)')} END AS status FROM w""")
+def records_as_of(spark, sf):
+    """Order lines ask what was known of their order on the day they were shipped."""
+    base = base_records(spark, sf)
+    later = base.withColumns({"first_seen": F.expr("first_seen + INTERVAL 200 DAY"), "closes": F.date_add("closes", 30)})
+    undated = base.withColumns({
+        "first_seen": F.expr("first_seen + INTERVAL 500 DAY"), "opens": F.lit(None).cast("date"), "closes": F.lit(None).cast("date"),
+        "flags": F.array(F.lit("needs_manual_review")),
+    })
+    columns = ["id", F.col("first_seen").alias("recorded"), "opens", "closes", "product", "flags"]
+    versions = base.select(*columns).unionByName(later.select(*columns)).unionByName(undated.select(*columns))
+    asked = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("id"), "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("as_of")
+    )
+    told = asof.statuses_as_of(asked, versions)
+    return told.select("id", "l_linenumber", F.unix_micros("as_of").alias("as_of"), F.unix_micros("known_since").alias("known_since"), "status")
+
+
 @query("restated_records", f"""
 WITH {REC}, v AS (SELECT id, flags, {status_sql(lit_us(BEFORE))} AS old, {status_sql(lit_us(AFTER))} AS status FROM rec)
 SELECT id, status, array_to_string(CASE WHEN old <> status AND status = 'closing_soon' THEN list_append(flags, 'closing_in_48h') ELSE flags END, ',') AS flags FROM v""")
