@@ -1,5 +1,8 @@
 """Extraction, filters, addresses, guard, lexicons and redaction on literal cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +268,33 @@ def test_none_lifts_bounds_and_forgotten_verdicts_are_rows(spark):
     as_of = F.lit("2027-01-01").cast("timestamp")
     assert [len(r.excerpt) for r in records.placeholders(failed, as_of).collect()] == [400]
     assert [len(r.excerpt) for r in records.placeholders(failed, as_of, None).collect()] == [900]
+
+
+def brute_without(markup, kinds):
+    out, stack = [], []
+    for piece in re.split(rf"(?i)(?=</?(?:{'|'.join(kinds)})(?![\w-]))", markup):
+        tag = re.match(rf"(?i)<(/?)({'|'.join(kinds)})(?![\w-])[^>]*>", piece)
+        if tag:
+            kind = tag[2].lower()
+            if not tag[1] and not (kind == "svg" and tag[0].endswith("/>")):
+                stack.append((kind, len(out)))
+            elif tag[1] and kind in [k for k, _ in stack]:
+                while (top := stack.pop())[0] != kind:
+                    pass
+                del out[top[1]:]
+            piece = piece[tag.end():]
+        out.append(piece)
+    return "".join(out)
+
+
+def test_nested_chrome_ends_at_its_own_closing_tag(spark):
+    kinds = ["nav", "footer", "svg"]
+    rnd = random.Random(4)
+    bits = ["<nav>", "</nav>", "<footer a='b'>", "</FOOTER >", "<svg/>", "<svg>", "</svg>", "text ", "<b>x</b>", "<nav-bar>", "a", "\n"]
+    pages = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(400)]
+    pages += ["<nav>a<nav>b</nav>c</nav>d", "<nav>never closed", "</nav>x", "", "<nav>" * 500 + "in" + "</nav>" * 500 + "out", "x<nav", "x</nav"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "n int, m string")
+    got = {r.n: r.t for r in rows.select("n", H.without_elements(F.col("m"), kinds).alias("t")).collect()}
+    for n, page in enumerate(pages):
+        bare = lambda t: re.sub(r"<[a-zA-Z/][^>]*>", "", t)
+        assert bare(got[n]) == bare(brute_without(page, kinds)), page

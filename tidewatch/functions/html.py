@@ -17,6 +17,47 @@ def _without(col: Column, tags: list[str], to_end: bool = False) -> Column:
     return F.regexp_replace(col, f"(?is)<({'|'.join(tags)})\\b[^>]*>.*?(?:</\\1\\s*>{end})", "")
 
 
+_FOLD = "struct<out:array<string>,kinds:array<string>,at:array<int>>"
+
+
+def without_elements(col: Column, tags: list[str]) -> Column:
+    """Drop elements with their content, each up to its own closing tag however they are nested.
+
+    The markup is cut at the tags of these kinds and folded once: a start tag remembers
+    how much stands before it, a closing tag of a kind that is open takes away all that
+    has come since the innermost one began (and closes what is open inside it). A closing
+    tag of nothing open is ignored; an element that is never closed hides nothing.
+    """
+    names = "|".join(tags)
+    pieces = F.transform(
+        F.split(col, f"(?i)(?=</?(?:{names})(?![\\w-]))"),
+        lambda piece: F.struct(
+            F.lower(F.regexp_extract(piece, f"(?i)^</?({names})(?![\\w-])", 1)).alias("kind"),
+            piece.startswith("</").alias("closes"),
+            piece.rlike("(?i)^<svg[^>]*/>").alias("empty"),
+            piece.alias("piece"),
+        ),
+    )
+
+    def step(done: Column, piece: Column) -> Column:
+        out, kinds, at = done["out"], done["kinds"], done["at"]
+        back = F.array_position(F.reverse(kinds), piece["kind"])
+        last = (F.size(kinds) - back + 1).cast("int")
+        shut = piece["closes"] & (back > 0)
+        opened = (piece["kind"] != "") & ~piece["closes"] & ~piece["empty"]
+        rest = F.when(piece["kind"] == "", piece["piece"]).otherwise(F.regexp_replace(piece["piece"], "^</?[a-zA-Z]+[^>]*>", ""))
+        before = F.when(shut, F.slice(out, F.lit(1), F.get(at, last - 1))).otherwise(out)
+        return F.struct(
+            F.concat(before, F.array(rest)).alias("out"),
+            F.when(shut, F.slice(kinds, F.lit(1), last - 1)).when(opened, F.array_append(kinds, piece["kind"])).otherwise(kinds).alias("kinds"),
+            F.when(shut, F.slice(at, F.lit(1), last - 1)).when(opened, F.array_append(at, F.size(out))).otherwise(at).alias("at"),
+        ).cast(_FOLD)
+
+    nothing = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<int>").alias("at"))
+    folded = F.array_join(F.aggregate(pieces, nothing.cast(_FOLD), step, lambda done: done["out"]), "")
+    return F.when(col.rlike(f"(?i)</(?:{names})(?![\\w-])"), folded).otherwise(col)
+
+
 # Every named reference of the standard, from Python's own table; names do not overlap
 # with their characters, so two joined strings make one constant map.
 _NAMES = sorted(n for n in html5 if n.endswith(";"))
@@ -78,7 +119,7 @@ def visible_markup(html: Column) -> Column:
     """
     out = _without(html, L.RAW_TEXT_TAGS, to_end=True)
     out = F.regexp_replace(out, "(?s)<!--.*?(?:-->|\\z)", "")
-    out = _without(out, L.CHROME_TAGS)
+    out = let(out, lambda markup: without_elements(markup, L.CHROME_TAGS))
 
     def inside(markup: Column) -> Column:
         body = F.regexp_replace(

@@ -50,6 +50,24 @@ def page_body_text(spark, sf):
     )
 
 
+# Chrome in chrome, with what must stay between: every element ends at its own closing tag.
+NESTED = (
+    "<nav>m1<nav class=x>m2</nav>m3<ul><FOOTER>m4</footer></ul>m5</nav> stays "
+    "<footer>f1<nav>f2</footer> and <svg/><svg><svg></svg>gone</svg>here<nav-bar> bar</nav-bar>"
+)
+LEFT = " stays  and here bar"
+
+
+@query("nested_chrome_text", f"""
+WITH planted AS (SELECT page_id, url, replace(html, '</body>', {q(LEFT)} || page_id || '</body>') AS html FROM pages), {BODY_CTE.replace('FROM pages', 'FROM planted')}
+SELECT page_id, sha256(body) AS hash, CAST(length(body) AS INTEGER) AS chars FROM bodies""")
+def nested_chrome_text(spark, sf):
+    """Pages with nested menus and footers planted at the end of their body."""
+    planted = F.concat(F.lit(NESTED), F.col("page_id").cast("string"), F.lit("</body>"))
+    nested = pages(spark, sf).withColumn("html", F.replace("html", F.lit("</body>"), planted))
+    return extract.extract(nested).select("page_id", "hash", "chars")
+
+
 @query("main_text_choice", f"""
 WITH {BODY_CTE}
 SELECT page_id, method, CAST(length(CASE WHEN method = 'article' THEN article ELSE body END) AS INTEGER) AS chars,
