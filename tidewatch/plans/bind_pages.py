@@ -65,7 +65,7 @@ def nested_chrome_text(spark, sf):
     """Pages with nested menus and footers planted at the end of their body."""
     planted = F.concat(F.lit(NESTED), F.col("page_id").cast("string"), F.lit("</body>"))
     nested = pages(spark, sf).withColumn("html", F.replace("html", F.lit("</body>"), planted))
-    return extract.extract(nested).select("page_id", "hash", "chars")
+    return extract.extract(nested).select("page_id", "hash", F.length("body").alias("chars"))
 
 
 @query("main_text_choice", f"""
