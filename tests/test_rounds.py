@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewatch import schemas
-from tidewatch.operators import health
 from tidewatch.plans import rounds
 from tidewatch.plans.bind_texts import rule_judge
-from tidewatch.streaming import folds
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -21,7 +19,7 @@ TABLES = [
 ]
 CHECKED = [
     "collection_round", "snapshot_fold", "failure_streaks", "due_selection", "release_by_day", "record_upsert", "relevance_scores",
-    "budget_prefix", "memory_lookup", "copied_guard", "issue_report", "wrong_domain", "stream_health", "sitemap_entries",
+    "budget_prefix", "memory_lookup", "copied_guard", "issue_report", "wrong_domain", "stream_health", "stream_snapshots", "stream_release", "duplicate_entities", "records_as_of", "nested_chrome_text", "sitemap_entries",
 ]
 
 
@@ -218,54 +216,6 @@ def test_notification_round(spark):
     assert [(r.reader_id, r.key, r.outlet) for r in out.collect()] == [(1, "new:o|u", "push")] and queue.count() == 2
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    landing = str(tmp_path / "log")
-    base = dt.datetime(2026, 1, 1)
-    rows = [(f"u{i % 7}", base + dt.timedelta(minutes=i), i, i % 5 < 2, None if i % 5 < 2 else f"e{i % 3}") for i in range(600)]
-    log = spark.createDataFrame(rows, schemas.FETCH_LOG)
-    for k in range(3):
-        log.where((F.col("seq") >= k * 200) & (F.col("seq") < (k + 1) * 200)).coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(schemas.FETCH_LOG).option("maxFilesPerTrigger", 1).parquet(landing)
-    folder = str(tmp_path / "state")
-    folds.health_stream(spark, stream, folder).trigger(availableNow=True).start().awaitTermination()
-    state = folds.VersionedState(spark, f"{folder}/health", schemas.HEALTH)
-    want = {r.url: r for r in health.failure_streaks(log).collect()}
-    got = {r.url: r for r in state.read(2).collect()}
-    assert {u: (r.consecutive_failures, r.state, r.last_error, r.last_success) for u, r in got.items()} == {
-        u: (r.consecutive_failures, r.state, r.last_error, r.last_success) for u, r in want.items()}
-    # A small batch only writes the buckets it touches; old versions go, the state stays whole.
-    one = spark.createDataFrame([("u1", base + dt.timedelta(days=1), 9999, True, None)], schemas.FETCH_LOG)
-    for batch_id in range(3, 9):
-        touched = state.touched(one)
-        assert len(touched) == 1
-        state.write(folds.fold_health(state.read(batch_id - 1, touched), one), batch_id, touched)
-    assert {r.url for r in state.newest().collect()} == set(want)
-    assert {r.url: r.consecutive_failures for r in state.read(8).where("url <> 'u1'").collect()} == {u: r.consecutive_failures for u, r in want.items() if u != "u1"}
-    import glob
-
-    assert len(glob.glob(f"{folder}/health/manifest/batch=*")) == 4 and not glob.glob(f"{folder}/health/data/batch=3/bucket=*")
-    again = folds.fold_health(state.read(8), log)  # everything is older than the state
-    assert {r.url: r.consecutive_failures for r in again.where("url <> 'u1'").collect()} == {u: r.consecutive_failures for u, r in got.items() if u != "u1"}
-
-
-def test_snapshot_and_log_folds(spark):
-    empty = spark.createDataFrame([], schemas.STREAM_SNAPSHOTS)
-    text = "This sentence is long enough to be a block of its own. " * 8
-    one = folds.fold_snapshots(empty, fetches(spark, [("https://a.sa/", body(text))], "2026-08-01 09:00:00"))
-    rows = one.collect()
-    assert rows[0].pending and rows[0].first_seen == dt.datetime(2026, 8, 1, 9)
-    kept = spark.createDataFrame(rows, schemas.STREAM_SNAPSHOTS)
-    again = folds.fold_snapshots(kept, fetches(spark, [("https://a.sa/", body(text))], "2026-08-03 09:00:00")).collect()
-    known = spark.createDataFrame(again, schemas.STREAM_SNAPSHOTS)
-    between = folds.fold_snapshots(known, fetches(spark, [("https://a.sa/", body("other " + text))], "2026-08-02 09:00:00")).collect()
-    assert between[0].content_hash == rows[0].content_hash and between[0].last_attempt == dt.datetime(2026, 8, 3, 9)
-    late = folds.fold_snapshots(kept, fetches(spark, [("https://a.sa/", body("older " + text))], "2026-07-01 09:00:00")).collect()
-    assert late[0].content_hash == rows[0].content_hash
-    log = spark.createDataFrame([(1, "k", dt.datetime(2026, 8, 1), None), (1, "old", dt.datetime(2026, 6, 1), "push")], schemas.NOTICE_LOG)
-    more = spark.createDataFrame([(1, "k", dt.datetime(2026, 8, 2), "push")], schemas.NOTICE_LOG)
-    assert [(r.key, r.sent_at) for r in folds.fold_log(log, more).collect()] == [("k", dt.datetime(2026, 8, 1))]
-
-
 def plan_of(spark, sf, name):
     return entry.queries()[name](spark, sf)._jdf.queryExecution().toString()
 

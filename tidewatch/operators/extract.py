@@ -20,11 +20,12 @@ def settled(column: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", once: bool = True) -> DataFrame:
     """Replace the markup column by what a reader would see.
 
     The hash and the blocks come from the whole body, whichever text is chosen,
-    so "did the page move" never depends on how it was read.
+    so "did the page move" never depends on how it was read. Without ``once`` nothing
+    stops a filter from reading a page again; streams know no such stop.
     """
     markup = pages.withColumn("title", H.page_title(F.col(html))).withColumn(
         "_markup", H.visible_markup(F.coalesce(F.col(html), F.lit("")))
@@ -45,6 +46,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         .withColumn("blocks", H.blocks(body))
         .drop(html, "_markup", "_article")
     )
+    if not once:
+        return read
     made = ["title", "body", "method", "text", "chars", "hash", "blocks"]
     return read.withColumns({c: settled(F.col(c)) for c in made})
 

@@ -12,13 +12,13 @@ from tidewatch.functions import address as A
 from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.operators.spread import first_per_key
 from tidewatch.plans import rounds
-from tidewatch.plans.bind_events import LOG, STREAK
+from tidewatch.plans.bind_events import DAY_AT, LOG, STREAK, waiting_and_log
 from tidewatch.plans.bind_records import AFTER, NOTICE, notice_versions
-from tidewatch.plans.bind_pages import CHANGE_CTE, NEW_BLOCKS_CTE, pages, prior_snapshots
-from tidewatch.plans.registry import query, table
-from tidewatch.plans.sqltext import BODY_OF, HOST, PRIOR_HTML, TITLE_OF
+from tidewatch.plans.bind_pages import CHANGE_CTE, NEW_BLOCKS_CTE, pages, prior_html, prior_snapshots
+from tidewatch.plans.registry import ORACLES, query, table
+from tidewatch.plans.sqltext import BODY_CTE, BODY_OF, HOST, PRIOR_HTML, TEXT_OF, TITLE_OF
 from tidewatch.session import cut, scratch_dir
-from tidewatch.streaming import folds
+from tidewatch.streaming import state
 
 
 def page_sources(spark, sf):
@@ -190,6 +190,49 @@ def stream_health(spark, sf):
         F.when(F.col("event_type") == "error", "HTTP 503").alias("error"),
     )
     folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    run_to_end(folds.health_stream(spark, log, folder))
-    state = folds.VersionedState(spark, f"{folder}/health", schemas.HEALTH)
-    return state.newest().select("url", "consecutive_failures", "state")
+    run_to_end(state.into(state.health_updates(log), folder, "health"))
+    return state.newest(spark, folder, "health", schemas.HEALTH, ["url"]).select("url", "consecutive_failures", "state")
+
+
+@query("stream_snapshots", f"""
+WITH {BODY_CTE}, {TEXT_OF}, o AS (SELECT page_id, {PRIOR_HTML} AS html, url FROM pages), {BODY_CTE.replace('bodies AS', 'ob AS').replace('FROM pages', 'FROM o')},
+{TEXT_OF.replace('texts AS', 'ot AS').replace('FROM bodies', 'FROM ob')},
+v AS (SELECT t.page_id, length(t.txt) >= 50 AS now_ok, length(p.txt) >= 50 AND t.page_id % 4 <> 3 AS was_ok, t.page_id % 4 = 3 AS failed, sha256(t.body) AS now_hash, sha256(p.body) AS was_hash,
+  CAST(length(t.txt) AS INTEGER) AS now_chars, CAST(length(p.txt) AS INTEGER) AS was_chars FROM texts t JOIN ot p USING (page_id))
+SELECT page_id, CASE WHEN now_ok THEN now_hash END AS content_hash, CASE WHEN now_ok THEN now_chars ELSE was_chars END AS extracted_chars,
+  CASE WHEN was_ok THEN 1 ELSE 2 END AS first_day, CASE WHEN now_ok AND (NOT was_ok OR now_hash <> was_hash) THEN 2 ELSE 1 END AS last_day,
+  CASE WHEN now_ok THEN CASE WHEN was_ok AND now_chars < 200 AND now_hash = was_hash THEN 1 ELSE 0 END ELSE 0 END AS thin_runs, true AS pending
+FROM v WHERE now_ok OR was_ok""")
+def stream_snapshots(spark, sf):
+    """Every page lands twice, older wording first; a quarter of the first fetches fail. Folded page by page."""
+    raw = spark.readStream.schema(table(spark, sf, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    failed = F.col("page_id") % 4 == 3
+    each = raw.select("page_id", "html", F.explode(F.array(F.lit(1), F.lit(2))).alias("day"))
+    landed = each.select(
+        F.concat(F.lit("https://x.example.org/"), F.col("page_id").cast("string")).alias("url"), F.lit("run").alias("run_id"),
+        F.make_timestamp(F.lit(2026), F.lit(1), "day", F.lit(9), F.lit(0), F.lit(0)).alias("fetched_at"),
+        ((F.col("day") == 2) | ~failed).alias("ok"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"),
+        F.when(F.col("day") == 2, F.col("html")).otherwise(prior_html(F.col("html"))).alias("html"),
+        F.lit(None).cast("long").alias("bytes"), F.lit(None).cast("string").alias("error"),
+    )
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run_to_end(state.into(state.snapshot_updates(landed), folder, "snapshots"))
+    kept = state.newest(spark, folder, "snapshots", schemas.STREAM_SNAPSHOTS, ["url"])
+    return kept.select(
+        F.substring_index("url", "/", -1).cast("long").alias("page_id"), "content_hash", "extracted_chars",
+        F.dayofmonth("first_seen").alias("first_day"), F.dayofmonth("last_changed").alias("last_day"), "thin_runs", "pending",
+    )
+
+
+@query("stream_release", ORACLES["release_by_day"])
+def stream_release(spark, sf):
+    """The notice log as a stream without repeats; then the waiting notices, released against what it holds."""
+    waiting, log = waiting_and_log(spark, sf)
+    folder = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for name, rows in (("sends", log), ("sends", log), ("queue", waiting)):  # the log lands twice
+        rows.write.mode("append").parquet(f"{folder}/landed/{name}")
+    landed = lambda name, like: spark.readStream.schema(like.schema).parquet(f"{folder}/landed/{name}")
+    run_to_end(state.into(state.sent_once(landed("sends", log)), folder, "log", "append"))
+    held = spark.read.schema(log.schema).parquet(f"{folder}/log").select(*log.columns)
+    run_to_end(state.releasing(landed("queue", waiting), held, F.lit(DAY_AT).cast("timestamp"), False, folder))
+    return spark.read.parquet(f"{folder}/released").select("reader_id", "key", "outlet")

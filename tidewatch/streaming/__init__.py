@@ -1 +1 @@
-"""Structured Streaming forms of the folds, equal to their batch forms by construction."""
+"""Structured Streaming forms of the folds, on state that Spark keeps."""
