@@ -3,11 +3,13 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import asof, entities
+from tidewatch.sources import robots
 
 
 def when(minute):
@@ -112,3 +114,41 @@ def test_lists_of_urls_meet_by_prefix_as_by_brute_force(spark):
         if len(a & b) >= 2:
             want.add(tuple(sorted((keeper[a], keeper[b]), key=rank.get)))
     assert got == want
+
+
+def brute_rule(path, rules):
+    best = None
+    for allow, rule in rules:
+        wild = re.escape(rule).replace(r"\*", ".*")
+        wild = wild[:-2] + "$" if wild.endswith(r"\$") else wild
+        if re.match(wild, path, re.S):
+            best = max(best or (0, False), (len(rule), allow))
+    return best is None or best[1]
+
+
+FILES = "origin string, status int, content_type string, body string"
+
+
+def test_longest_rule_decides_as_by_brute_force(spark):
+    rnd = random.Random(8)
+    bits = ["a", "b/", "/", "*", "$", ".pdf", "?x=1", "é"]
+    origins = {f"https://h{n}.org": [(rnd.random() < 0.5, "/" * (rnd.random() < 0.9) + "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 5)))) for _ in range(30)] for n in range(4)}
+    files = [(o, 200, "text/plain", "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {r}" for a, r in rules)) for o, rules in origins.items()]
+    urls = [o + "/" + "".join(rnd.choice(["a", "b/", "/", ".pdf", "?x=1", "é", "$"]) for _ in range(rnd.randint(0, 6))) for o in origins for _ in range(80)] + [None, "nothing"]
+    asked = spark.createDataFrame([(u, "x") for u in urls + urls[:9]], "url string, path string")
+    got = robots.permissions(asked, robots.rule_book(spark.createDataFrame(files, FILES), "watcher"))
+    assert got.columns == ["url", "path", "allowed", "refusal", "crawl_delay_ms"] and got.count() == len(urls) + 9
+    for r in got.collect():
+        origin = next((o for o in origins if r.url and r.url.startswith(o)), None)
+        assert r.allowed == (brute_rule(r.url[len(origin):], origins[origin]) if origin else False), r.url
+
+
+def test_an_origin_of_a_million_rules(spark):
+    n = 1_000_000
+    body = "User-agent: *\n" + "\n".join(f"Disallow: /shop/{k:07}/" for k in range(n)) + "\nAllow: /shop/0000007/open\nDisallow: /*.bak$\n"
+    files = spark.createDataFrame([("https://big.org", 200, "text/plain", body)], FILES)
+    urls = spark.range(5000).select(F.concat(F.lit("https://big.org/shop/"), F.lpad((F.col("id") * 400).cast("string"), 7, "0"), F.lit("/x")).alias("url"))
+    more = spark.createDataFrame([("https://big.org/shop/0000007/open/1",), ("https://big.org/a.bak",), ("https://big.org/a.bak?",)], "url string")
+    got = {r.url: r.allowed for r in robots.permissions(urls.unionByName(more), robots.rule_book(files, "watcher")).collect()}
+    assert [got[r.url] for r in more.collect()] == [True, False, True]
+    assert sum(not a for u, a in got.items() if u.endswith("/x")) == 2500

@@ -27,7 +27,7 @@ class Round:
     over_budget: DataFrame
 
 
-def read_pages(fetches: DataFrame, book: DataFrame | None) -> DataFrame:
+def read_pages(fetches: DataFrame, book: robots.RuleBook | None) -> DataFrame:
     """Landed fetches as readings: one row per page with its outcome and, when read, its text.
 
     The markup is dropped as soon as it is read; nothing after this carries it.
@@ -97,7 +97,7 @@ def routed(payloads: DataFrame, sources: DataFrame) -> DataFrame:
 
 def collection_round(
     fetches: DataFrame,
-    book: DataFrame | None,
+    book: robots.RuleBook | None,
     sources: DataFrame,
     snapshots: DataFrame,
     prior_records: DataFrame,
