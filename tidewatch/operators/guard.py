@@ -10,6 +10,9 @@ from tidewatch.functions.text import fold_title, let, normalise_arabic, strip
 
 TITLE_SEPARATORS = f"(?:{L.WS}|[،,.:;()\\[\\]\"'«»\\-–—/|])+"
 
+#: Title words searched for one by one.
+_FEW_WORDS = 12
+
 
 def _quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), value, F.lit('"'))
@@ -49,7 +52,16 @@ def invented_wording(
             F.transform(F.split(F.coalesce(title, F.lit("")), TITLE_SEPARATORS), normalise_arabic),
             lambda w: F.length(w) >= 3,
         )
-        stray = F.filter(words, lambda w: ~F.contains(hay, w))
+
+        def absent(some: Column) -> Column:
+            return F.filter(some, lambda w: ~F.contains(hay, w))
+
+        def set_aside(given: Column) -> Column:
+            # A long title: words that stand on the page as words are found by hash, and only the rest is searched for.
+            missing = absent(F.array_except(given, F.split(hay, TITLE_SEPARATORS)))
+            return let(missing, lambda m: F.when(F.size(m) > 0, F.filter(given, lambda w: F.array_contains(m, w))).otherwise(F.slice(given, 1, 0)))
+
+        stray = let(words, lambda given: F.when(F.size(given) > _FEW_WORDS, set_aside(given)).otherwise(absent(given)))
         about_title = let(
             stray,
             lambda s: F.when(

@@ -10,6 +10,7 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions.text import matches
 from tidewatch.operators.guard import announcement_key
 from tidewatch.operators.health import coverage
+from tidewatch.operators.selection import medians
 from tidewatch.operators.spread import first_per_key, spread_join
 
 
@@ -299,16 +300,17 @@ def triage_quality(answers: DataFrame) -> DataFrame:
     ``answers``: ``model, id, expected, passed_on, ms``.
     """
     expected, passed = F.col("expected"), F.col("passed_on")
-    return answers.groupBy("model").agg(
+    told = answers.groupBy("model").agg(
         F.count_if(expected).alias("positives"),
         F.count_if(expected & passed).alias("recalled"),
         F.count_if(~expected).alias("ordinary"),
         F.count_if(~expected & ~passed).alias("dropped"),
         F.count_if(expected & ~passed).alias("missed"),
         F.count_if(~expected & passed).alias("false_alarms"),
-        F.percentile("ms", 0.5).alias("median_ms"),
         F.max("ms").alias("max_ms"),
     )
+    middle = medians(answers, "model", "ms").select(F.col("model").alias("_model"), F.col("median").alias("median_ms"))
+    return told.join(middle, F.col("model").eqNullSafe(F.col("_model"))).drop("_model")
 
 
 def triage_errors(answers: DataFrame) -> DataFrame:

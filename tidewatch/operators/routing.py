@@ -9,6 +9,7 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions.messages import verdict_failure
 from tidewatch.functions.text import fingerprint, matches, mentions_training
 from tidewatch.operators.guard import verdict_offences
+from tidewatch.operators.probe import known_to
 from tidewatch.operators.spread import first_row_per_key, running_total, spread_join
 
 
@@ -72,10 +73,13 @@ def remember(pages: DataFrame, memory: DataFrame) -> DataFrame:
     """Pages beside what memory says of their exact text.
 
     ``remembered`` is hit, no (a remembered "not an announcement"), poisoned (the
-    remembered wording is not on this page) or miss.
+    remembered wording is not on this page) or miss. Pages whose text the memory cannot
+    hold are told apart where they lie and never move; ``pages`` must be cheap to read twice.
     """
+    known = known_to(memory, "fingerprint")
+    held, new = pages.where(known(F.col("fingerprint"))), pages.where(~known(F.col("fingerprint")))
     slim = memory.select("fingerprint", F.col("verdict").alias("_verdict"), F.lit(True).alias("_known"))
-    joined = spread_join(pages, slim, "fingerprint", "left")
+    joined = spread_join(held, slim, "fingerprint", "left")
     verdict = F.col("_verdict")
     offences = F.when(verdict.isNotNull(), verdict_offences(F.col("payload"), verdict))
     state = (
@@ -84,12 +88,14 @@ def remember(pages: DataFrame, memory: DataFrame) -> DataFrame:
         .when(F.size("_offences") > 0, "poisoned")
         .otherwise("hit")
     )
-    return (
+    looked = (
         joined.withColumn("_offences", offences)
         .withColumn("remembered", state)
         .withColumn("verdict", F.when(F.col("remembered") == "hit", verdict))
         .drop("_verdict", "_known", "_offences")
     )
+    none = F.lit(None).cast(memory.schema["verdict"].dataType)
+    return looked.unionByName(new.withColumn("remembered", F.lit("miss")).withColumn("verdict", none))
 
 
 def evict(memory: DataFrame, remembered: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tidewatch.plans.registry import ORACLES, query, table
 from tidewatch.plans.sqltext import (
     BODY_CTE, BODY_OF, BLOCKS_OF, CANONICAL, HOST, PRIOR_HTML, REGISTERED, TEXT_OF, TITLE_OF, q, ws,
 )
+from tidewatch.session import scratch_dir
 from tidewatch.sources import robots, sitemaps, tables
 
 
@@ -50,6 +53,26 @@ def page_body_text(spark, sf):
     )
 
 
+@query("landing_scan", """
+SELECT page_id, page_id % 5 <> 0 AS whole, CASE WHEN page_id % 5 <> 0 THEN url END AS url, CASE WHEN page_id % 5 <> 0 THEN sha256(html) END AS html_hash,
+  page_id % 5 = 0 AS reported FROM pages""")
+def landing_scan(spark, sf):
+    """Pages landed as JSON lines, every file behind a byte-order mark, a fifth of the lines cut off, and read back."""
+    p = pages(spark, sf)
+    line = F.to_json(F.struct("page_id", "url", "html", F.lit("x").alias("not_asked_for")))
+    damaged = F.when(F.col("page_id") % 5 == 0, F.substring(line, 1, 40)).otherwise(line)
+    path = f"{scratch_dir(spark)}/landing-{uuid.uuid4().hex}"
+    lines = p.select(F.concat(F.lit("\ufeff"), damaged).alias("value")).unionByName(p.limit(1).select(F.lit("  ").alias("value")))
+    lines.write.text(path)
+    back = tables.read_landing(spark, path, "page_id long, url string, html string")
+    cut_off = F.col("_corrupt_record").isNotNull()
+    number = F.regexp_extract("_corrupt_record", '"page_id":(\\d+)', 1).cast("long")
+    return back.select(
+        F.when(cut_off, number).otherwise(F.col("page_id")).alias("page_id"), (~cut_off).alias("whole"),
+        F.when(~cut_off, F.col("url")).alias("url"), F.when(~cut_off, F.sha2("html", 256)).alias("html_hash"), cut_off.alias("reported"),
+    )
+
+
 # Chrome in chrome, with what must stay between: every element ends at its own closing tag.
 NESTED = (
     "<nav>m1<nav class=x>m2</nav>m3<ul><FOOTER>m4</footer></ul>m5</nav> stays "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions import address as A
@@ -12,6 +14,7 @@ from tidewatch.operators import asof, due, guard, notices, quality, records, rel
 from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.plans.registry import query, table
 from tidewatch.plans.sqltext import q
+from tidewatch.session import scratch_dir
 
 BEFORE, AFTER = "1998-10-05 09:00:00", "1998-10-10 09:00:00"
 
@@ -763,6 +766,29 @@ def previous_version(spark, sf):
     return tables.previous_version(versions, "2000").select("o_orderkey")
 
 
+@query("published_runs", """
+SELECT 'latest' AS kind, o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1998
+UNION ALL SELECT 'before', o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1997
+UNION ALL SELECT 'first', o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1996""")
+def published_runs(spark, sf):
+    """Three runs published; the second goes out wrong and once more, the first is replayed; each version is read back."""
+    from tidewatch.sources import tables
+
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"))
+    path = f"{scratch_dir(spark)}/published-{uuid.uuid4().hex}"
+    of = lambda y: orders.where(F.col("y") == y).drop("y")
+    tables.publish(of(1996), path, "r1")
+    tables.publish(of(1997).withColumn("o_totalprice", F.lit(0.0)), path, "r2")
+    tables.publish(of(1997), path, "r2")
+    tables.publish(of(1998), path, "r3")
+    tables.publish(of(1996), path, "r1")
+    schema = "o_orderkey long, o_totalprice double"
+    runs = spark.read.schema(f"{schema}, run_id string").parquet(path)
+    kinds = {"latest": tables.read_version(spark, path, "r3", schema), "before": tables.previous_version(runs, "r3"), "first": tables.previous_version(runs, "r2")}
+    out = [rows.select(F.lit(kind).alias("kind"), "o_orderkey", "o_totalprice") for kind, rows in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("apply_urls", """
 SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'https://x.example.org/a/apply/now' WHEN '3-MEDIUM' THEN 'https://x.example.org/apply?x=1' END AS apply_url FROM orders""")
 def apply_urls(spark, sf):

@@ -19,13 +19,14 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed JSON lines; a broken line becomes a row carrying ``_corrupt_record``."""
-    return (
-        spark.read.schema(f"{schema}, _corrupt_record string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
+    """Landed JSON lines; a broken line becomes a row carrying it as ``_corrupt_record``.
+
+    A byte-order mark in front of a file's first line is dropped, lines of white space are
+    no rows. Fields that are not in ``schema`` are not read, fields a line lacks are NULL.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line")).where(F.trim("line") != "")
+    settings = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    return lines.select(F.from_json("line", f"{schema}, _corrupt_record string", settings).alias("r")).select("r.*")
 
 
 def admit(fetches: DataFrame) -> DataFrame:
