@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions import lexicon as L
 
 
+#: Letters and marks that spelling may change.
+ARABIC = f"[\\u0600-\\u06FF]|{L.ZERO_WIDTH}"
+
+
 def matches(col: Column, pattern: str) -> Column:
     """Pattern found anywhere in the text; NULL text is simply not a match."""
     return F.coalesce(col.rlike(pattern), F.lit(False))
@@ -48,14 +52,19 @@ def normalise_arabic(col: Column) -> Column:
 
     Short vowels and elongation go, letter variants fold, invisible marks go, and
     a preposition or conjunction glued to the article is dropped so the word
-    compares equal with and without it.
+    compares equal with and without it. Text without Arabic letters and invisible marks
+    only has its white space and case to be settled.
     """
-    out = F.regexp_replace(col, "[\\u064B-\\u0652\\u0670\\u0640]", "")
-    out = fold_letters(out)
-    out = F.regexp_replace(out, L.ZERO_WIDTH, "")
-    out = F.regexp_replace(out, f"(^|{L.WS})لل", "$1ال")
-    out = F.regexp_replace(out, f"(^|{L.WS})[وف]?[بكل]ال", "$1ال")
-    return F.lower(squash(out))
+
+    def spelled(text: Column) -> Column:
+        out = F.regexp_replace(text, "[\\u064B-\\u0652\\u0670\\u0640]", "")
+        out = fold_letters(out)
+        out = F.regexp_replace(out, L.ZERO_WIDTH, "")
+        out = F.regexp_replace(out, f"(^|{L.WS})لل", "$1ال")
+        out = F.regexp_replace(out, f"(^|{L.WS})[وف]?[بكل]ال", "$1ال")
+        return F.lower(squash(out))
+
+    return let(col, lambda text: F.when(text.rlike(ARABIC), spelled(text)).otherwise(F.lower(squash(text))))
 
 
 def fold_title(col: Column) -> Column:

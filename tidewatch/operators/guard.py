@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import lexicon as L
-from tidewatch.functions.text import fold_title, let, normalise_arabic, strip
+from tidewatch.functions.text import ARABIC, fold_title, let, normalise_arabic, strip
 
-TITLE_SEPARATORS = f"(?:{L.WS}|[،,.:;()\\[\\]\"'«»\\-–—/|])+"
+# One class, so that a text is cut in one pass.
+TITLE_SEPARATORS = f"[{L.WS[1:-1]}،,.:;()\\[\\]\"'«»\\-–—/|]+"
 
 #: Title words searched for one by one.
 _FEW_WORDS = 12
@@ -48,10 +49,13 @@ def invented_wording(
                 lambda v, i: phrase(F.concat(F.lit(f"{label}["), i.cast("string"), F.lit("]")), v),
             )
 
-        words = F.filter(
-            F.transform(F.split(F.coalesce(title, F.lit("")), TITLE_SEPARATORS), normalise_arabic),
-            lambda w: F.length(w) >= 3,
-        )
+        def words_of(text: Column) -> Column:
+            # Without Arabic letters and marks, one spelling is lower case.
+            plain = F.split(F.lower(text), TITLE_SEPARATORS)
+            spelled = F.transform(F.split(text, TITLE_SEPARATORS), normalise_arabic)
+            return F.filter(F.when(text.rlike(ARABIC), spelled).otherwise(plain), lambda w: F.length(w) >= 3)
+
+        words = let(F.coalesce(title, F.lit("")), words_of)
 
         def absent(some: Column) -> Column:
             return F.filter(some, lambda w: ~F.contains(hay, w))

@@ -13,6 +13,7 @@ from tidewatch.functions.html import is_banner_only
 from tidewatch.operators import guard, judge, privacy, records, reports, routing
 from tidewatch.operators.judge import VERDICT_TYPE
 from tidewatch.operators.spread import first_per_key
+from tidewatch.session import cut
 from tidewatch.plans.registry import query, table
 from tidewatch.plans.sqltext import q, squashed, ws
 from tidewatch.sources import tables
@@ -73,7 +74,7 @@ def memory(spark, sf):
         X.fingerprint(F.col("payload")).alias("fingerprint"), F.when(F.col("quality") == 1, verdict).alias("verdict"),
         F.lit("m1").alias("model"), F.lit("2024-01-01").cast("timestamp").alias("written_at"), "doc_id",
     )
-    return first_per_key(rows, ["fingerprint"], F.col("doc_id"))
+    return cut(first_per_key(rows, ["fingerprint"], F.col("doc_id")))
 
 
 MEMO = f"""{DOCS}, mem AS (SELECT substr(sha256(payload), 1, 32) AS fingerprint, arg_min(quality, d.doc_id) AS quality, arg_min(toxic, d.doc_id) AS toxic
