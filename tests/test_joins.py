@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import asof, entities
+from tidewatch.operators import asof, due, entities, probe, selection, spread
 from tidewatch.sources import robots
 
 
@@ -152,3 +152,46 @@ def test_an_origin_of_a_million_rules(spark):
     got = {r.url: r.allowed for r in robots.permissions(urls.unionByName(more), robots.rule_book(files, "watcher")).collect()}
     assert [got[r.url] for r in more.collect()] == [True, False, True]
     assert sum(not a for u, a in got.items() if u.endswith("/x")) == 2500
+
+
+def test_all_rows_of_a_hot_key_are_ranked(spark):
+    rows = [("hot", n * 7919 % 20_011) for n in range(20_000)] + [(k, n) for k in ("a", None) for n in range(5)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(8)
+    got = spread.top_k(df, ["k"], [F.desc("v")], None).collect()
+    assert len(got) == len(rows)
+    for key in ("hot", "a", None):
+        mine = sorted((r.rank, r.v) for r in got if r.k == key)
+        assert [v for _, v in mine] == sorted((v for k, v in rows if k == key), reverse=True) and [r for r, _ in mine] == list(range(1, len(mine) + 1))
+
+
+def test_all_due_sources_without_a_limit(spark):
+    rows = [(f"https://h{n}.org/", "o", "high", None, when(0)) for n in range(90)]
+    schedule = spark.createDataFrame(rows, "url string, org_id string, tier string, last_checked timestamp, next_check timestamp")
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    assert due.due_now(schedule, as_of, None).count() == 90 and due.due_now(schedule, as_of, 7).count() == 7
+
+
+@pytest.mark.parametrize("parts", [2, 32])
+def test_medians_by_narrowing_are_exact(spark, monkeypatch, parts):
+    import statistics
+
+    monkeypatch.setattr(selection, "PARTS", parts)
+    rnd = random.Random(6)
+    rows = [("hot", rnd.choice([rnd.random(), float(rnd.randrange(50)), 1e300, -1e300, 5.0])) for _ in range(2000)]
+    rows += [("one", 4.5), ("two", 1.0), ("two", 2.0), ("same", 3.0), ("same", 3.0), ("same", 3.0), ("none", None), (None, 7.0), (None, 8.0), ("nan", float("nan"))]
+    got = {r.k: r.median for r in selection.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    for key in {k for k, _ in rows}:
+        mine = [v for k, v in rows if k == key and v is not None and v == v]
+        assert got[key] == (pytest.approx(statistics.median(mine)) if mine else None)
+
+
+def test_the_filter_knows_every_key_and_few_others(spark):
+    side = spark.range(5000).select((F.col("id") * 3).cast("string").alias("k")).unionByName(spark.createDataFrame([(None,)], "k string"))
+    known = probe.known_to(side, "k")
+    asked = spark.range(15_000).select(F.col("id"), F.col("id").cast("string").alias("k")).select("id", known(F.col("k")).alias("hit"))
+    assert asked.where("id % 3 = 0 AND NOT hit").count() == 0
+    assert asked.where("id % 3 <> 0 AND hit").count() < 200
+    assert spark.createDataFrame([(None,)], "k string").select(known(F.col("k"))).first()[0] is False
+    nobody = probe.known_to(side.limit(0), "k")
+    assert asked.select(nobody(F.col("id").cast("string")).alias("h")).where("h").count() == 0
+    assert probe.filter_bits(10**10) == probe.MOST_BITS

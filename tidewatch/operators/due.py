@@ -63,8 +63,8 @@ def fastest_tier(targets: DataFrame) -> DataFrame:
     return first_per_key(targets, ["url"], tier_rank(F.col("tier")), F.col("org_id"))
 
 
-def due_now(schedule: DataFrame, as_of: Column, limit: int = L.SOURCES_PER_CYCLE) -> DataFrame:
-    """The most overdue sources, at most one per host and none on a host read within the gap.
+def due_now(schedule: DataFrame, as_of: Column, limit: int | None = L.SOURCES_PER_CYCLE) -> DataFrame:
+    """The most overdue sources, at most one per host and none on a host read within the gap; all of them for None.
 
     Inside one (host, tier) the interval is the same for all, so the most overdue
     is simply the earliest due: one aggregate with map-side combining finds it,
@@ -108,7 +108,7 @@ def due_now(schedule: DataFrame, as_of: Column, limit: int = L.SOURCES_PER_CYCLE
         )
     )
     best = first_per_key(candidates, ["host"], -F.col("urgency"), F.col("url"))
-    return best.orderBy(F.desc("urgency"), "url").limit(limit)
+    return best if limit is None else best.orderBy(F.desc("urgency"), "url").limit(limit)
 
 
 def stable_spread(url: Column, window_minutes: int = L.FIRST_SWEEP_MINUTES) -> Column:

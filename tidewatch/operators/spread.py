@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.session import cut
+
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One whole row per key, the smallest by ``order``.
@@ -20,7 +22,7 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def top_k(
     df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank", salts: int = 32
 ) -> DataFrame:
-    """The first ``k`` rows per key with their rank; all rows, ranked, when ``k`` is None.
+    """The first ``k`` rows per key with their rank; all rows, ranked as by ``ranked``, when ``k`` is None.
 
     A key's rows are first ranked in ``salts`` independent slices, so no task
     sorts a whole hot group; only ``salts * k`` rows per key reach the last step.
@@ -29,7 +31,7 @@ def top_k(
     sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     if k is None:
-        return df.withColumn(rank, F.row_number().over(whole))
+        return ranked(df, keys, order, rank)
     return (
         df.withColumn("_slice", slice_id)
         .withColumn("_near", F.row_number().over(sliced))
@@ -40,6 +42,27 @@ def top_k(
     )
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """Every row with its rank within its key, though one key may hold most rows.
+
+    Rows are laid out in ranges of (key, order), so that a hot key fills many of them;
+    they are numbered inside a range, and each range adds the rows of its key that stand
+    in the ranges before it.
+    """
+    laid = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = laid.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    offsets = counts.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_of"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    numbered = laid.withColumn("_inside", F.row_number().over(inside)).join(offsets, same)
+    return numbered.withColumn(rank, (F.col("_inside") + F.col("_before")).cast("int")).select(*df.columns, rank)
+
+
 def running_total(df: DataFrame, rank: str, key: str, value: str, out: str, bits: int = 12) -> DataFrame:
     """``out`` = total of ``value`` over all rows up to this one, by (rank, md5(key)).
 
