@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import asof, due, entities, probe, selection, spread
+from tidewatch.operators import asof, due, entities, probe, relevance, selection, spread
 from tidewatch.sources import robots
 
 
@@ -195,3 +195,24 @@ def test_the_filter_knows_every_key_and_few_others(spark):
     nobody = probe.known_to(side.limit(0), "k")
     assert asked.select(nobody(F.col("id").cast("string")).alias("h")).where("h").count() == 0
     assert probe.filter_bits(10**10) == probe.MOST_BITS
+
+
+def test_class_scores_stand_for_the_whole_product(spark):
+    rnd = random.Random(9)
+    words = ["cyber security training", "computer science", "All majors welcome", "accounting only", "", "IT and networks"]
+    cities = [[], ["Riyadh"], ["Jeddah", "Riyadh"], ["Dammam"]]
+    said = [(n, rnd.choice(["coop", "graduate_dev", None]), rnd.choice(words), rnd.choice([[], [rnd.choice(words)]]), rnd.choice(cities)) for n in range(120)]
+    told = spark.createDataFrame(said, "id int, product string, title string, majors array<string>, cities array<string>")
+    who = [(n, rnd.choice(["cyber", "it", "general"]), rnd.choice(cities), rnd.choice([True, False, None])) for n in range(60)]
+    readers = spark.createDataFrame([(*w, f"label of {w[1]}") for w in who], "reader_id int, field string, reader_cities array<string>, graduated boolean, field_label string")
+    brute = relevance.score_pairs(told.crossJoin(readers)).select("reader_id", "id", "score", "reason").collect()
+    want = {(r.reader_id, r.id): (r.score, r.reason) for r in brute}
+    held, what = relevance.reader_classes(readers), relevance.announcement_classes(told)
+    scores = relevance.class_scores(held, what)
+    assert scores.agg(F.sum(F.col("readers") * F.col("announcements"))).first()[0] == len(want)
+    full = scores.join(held.select("reader_id", "reader_class"), "reader_class").join(what.select("id", "announcement_class"), "announcement_class")
+    assert {(r.reader_id, r.id): (r.score, r.reason) for r in full.collect()} == want
+    board = relevance.reader_board(held, what, 4).collect()
+    for n, *_ in who:
+        best = sorted((-s, i) for (r, i), (s, _) in want.items() if r == n and s is not None)[:4]
+        assert sorted((r.rank, r.id, r.score) for r in board if r.reader_id == n) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]

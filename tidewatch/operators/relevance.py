@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import fields
 from tidewatch.functions import lexicon as L
 from tidewatch.functions.text import let
+from tidewatch.operators.spread import top_k
 
 
 def read_profiles(profiles: DataFrame, text: str = "profile") -> DataFrame:
@@ -112,6 +113,56 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _class_of(*facts: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(*facts)), 256)
+
+
+def reader_classes(profiles: DataFrame) -> DataFrame:
+    """``profiles`` with ``reader_class``: readers of one class have the same score and reason everywhere."""
+    facts = ["field", "reader_cities", "graduated", "field_label"]
+    return profiles.withColumn("reader_class", _class_of(*[F.col(c) for c in facts]))
+
+
+def announcement_classes(announcements: DataFrame) -> DataFrame:
+    """``announcements`` with their ``facts`` and ``announcement_class``: all that a score or reason takes from them."""
+    known = announcements.withColumn("facts", announced_facts(F.col("title"), F.col("majors")))
+    graduate, unnamed = F.coalesce(F.col("product") == "graduate_dev", F.lit(False)), F.size("majors") == 0
+    return known.withColumn(
+        "announcement_class", _class_of(F.col("facts"), graduate.alias("graduate"), unnamed.alias("unnamed"), F.col("cities"))
+    )
+
+
+def class_scores(readers: DataFrame, announcements: DataFrame) -> DataFrame:
+    """Scores of every class of readers for every class of announcements, both as made above.
+
+    ``reader_class, announcement_class, field, graduated, readers, announcements, score,
+    reason``: a row stands for ``readers * announcements`` pairs, none of which is made.
+    Work follows the number of classes, which few facts make up, not that of readers.
+    A class of announcements is offered to each field once and meets the readers of it.
+    """
+    of = ["field", "reader_cities", "graduated", "field_label"]
+    who = readers.groupBy("reader_class").agg(F.count("*").alias("readers"), *[F.any_value(c).alias(c) for c in of])
+    said = ["product", "title", "majors", "cities", "facts"]
+    what = announcements.groupBy("announcement_class").agg(F.count("*").alias("announcements"), *[F.any_value(c).alias(c) for c in said])
+    offered = what.withColumn("field", F.explode(F.array(*[F.lit(f) for f in L.FIELD_BASE])))
+    return score_pairs(offered.join(who, "field")).select(
+        "reader_class", "announcement_class", "field", "graduated", "readers", "announcements", "score", "reason"
+    )
+
+
+def reader_board(readers: DataFrame, announcements: DataFrame, k: int, reader: str = "reader_id", of: str = "id") -> DataFrame:
+    """The ``k`` announcements nearest to every reader, by score, then by ``of``: ``reader, of, score, rank``.
+
+    Ranked once for each class of readers, from the first ``k`` of each class of
+    announcements; a reader only takes over the board of their class. What cannot be
+    measured is on no board.
+    """
+    scores = class_scores(readers, announcements).where("score IS NOT NULL").select("reader_class", "announcement_class", "score")
+    first = top_k(announcements.select("announcement_class", of), ["announcement_class"], [F.col(of)], k, "_n").drop("_n")
+    board = top_k(scores.join(first, "announcement_class").drop("announcement_class"), ["reader_class"], [F.desc("score"), F.col(of)], k)
+    return readers.select(reader, "reader_class").join(board, "reader_class").select(reader, of, "score", "rank")
+
+
 def visible(records: DataFrame, ignored: DataFrame, threshold: int) -> DataFrame:
     """What a reader sees: unscored records count as wanted, ignored ones are gone."""
     return records.where(F.coalesce(F.col("score"), F.lit(100)) >= threshold).join(

@@ -557,6 +557,33 @@ def relevance_reasons(spark, sf):
     return scored.groupBy("field", "reason").agg(F.count("*").alias("pairs"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
 
 
+EVERY_PAIR = f"""j AS (SELECT c_custkey, p_partkey, p_type, p_size, p_brand, CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 AS riyadh, c_mktsegment AS seg,
+  {FIELD_SQL} AS ann, CASE c_mktsegment WHEN 'BUILDING' THEN 'cyber' WHEN 'MACHINERY' THEN 'it' WHEN 'FURNITURE' THEN 'general' WHEN 'AUTOMOBILE' THEN 'it' END AS field,
+  CASE c_mktsegment WHEN 'FURNITURE' THEN true WHEN 'AUTOMOBILE' THEN NULL ELSE false END AS graduated
+  FROM part, customer WHERE c_mktsegment <> 'HOUSEHOLD'),
+k AS (SELECT *, CASE WHEN p_size > 40 AND ann = 'general' THEN 'none' ELSE ann END AS fa FROM j),
+s AS (SELECT *, CAST(CASE WHEN p_brand = 'Brand#3' AND seg IN ('BUILDING', 'MACHINERY') THEN 0
+   WHEN fa = 'none' AND p_type = 'ECONOMY' THEN CASE field WHEN 'cyber' THEN 90 WHEN 'it' THEN 65 ELSE 35 END
+   WHEN fa = 'none' THEN 10
+   ELSE CASE fa WHEN 'cyber' THEN 90 WHEN 'it' THEN 65 ELSE 35 END + CASE WHEN riyadh AND seg IN ('BUILDING', 'AUTOMOBILE') THEN 5 ELSE 0 END END AS INTEGER) AS score FROM k)"""
+
+
+@query("class_scores", f"WITH {EVERY_PAIR} SELECT field, graduated, score, count(*) AS pairs FROM s GROUP BY ALL")
+def class_scores(spark, sf):
+    """Every reader against every announcement, as classes: how many pairs have which score."""
+    every = relevance.class_scores(relevance.reader_classes(profiles(spark, sf)), relevance.announcement_classes(announcements(spark, sf)))
+    return every.groupBy("field", "graduated", "score").agg(F.sum(F.col("readers") * F.col("announcements")).alias("pairs"))
+
+
+@query("reader_board", f"""WITH {EVERY_PAIR},
+r AS (SELECT c_custkey, p_partkey, score, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, p_partkey) AS INTEGER) AS rank FROM s WHERE score IS NOT NULL)
+SELECT * FROM r WHERE rank <= 5""")
+def reader_board(spark, sf):
+    """The five announcements nearest to every reader, of all announcements."""
+    who, what = relevance.reader_classes(profiles(spark, sf)), relevance.announcement_classes(announcements(spark, sf))
+    return relevance.reader_board(who, what, 5, "c_custkey", "p_partkey")
+
+
 @query("score_bands", f"""
 WITH {REC} SELECT band, count(*) AS records FROM (SELECT CASE WHEN score IS NULL OR list_contains(flags, 'needs_manual_review') THEN 'review' WHEN score >= 85 THEN 'high' WHEN score >= 60 THEN 'mid' ELSE 'low' END AS band FROM rec) GROUP BY band""")
 def score_bands(spark, sf):
