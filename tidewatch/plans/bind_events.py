@@ -227,6 +227,27 @@ def fetch_error_reasons(spark, sf):
     return failed.groupBy(fetch_error(F.col("error")).alias("why")).agg(F.count("*").alias("fetches"))
 
 
+def _error_kinds() -> list[tuple[str, str]]:
+    """A raw error for every branch, and the sentence a reader gets."""
+    by_words = ["Chromium unavailable", "robots.txt: request aborted", "robots.txt unreachable", "Disallowed for agents"]
+    by_code = {"HTTP 403": 403, "HTTP 404": 404, "http 410": 410, "HTTP 502 Bad Gateway": "5xx", "HTTP 418": "other"}
+    after = ["read ETIMEDOUT", "getaddrinfo ENOTFOUND a.example", "connect ECONNREFUSED", "certificate has expired", "socket hang up"]
+    kinds = list(zip(by_words, [sentence for _, sentence in L.FETCH_ERRORS]))
+    kinds += [(raw, L.HTTP_ERRORS[code]) for raw, code in by_code.items()]
+    kinds += list(zip(after, [sentence for _, sentence in L.FETCH_ERRORS_AFTER_HTTP]))
+    return [*kinds, ("something else", L.FETCH_ERROR_OTHER), ("لم تصل الصفحة كاملة", "لم تصل الصفحة كاملة")]
+
+
+@query("fetch_error_kinds", "SELECT event_id, CASE event_id % {} {} END AS why FROM events".format(
+    len(_error_kinds()), " ".join(f"WHEN {n} THEN {q(sentence)}" for n, (_, sentence) in enumerate(_error_kinds()))))
+def fetch_error_kinds(spark, sf):
+    """Every kind of failure in turn, in the words a reader gets."""
+    from tidewatch.functions.messages import fetch_error
+
+    raw = F.element_at(F.array(*[F.lit(raw) for raw, _ in _error_kinds()]), (F.col("event_id") % len(_error_kinds()) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", fetch_error(raw).alias("why"))
+
+
 @query("channel_health", """
 WITH s AS (SELECT user_id // 10 AS channel, date_trunc('day', ts) AS round_at, event_type <> 'error' AND value > 150 AS ok FROM events WHERE event_type IN ('error', 'purchase')),
 r AS (SELECT channel, round_at, count(*) FILTER (WHERE ok) AS n FROM s GROUP BY ALL)

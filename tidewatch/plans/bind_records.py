@@ -201,6 +201,39 @@ def hijri_round_trip(spark, sf):
     )
 
 
+_SPELLED = [["محرم", "المحرم"], ["صفر"], ["ربيع الأول"], ["ربيع الآخر", "ربيع الثاني"], ["جمادى الأولى"], ["جمادى الآخرة", "جمادى الثانية"],
+            ["رجب"], ["شعبان"], ["رمضان"], ["شوال"], ["ذو القعدة"], ["ذو الحجة"]]
+
+
+@query("hijri_written_dates", f"""
+WITH {HIJRI_CTE}, o AS (SELECT o_orderkey, 1415 + o_orderkey % 8 AS y, 1 + o_orderkey % 12 AS mo, 1 + o_orderkey % 30 AS d, o_orderkey % 7 = 0 AS bare FROM orders)
+SELECT o_orderkey, CASE WHEN NOT bare AND d <= days THEN CAST(first_day + CAST(d - 1 AS INTEGER) AS DATE) END AS day, 'hijri' AS calendar, bare AS no_year
+FROM o JOIN m ON year = y AND month = mo""")
+def hijri_written_dates(spark, sf):
+    """Days written with month names in both spellings and both kinds of digits, some without a year, some that no month has."""
+    k = F.col("o_orderkey")
+    names = F.array(*[F.array(*[F.lit(n) for n in some]) for some in _SPELLED])
+    some = F.element_at(names, (k % 12 + 1).cast("int"))
+    name = F.element_at(some, (F.floor(k / 12) % F.size(some) + 1).cast("int"))
+    year = F.when(k % 7 != 0, F.concat(F.lit(" "), (k % 8 + 1415).cast("string"), F.lit(" هـ"))).otherwise("")
+    written = F.concat(F.lit("يستمر القبول إلى "), (k % 30 + 1).cast("string"), F.lit(" "), name, year, F.lit(" بإذن الله"))
+    eastern = F.translate(written, "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    read = table(spark, sf, "orders").select("o_orderkey", D.read_date(F.when(k % 2 == 0, written).otherwise(eastern)).alias("m"))
+    return read.select("o_orderkey", "m.day", "m.calendar", F.col("m.ambiguous_year").alias("no_year"))
+
+
+@query("notice_details", f"""
+WITH {REC}, {HIJRI_CTE}, r AS (SELECT *, CASE price % 3 WHEN 0 THEN 'الرياض' WHEN 2 THEN 'جدة، الدمام' END AS said,
+  greatest(0, CAST(ceil((epoch_us(CAST(closes AS TIMESTAMP)) + 75600000000 - 1000 - {lit_us(AFTER)}) / 86400000000.0) AS INTEGER)) AS days_left FROM rec)
+SELECT id, concat_ws(' · ', title, said, CASE WHEN seats IS NOT NULL THEN seats || ' مقعداً' END, CASE WHEN closes IS NOT NULL THEN 'يغلق بعد ' || days_left || ' يوم' END,
+  CASE WHEN closes IS NOT NULL THEN translate(CAST(date_diff('day', first_day, closes) + 1 AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' '
+    || [{", ".join(q(n) for n in L.HIJRI_MONTH_NAMES)}][month] || ' ' || translate(CAST(year AS VARCHAR), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' هـ' END) AS body
+FROM r LEFT JOIN m ON closes >= first_day AND closes < first_day + days""")
+def notice_details(spark, sf):
+    """The body of a notice for every record."""
+    return base_records(spark, sf).select("id", notices.details(at(AFTER)).alias("body"))
+
+
 @query("hijri_month_lengths", f"""
 WITH {HIJRI_CTE}, o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
 SELECT day, first_day, CAST(days AS INTEGER) AS days, true AS in_month FROM o JOIN m ON day >= first_day AND day < first_day + days""")
