@@ -1,6 +1,7 @@
 """Page texts, archives, chats, quality and licences on small tables."""
 
 import hashlib
+import math
 import tracemalloc
 import zlib
 
@@ -289,3 +290,44 @@ def test_licences_and_notices(spark):
     assert licences.licence_texts(docs.limit(0)).count() == 0
     own = licences.licence_texts(docs, known=[("X", "prose x")]).collect()
     assert all(r.licence is None for r in own)
+
+
+def brute_score(text, model):
+    """The score from features found byte by byte."""
+    mix, raw = 0x9E3779B1, (text or "").encode()
+    solid = lambda b: not (9 <= b <= 13 or b == 32)
+    found, words, word = [], [], b""
+    for b in raw + b" ":
+        if solid(b):
+            word += bytes([b])
+        elif word:
+            words.append(word)
+            word = b""
+    for w in words:
+        found.append(sum((b + 1) * pow(mix, i, 1 << 32) for i, b in enumerate(w)) % (1 << 32))
+    found += [12345 for a, b in zip(words, words[1:]) if a == b]
+    for n in (3, 4):
+        for i in range(len(raw) - n + 1):
+            if all(map(solid, raw[i + 1 : i + n - 1])):
+                h = n
+                for b in raw[i : i + n]:
+                    h = (h * mix + b + 1) % (1 << 32)
+                found.append(h)
+    total = 0.0
+    for h in found:
+        h ^= h >> 15
+        h = (h * 0x85EBCA6B) % (1 << 32)
+        h ^= h >> 13
+        total += model.pull[h % len(model.pull)]
+    return 1 / (1 + math.exp(-(total / max(len(found), 1) + model.bias)))
+
+
+def test_scores_against_features_found_byte_by_byte(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").limit(40).collect() + [(9001, None), (9002, ""), (9003, " \t"), (9004, "é é é"), (9005, "ab"), (9006, "again again AGAIN")]
+    given = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    score = quality.score_udf(spark, model)(F.col("text"))
+    got = {r.doc_id: r.s for r in given.select("doc_id", score.alias("s")).collect()}
+    for doc_id, text in map(tuple, rows):
+        assert got[doc_id] == pytest.approx(brute_score(text, model), abs=1e-9)
