@@ -183,8 +183,8 @@ def newly_broken(spark, sf):
 
 @query("broken_notice", f"""
 WITH {LOG}, {TWO}, n AS (SELECT 'org ' || CAST(regexp_extract(a.url, '([0-9]+)$', 1) AS BIGINT) // 8 AS name, a.url FROM a LEFT JOIN b USING (url) WHERE a.state = 'broken' AND coalesce(b.state, '') <> 'broken')
-SELECT 'source_broken' AS kind, '🔴 ' || count(*) || ' مصادر توقّفت' AS title, CAST(150 AS DOUBLE) AS weight FROM n HAVING count(*) > 1
-UNION ALL SELECT 'source_broken', '🔴 مصدر توقّف · ' || min(name), CAST(150 AS DOUBLE) FROM n HAVING count(*) = 1""")
+SELECT 'source_broken' AS kind, '🔴 ' || count(*) || ' مصادر توقّفت' AS title, CAST(150 AS DOUBLE) AS weight, 'broken:{AS_OF[:10]}' AS key_head FROM n HAVING count(*) > 1
+UNION ALL SELECT 'source_broken', '🔴 مصدر توقّف · ' || min(name), CAST(150 AS DOUBLE), 'broken:https' FROM n HAVING count(*) = 1""")
 def broken_notice(spark, sf):
     before, after = two_versions(spark, sf)
     owner = (F.regexp_extract("url", "([0-9]+)$", 1).cast("long") / 8).cast("long").cast("string")
@@ -192,7 +192,8 @@ def broken_notice(spark, sf):
     names = fetch_log(spark, sf).select(F.col("org_id").cast("string").alias("org_id")).distinct().withColumn(
         "name", F.concat(F.lit("org "), F.col("org_id"))
     )
-    return notices.broken_notices(before, named, names, as_of()).select("kind", "title", "weight")
+    said = notices.broken_notices(before, named, names, as_of())
+    return said.select("kind", "title", "weight", F.substring_index("key", ":", 2).alias("key_head"))
 
 
 @query("day_labels", f"""

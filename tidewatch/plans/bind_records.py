@@ -632,11 +632,12 @@ def visible_records(spark, sf):
 
 
 @query("score_basis", f"""
-SELECT DISTINCT CASE c_mktsegment WHEN 'BUILDING' THEN 'الأمن السيبراني' WHEN 'FURNITURE' THEN 'المجال التقني' ELSE 'التقنية' END AS field_label, c_custkey AS profile_id
+SELECT DISTINCT CASE c_mktsegment WHEN 'BUILDING' THEN 'الأمن السيبراني' WHEN 'FURNITURE' THEN 'المجال التقني' ELSE 'التقنية' END AS field_label, c_custkey AS profile_id, {lit_us(AFTER)} AS computed_at
 FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""")
 def score_basis(spark, sf):
     scores = profiles(spark, sf).withColumnRenamed("c_custkey", "profile_id")
-    return relevance.score_basis(scores, at(AFTER)).select("field_label", "profile_id")
+    basis = relevance.score_basis(scores, at(AFTER))
+    return basis.select("field_label", "profile_id", F.unix_micros("computed_at").alias("computed_at"))
 
 
 # ---- notices ----------------------------------------------------------------------
