@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_rounds import body, fetches
 
+from __spark_entry__ import queries
 from tidewatch import schemas
 from tidewatch.operators import diff, extract, health, release
+from tidewatch.plans.registry import table_stream
 from tidewatch.sources import tables
 from tidewatch.streaming import state
 
@@ -102,3 +104,25 @@ def test_sends_by_reader_and_riyadh_day(spark, tmp_path, streaming):
         instant = F.lit(f"2026-01-0{day} 12:00:00").cast("timestamp")
         want = {(r.reader_id, r._sent_openings, r._sent_others) for r in release.sent_today(log, instant, ["reader_id"]).collect()}
         assert {(r.reader_id, r.openings, r.others) for r in got.collect() if r.day.day == day} == want
+
+
+def test_a_streamed_table_is_one_file_or_a_folder_of_parts(spark, tmp_path):
+    rows = spark.range(40).withColumn("word", F.concat(F.lit("w"), F.col("id").cast("string")))
+    rows.repartition(4).write.parquet(str(tmp_path / "folder" / "things.parquet"))
+    rows.repartition(2).write.parquet(str(tmp_path / "folder" / "others.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "file" / "things.parquet")
+    for form in ("folder", "file"):
+        streamed = table_stream(spark, str(tmp_path / form), "things")
+        assert streamed.isStreaming
+        run(state.into(streamed, str(tmp_path / f"{form}-state"), "seen", "append"))
+        got = spark.read.parquet(str(tmp_path / f"{form}-state" / "seen"))
+        assert sorted((r.id, r.word) for r in got.collect()) == [(i, f"w{i}") for i in range(40)]
+
+
+def test_snapshots_read_pages_in_a_folder(spark, sf, tmp_path):
+    some = spark.read.parquet(f"{sf}/pages.parquet").limit(12)
+    some.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [r.page_id for r in queries()["stream_snapshots"](spark, str(tmp_path)).collect()]
+    assert got and len(set(got)) == len(got) and set(got) <= {r.page_id for r in some.select("page_id").collect()}

@@ -15,7 +15,7 @@ from tidewatch.plans import rounds
 from tidewatch.plans.bind_events import DAY_AT, LOG, STREAK, waiting_and_log
 from tidewatch.plans.bind_records import AFTER, NOTICE, notice_versions
 from tidewatch.plans.bind_pages import CHANGE_CTE, NEW_BLOCKS_CTE, pages, prior_html, prior_snapshots
-from tidewatch.plans.registry import ORACLES, query, table
+from tidewatch.plans.registry import ORACLES, query, table, table_stream
 from tidewatch.plans.sqltext import BODY_CTE, BODY_OF, HOST, PRIOR_HTML, TEXT_OF, TITLE_OF
 from tidewatch.session import cut, scratch_dir
 from tidewatch.streaming import state
@@ -180,8 +180,7 @@ def run_to_end(writer) -> None:
 @query("stream_health", f"WITH {LOG}, {STREAK} SELECT url, consecutive_failures, state FROM health")
 def stream_health(spark, sf):
     """The event log as a stream of fetches, folded batch by batch."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = table_stream(spark, sf, "events")
     u = F.col("user_id")
     log = events.select(
         F.concat(F.lit("https://h"), F.floor(u / 4).cast("string"), F.lit(".example.org/p/"), u.cast("string")).alias("url"),
@@ -205,7 +204,7 @@ SELECT page_id, CASE WHEN now_ok THEN now_hash END AS content_hash, CASE WHEN no
 FROM v WHERE now_ok OR was_ok""")
 def stream_snapshots(spark, sf):
     """Every page lands twice, older wording first; a quarter of the first fetches fail. Folded page by page."""
-    raw = spark.readStream.schema(table(spark, sf, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    raw = table_stream(spark, sf, "pages")
     failed = F.col("page_id") % 4 == 3
     each = raw.select("page_id", "html", F.explode(F.array(F.lit(1), F.lit(2))).alias("day"))
     landed = each.select(
