@@ -298,3 +298,24 @@ def test_nested_chrome_ends_at_its_own_closing_tag(spark):
     for n, page in enumerate(pages):
         bare = lambda t: re.sub(r"<[a-zA-Z/][^>]*>", "", t)
         assert bare(got[n]) == bare(brute_without(page, kinds)), page
+
+
+def test_first_difference_counts_characters_in_linear_time(spark):
+    rnd = random.Random(4)
+    letters = "abأ漢🙂é<>"
+    pairs = [("", ""), ("", "a"), ("a", ""), ("ab", "ab"), ("ab", "abc"), ("أ", "إ"), ("🙂", "🙃"), ("xé", "xè"), (None, "a"), ("a", None), (None, None)]
+    for size in (1, 2, 3, 40, 255, 256, 257, 900):
+        for _ in range(12):
+            a = "".join(rnd.choice(letters) for _ in range(size))
+            at = rnd.randrange(size)
+            pairs += [(a, a[:at] + rnd.choice(letters) + a[at + 1:]), (a, a[:at]), (a[:at], a), (a, a + "z")]
+    def brute(a, b):
+        if a is None or b is None or a == b:
+            return None
+        return next((i for i, (c, d) in enumerate(zip(a, b)) if c != d), min(len(a), len(b)))
+    # Four million characters: comparing from the beginning for every chunk did not end.
+    long = "é" * 4_000_000
+    pairs.append((long + "a", long + "b"))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, text_before string, text_after string")
+    got = {r.i: r.differs_at for r in extract.version_difference(rows).select("i", "differs_at").collect()}
+    assert got == {i: brute(a, b) for i, (a, b) in enumerate(pairs)}

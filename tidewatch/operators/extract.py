@@ -119,29 +119,32 @@ def unreadable_owners(probes: DataFrame) -> DataFrame:
     )
 
 
-def first_difference(a: Column, b: Column, chunk: int = 256) -> Column:
-    """Zero-based position of the first differing character; NULL when equal.
+def first_difference(a: Column, b: Column) -> Column:
+    """Zero-based position of the first differing character; NULL when equal or when either is.
 
-    Chunks are compared first and characters only inside the first chunk that
-    differs, so the work stays linear in the text.
+    The common beginning is measured in bytes by halving steps, each of which compares only
+    the bytes that come next, so the work is linear in the text. The characters that begin
+    in it are then counted; a character of which only the first bytes agree is not among them.
     """
-    longest = F.greatest(F.length(a), F.length(b))
-    starts = F.sequence(F.lit(0), F.greatest(longest - 1, F.lit(0)), F.lit(chunk))
 
-    def part(text: Column, start: Column) -> Column:
-        return F.substring(text, start + 1, F.lit(chunk))
+    def place(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        shorter = F.least(F.octet_length(x), F.octet_length(y))
 
-    differing = F.filter(starts, lambda s: ~part(a, s).eqNullSafe(part(b, s)))
+        def longer(known: Column, power: Column) -> Column:
+            step = F.pow(F.lit(2), power).cast("int")
+            same = F.substring(x, known + 1, step) == F.substring(y, known + 1, step)
+            return F.when((known + step <= shorter) & same, known + step).otherwise(known)
 
-    def inside(start: Column) -> Column:
-        pa, pb = part(a, start), part(b, start)
-        spots = F.filter(
-            F.sequence(F.lit(1), F.lit(chunk)),
-            lambda i: F.substring(pa, i, F.lit(1)) != F.substring(pb, i, F.lit(1)),
-        )
-        return start + spots[0] - 1
+        powers = F.sequence(F.floor(F.log2(F.greatest(shorter, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+        def characters(common: Column) -> Column:
+            inside = F.substring(x, common + 1, F.lit(1)).between(F.unhex(F.lit("80")), F.unhex(F.lit("BF")))
+            return F.char_length(F.substring(x, F.lit(1), common).cast("string")) - inside.cast("int")
+
+        return X.let(F.reduce(powers, F.lit(0), longer), characters)
 
-    return F.when(a == b, F.lit(None).cast("int")).otherwise(X.let(F.get(differing, F.lit(0)), inside))
+    return F.when(a != b, X.let(F.struct(a.cast("binary").alias("x"), b.cast("binary").alias("y")), place))
 
 
 def version_difference(versions: DataFrame, before: str = "text_before", after: str = "text_after") -> DataFrame:
@@ -149,7 +152,7 @@ def version_difference(versions: DataFrame, before: str = "text_before", after:
     at = F.col("differs_at")
     window_start = F.greatest(at - 40, F.lit(0)) + 1
     window = F.least(at, F.lit(40)) + 140
-    return versions.withColumn("differs_at", first_difference(F.col(before), F.col(after))).select(
+    return versions.withColumn("differs_at", settled(first_difference(F.col(before), F.col(after)))).select(
         "*",
         F.substring(F.col(before), window_start, window).alias("before_window"),
         F.substring(F.col(after), window_start, window).alias("after_window"),
