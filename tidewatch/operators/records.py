@@ -11,7 +11,7 @@ from tidewatch.functions import lexicon as L
 from tidewatch.functions.messages import verdict_failure
 from tidewatch.functions.text import let
 from tidewatch.operators.relevance import relevance
-from tidewatch.operators.spread import first_per_key, spread_join
+from tidewatch.operators.spread import first_per_key, sized, spread_join
 
 RECORD_COLUMNS = [
     "id", "org_id", "title", "detected", "first_seen", "last_confirmed", "status", "opens",
@@ -223,12 +223,14 @@ def merge_round(
     marks them as vanished.  A failed one flags a real reading and keeps it; a
     placeholder stands in only where there is nothing better.
     ``negative`` and ``failed`` need ``url`` (``failed`` also ``stage, reason``).
+    Records are counted first and lie by page in pieces of bounded size, so that a task
+    sorts no more of them when there are more.
     """
     gone = negative.select("url").distinct().withColumn("_gone", F.lit(True))
     unread = first_per_key(
         failed.select("url", "stage", F.col("reason").alias("_why")), ["url"], F.col("stage")
     )
-    kept = records.join(positive.select("url").distinct(), "url", "left_anti")
+    kept = sized(records.select(*RECORD_COLUMNS), "url").join(positive.select("url").distinct(), "url", "left_anti")
     kept = kept.join(gone, "url", "left").join(unread, "url", "left")
     real = F.col("title") != L.UNJUDGED_TITLE
     is_failed = F.col("stage").isNotNull()

@@ -136,6 +136,22 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return left.join(right, key, how)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out for work that takes long for each of few bytes.
+
+    Such rows come from few files and their sizes would put them into one task; as many
+    tasks take them as a shuffle has partitions, or the cluster cores.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def sized(df: DataFrame, key: str, rows: int = 250_000) -> DataFrame:
+    """Rows laid out by ``key`` in pieces of about ``rows`` on average, so that what a task sorts does not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), key)
+
+
 def first_row_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One whole row per key, the smallest by the columns ``order``, for wide rows.
 
