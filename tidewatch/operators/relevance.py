@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from tidewatch.functions import fields
 from tidewatch.functions import lexicon as L
 from tidewatch.functions.text import let
-from tidewatch.operators.spread import top_k
+from tidewatch.operators.extract import settled
+from tidewatch.operators.spread import dealt, top_k
+from tidewatch.session import cut
 
 
 def read_profiles(profiles: DataFrame, text: str = "profile") -> DataFrame:
     """Profile text to ``field, cities, graduated, field_label``; no field, no profile."""
     col = F.col(text)
     return (
-        profiles.withColumn("field", fields.field_of(col))
+        dealt(profiles).withColumn("field", settled(fields.field_of(col)))
         .where("field <> 'none'")
         .withColumn("reader_cities", fields.reader_cities(col))
         .withColumn("graduated", fields.graduated(col))
@@ -125,7 +127,7 @@ def reader_classes(profiles: DataFrame) -> DataFrame:
 
 def announcement_classes(announcements: DataFrame) -> DataFrame:
     """``announcements`` with their ``facts`` and ``announcement_class``: all that a score or reason takes from them."""
-    known = announcements.withColumn("facts", announced_facts(F.col("title"), F.col("majors")))
+    known = dealt(announcements).withColumn("facts", settled(announced_facts(F.col("title"), F.col("majors"))))
     graduate, unnamed = F.coalesce(F.col("product") == "graduate_dev", F.lit(False)), F.size("majors") == 0
     return known.withColumn(
         "announcement_class", _class_of(F.col("facts"), graduate.alias("graduate"), unnamed.alias("unnamed"), F.col("cities"))
@@ -155,8 +157,11 @@ def reader_board(readers: DataFrame, announcements: DataFrame, k: int, reader: s
 
     Ranked once for each class of readers, from the first ``k`` of each class of
     announcements; a reader only takes over the board of their class. What cannot be
-    measured is on no board.
+    measured is on no board. Both tables are used twice and written before, so that each
+    profile and each announcement is read once.
     """
+    readers = cut(readers.select(reader, "reader_class", "field", "reader_cities", "graduated", "field_label"))
+    announcements = cut(announcements.select(of, "announcement_class", "product", "title", "majors", "cities", "facts"))
     scores = class_scores(readers, announcements).where("score IS NOT NULL").select("reader_class", "announcement_class", "score")
     first = top_k(announcements.select("announcement_class", of), ["announcement_class"], [F.col(of)], k, "_n").drop("_n")
     board = top_k(scores.join(first, "announcement_class").drop("announcement_class"), ["reader_class"], [F.desc("score"), F.col(of)], k)
