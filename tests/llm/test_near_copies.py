@@ -119,3 +119,15 @@ def test_blocks_give_the_pairs_that_sets_give(n):
 def test_empty_tables_and_null_rows(spark):
     assert minhash.one_of_near(docs(spark, [])).count() == 0
     assert minhash.one_of_near(spark.createDataFrame([(None,) * 5] * 2, DOCS)).count() == 1
+
+
+def test_rows_with_and_without_ids_take_one_way(spark, monkeypatch):
+    asked = []
+    kept_rows = minhash.kept_rows
+    monkeypatch.setattr(minhash, "kept_rows", lambda *args: asked.append(1) or kept_rows(*args))
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(3, base), (2, base + " end"), (2, base + " end"), (9, "other words")]
+    assert sorted((r.doc_id, r.text) for r in minhash.one_of_near(docs(spark, rows)).collect()) == [(2, base + " end"), (9, "other words")]
+    got = minhash.one_of_near(docs(spark, rows + [(None, base), (None, "bare"), (None, "bare")])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "bare"), (2, base + " end"), (9, "other words")]
+    assert len(asked) == 2

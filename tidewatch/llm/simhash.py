@@ -118,12 +118,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     alone = found.where("component_id IS NULL").select("fingerprint")
-    return kept_rows(docs, found, alone, hex64(fingerprint_udf()(F.col("text"))))
+    keepers = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return kept_rows(docs, keepers, alone, hex64(fingerprint_udf()(F.col("text"))))
 
 
-def kept_rows(docs: DataFrame, found: DataFrame, alone: DataFrame, print_of: Column) -> DataFrame:
-    """Rows whose doc_id names their component, and of those without one a row for each print in ``alone`` (one column)."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+def kept_rows(docs: DataFrame, keepers: DataFrame, alone: DataFrame, print_of: Column) -> DataFrame:
+    """A row for each doc_id in ``keepers``, and of rows without one a row for each print in ``alone`` (one column each)."""
+    kept = keepers.where("doc_id IS NOT NULL").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     (fp,) = unused(docs.columns, "fp")
     bare = docs.where("doc_id IS NULL").withColumn(fp, print_of)
