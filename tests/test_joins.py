@@ -48,6 +48,27 @@ def test_facts_never_meet_versions_in_a_join(spark):
     assert "Join" not in plan
 
 
+def test_sources_are_counted_by_site_and_each_site_is_read_once(spark):
+    urls = ["https://www.one.com.sa/a/b", "https://www.one.com.sa", "HTTPS://jobs.one.com.sa:8443/x", "http://two.org?q=/1/2/3", "https://u@two.org#/r", "ftp://three.org/x", "https:///x", "", None, "four.org/a"]
+    sources = spark.createDataFrame([(f"o{n % 2}", u) for n, u in enumerate(urls * 2)] + [(None, urls[0])], "org_id string, url string")
+    want = {}
+    for r in sources.select("org_id", entities.A.registered_domain(F.col("url")).alias("domain")).where("domain IS NOT NULL").collect():
+        want[r.domain, r.org_id] = want.get((r.domain, r.org_id), 0) + 1
+    assert {(r.domain, r.org_id): r.on_it for r in entities.domain_owners(sources).collect()} == want and len(want) >= 4
+    plan = entities.domain_owners(sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace" in line and "url#" in line for line in plan.splitlines())
+
+
+def test_slow_work_on_few_bytes_is_dealt_to_many_tasks(spark):
+    one = spark.range(200).coalesce(1)
+    assert spread.dealt(one).rdd.getNumPartitions() >= 4
+    assert spread.sized(one, "id", 20).rdd.getNumPartitions() == 10 and spread.sized(one, "id").rdd.getNumPartitions() == 4
+    said = relevance.announcement_classes(one.select(
+        F.col("id"), F.lit("a cyber course").alias("title"), F.array().cast("array<string>").alias("majors"),
+        F.array().cast("array<string>").alias("cities"), F.lit("coop").alias("product")))
+    assert said.rdd.getNumPartitions() >= 4 and said.count() == 200
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):

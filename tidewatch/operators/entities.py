@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import address as A
 from tidewatch.functions import text as X
-from tidewatch.operators.spread import first_per_key, spread_join
+from tidewatch.operators.extract import settled
+from tidewatch.operators.spread import dealt, first_per_key, spread_join
 from tidewatch.session import cut
 
 
@@ -172,13 +173,16 @@ def _shared_urls(urls: DataFrame, strength: DataFrame, least: int = 2) -> DataFr
 
 
 def domain_owners(sources: DataFrame) -> DataFrame:
-    """Sources per (domain, organisation)."""
-    return (
-        sources.select("org_id", A.registered_domain(F.col("url")).alias("domain"))
-        .where("domain IS NOT NULL")
-        .groupBy("domain", "org_id")
-        .agg(F.count("*").alias("on_it"))
-    )
+    """Sources per (domain, organisation).
+
+    A domain follows from what stands before a url's third slash. Sources are counted by
+    that, and each distinct one is read once.
+    """
+    site = F.substring_index("url", "/", 3).alias("_site")
+    listed = sources.select("org_id", site).groupBy("org_id", "_site").agg(F.count("*").alias("_n"))
+    sites = dealt(listed.select("_site").distinct(), "_site")
+    named = sites.withColumn("domain", settled(A.registered_domain(F.col("_site")))).where("domain IS NOT NULL")
+    return listed.join(named, "_site").groupBy("domain", "org_id").agg(F.sum("_n").alias("on_it"))
 
 
 def native_owner(owners: DataFrame) -> DataFrame:
