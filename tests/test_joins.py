@@ -109,6 +109,16 @@ def test_every_two_near_names_of_a_block_are_found(spark):
     assert got == want
 
 
+def test_duplicate_search_reads_a_domain_once_for_each_site(spark, monkeypatch):
+    rows = [("a", "first body", "hr@m.sa"), ("b", "second one", "hr@m.sa"), ("c", "third place", "hr@m.sa"), ("d", None, None), (None, "nobody", "hr@m.sa")]
+    urls = [("a", "https://x.com/1"), ("a", "https://x.com/1"), ("a", "https://x.com/2"), ("a", None), ("b", "https://x.com/3"), ("c", "https://y.com/1"), ("d", None), (None, "https://x.com/1")]
+    read, real = [], entities.A.registered_domain
+    monkeypatch.setattr(entities.A, "registered_domain", lambda url: read.append(url) or real(url))
+    got = entities.duplicate_proposals(orgs(spark, rows), listed(spark, urls)).collect()
+    assert [(r.keep_id, r.drop_id, r.reasons) for r in got] == [("a", "b", ["domain+mail"])]
+    assert [str(url) for url in read] == ["Column<'_site'>"]
+
+
 def test_keys_of_a_name_are_few_whatever_its_length(spark):
     names = spark.createDataFrame([("",), ("a",), ("ab",), ("abcd",), ("abcdefghij" * 40,)], "name string")
     sizes = names.select(F.size(entities.indexed_keys(F.col("name"))), F.size(entities.probed_keys(F.col("name")))).collect()

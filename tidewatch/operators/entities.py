@@ -84,7 +84,8 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     so a group of copies yields one row per copy; of names and of lists of urls that
     differ, every two that are near enough are linked through their keepers.
     """
-    counts = sources.groupBy("org_id").agg(F.countDistinct("url").alias("n_sources"))
+    sources = cut(sources.select("org_id", "url").distinct())  # three steps read them
+    counts = sources.groupBy("org_id").agg(F.count("url").alias("n_sources"))
     mail = F.lower(F.regexp_extract("apply_target", "@([^@\\s]+)$", 1))
     base = cut(
         orgs.join(counts, "org_id", "left")
@@ -95,10 +96,7 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
             F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
         )
     )
-    domains = cut(
-        sources.select("org_id", A.registered_domain(F.col("url")).alias("domain"))
-        .where("domain IS NOT NULL").distinct().join(base, "org_id")
-    )
+    domains = cut(domain_owners(sources).select("org_id", "domain").join(base, "org_id"))
     by_mail = _star(domains.where("mail IS NOT NULL"), ["domain", "mail"], "domain+mail")
 
     blocks = domains.select("org_id", "name", "n_sources", F.concat(F.lit("domain "), "domain").alias("block")).unionByName(
@@ -110,7 +108,7 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     same_name = _star(blocks, ["block", "name"], "block+name")
     one_each = cut(first_per_key(blocks, ["block", "name"], -F.col("n_sources"), F.col("org_id")))
     near = _near_names(one_each)
-    by_urls = _shared_urls(sources.select("org_id", "url").where("url IS NOT NULL").distinct(), base.select("org_id", "n_sources"))
+    by_urls = _shared_urls(sources.where("url IS NOT NULL"), base.select("org_id", "n_sources"))
     return (
         by_mail.unionByName(same_name).unionByName(near).unionByName(by_urls)
         .groupBy("keep_id", "drop_id")
