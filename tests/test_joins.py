@@ -109,6 +109,39 @@ def test_every_two_near_names_of_a_block_are_found(spark):
     assert got == want
 
 
+def blocked(spark, rows):
+    return spark.createDataFrame(rows, "org_id string, name string, n_sources long, block string")
+
+
+@pytest.mark.parametrize("few", [0, 3, 12, 1000])
+def test_names_found_by_their_ends_are_those_brute_force_finds(spark, monkeypatch, few):
+    monkeypatch.setattr(entities, "CROWD", 0)  # every block is looked up by ends
+    monkeypatch.setattr(entities, "FEW", few)  # of 20 letters, of some, of one
+    rnd = random.Random(few)
+    texts = {"".join(rnd.choice("اب" if few == 3 else "aé😀") for _ in range(rnd.randint(0, 9))) for _ in range(90)}
+    texts |= {f"{rnd.choice(['company of', 'compny of', 'of'])} the {rnd.choice(['north', 'nort'])} {rnd.randrange(2500)}" for _ in range(110)}
+    texts |= {f"{n} {place} university" for n in range(12) for place in ("east", "eat", "west")}
+    rows = [(f"o{i:03}", n, i % 3, f"b{k}") for i, n in enumerate(sorted(texts)) for k in {i % 2, 2, 3 + i % 5}] + [("none", None, 1, "b0"), ("alone", "of", 1, "b9")]
+    ends = {r._end for r in entities._numbered(blocked(spark, rows)).select("_end").distinct().collect()}
+    assert ends == {20} if few == 0 else ends == {1} if few == 1000 else min(ends) > 1 and max(ends) < 20
+    got = {(r.keep_id, r.drop_id) for r in entities._near_names(blocked(spark, rows)).collect()}
+    want = set()
+    for (a, n, p, b), (c, m, q, d) in itertools.combinations(rows, 2):
+        if b == d and n is not None and m is not None and edits(n, m) <= 2:
+            want.add(tuple(x[1] for x in sorted([(-p, a), (-q, c)])))
+    assert got == want
+
+
+def test_names_that_share_most_letters_do_not_all_meet(spark):
+    rnd = random.Random(5)
+    rows = [(str(i), f"company of the north {n}", 1, "b") for i, n in enumerate(rnd.sample(range(100_000, 1_000_000), 3000))]
+    named = entities._numbered(blocked(spark, rows))
+    met = entities._keyed(named, True).join(entities._keyed(named, False).select("_k"), "_k").count()
+    assert met < 300 * 3000  # by segments alone every two of them meet: 4,500,000 pairs and more
+    old = blocked(spark, rows).select(F.explode(entities.indexed_keys(F.col("name"))).alias("k")).groupBy("k").count()
+    assert old.agg(F.max("count")).first()[0] == 3000
+
+
 def test_duplicate_search_reads_a_domain_once_for_each_site(spark, monkeypatch):
     rows = [("a", "first body", "hr@m.sa"), ("b", "second one", "hr@m.sa"), ("c", "third place", "hr@m.sa"), ("d", None, None), (None, "nobody", "hr@m.sa")]
     urls = [("a", "https://x.com/1"), ("a", "https://x.com/1"), ("a", "https://x.com/2"), ("a", None), ("b", "https://x.com/3"), ("c", "https://y.com/1"), ("d", None), (None, "https://x.com/1")]

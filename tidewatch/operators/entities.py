@@ -12,6 +12,8 @@ from tidewatch.operators.spread import dealt, first_per_key, spread_join
 from tidewatch.session import cut
 
 
+#: The kinds of evidence, in order.
+REASONS = ("block+name", "domain+mail", "urls")
 #: Edits two names may be apart, and the segments one of which then is untouched.
 EDITS, SEGMENTS = 2, 3
 
@@ -56,6 +58,63 @@ def probed_keys(name: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
+#: Names that one segment may bring to a name of its block, on average over the block, before the block is looked up by ends.
+CROWD = 64
+#: Names of a block that may end like a name, on average, and how many last letters are tried for that.
+FEW, ENDS = 8, (0, 1, 2, 3, 4, 5, 6, 7, 9, 11, 15, 19)
+
+
+def _end_codes(end: int, asked: bool) -> list[int]:
+    """The end keys of a name as numbers: zone, letters shorter, last letters taken, which of these is left out (0: none)."""
+    last = (end + 1) // 2
+    out = [(0, d, 0, 0) for d in range(EDITS + 1 if asked else 1)]
+    for zone, letters in ((1, last), (2, end)):
+        if not asked:
+            out += [(zone, 0, letters, drop) for drop in range(letters + 1)]
+            continue
+        # The zone of whole ends fits names of every length, so it is asked once.
+        for d in range(EDITS + 1 if zone == 1 else 1):
+            out += [(zone, d, letters + 1, drop) for drop in range(1, letters + 2)]
+            out += [(zone, d, letters, drop) for drop in range(1, letters + 1) if d < EDITS]
+    return [((zone * 4 + d) * 32 + letters) * 32 + drop for zone, d, letters, drop in out if zone != 1 or last < end]
+
+
+def _end_coded(end: Column, asked: bool) -> Column:
+    """``_end_codes`` of a column that holds one more than one of ``ENDS``."""
+    rows = [f"array({', '.join(map(str, _end_codes(m + 1, asked)))})" if m in ENDS else "array(0)" for m in range(max(ENDS) + 1)]
+    return F.element_at(F.expr(f"array({', '.join(rows)})"), end)
+
+
+def _end_key(block: Column, name: Column, end: Column, code: Column) -> Column:
+    """The key ``k`` that one of ``_end_codes`` gives a name; NULL if the name is too short for it.
+
+    Of a name and one as long or up to two letters longer, at most two edits apart, let the
+    shorter be cut before its last ``end`` letters and before half of these. Either it is the
+    same up to the second cut (zone 0), or else up to the first, with at most one edit after
+    the second (zone 1), or it has at most one edit after the first (zone 2). Two texts are one
+    edit apart only if a text is left when each loses at most one letter. So that a pair is met
+    once, ``head`` tells how many first letters must differ (-1: none), as else a zone before has
+    it, and ``left`` the letter left out with its place: where that is the same too, so are the ends.
+    """
+    last = F.floor((end + 1) / 2).cast("int")
+    drop, letters = code.bitwiseAND(31), F.shiftright(code, 5).bitwiseAND(31)
+    zone = F.shiftright(code, 12)
+    length = F.length(name)
+    short = length - F.shiftright(code, 10).bitwiseAND(3)
+    cut_at = F.when(zone == 0, short - last).when(zone == 1, short - end).otherwise(0)
+    start = length - letters + 1
+    rest = F.concat(F.substring(name, start, F.greatest(drop - 1, F.lit(0))), F.substring(name, start + drop, letters - drop))
+    left = F.substring(name, start + drop - 1, F.lit(1))
+    again = (drop > 1) & (left == F.substring(name, start + drop - 2, F.lit(1)))  # leaves the same text
+    fits = (short >= 0) & ~again & ((zone == 0) | ((zone == 1) & (short > last)) | ((zone == 2) & (length > end)))
+    head = F.substring(name, F.lit(1), F.greatest(cut_at, F.lit(0)))
+    kept_head = F.when(zone == 1, short - last).when(zone == 2, short - end).otherwise(-1)
+    return F.when(fits, F.struct(
+        F.xxhash64(block, zone, F.when(zone < 2, short), head, rest).alias("k"), kept_head.alias("head"),
+        F.when(drop > 0, F.ascii(left).cast("long") * 32 + drop).otherwise(0).alias("left"),
+    ))
+
+
 def _star(members: DataFrame, group: list[str], evidence: str) -> DataFrame:
     """Every member of a group against its keeper: as many rows as members, never all pairs.
 
@@ -85,7 +144,8 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     differ, every two that are near enough are linked through their keepers.
     """
     sources = cut(sources.select("org_id", "url").distinct())  # three steps read them
-    counts = sources.groupBy("org_id").agg(F.count("url").alias("n_sources"))
+    sites = cut(site_counts(sources))
+    counts = sites.groupBy("org_id").agg(F.sum(F.when(F.col("_site").isNotNull(), F.col("_n"))).alias("n_sources"))
     mail = F.lower(F.regexp_extract("apply_target", "@([^@\\s]+)$", 1))
     base = cut(
         orgs.join(counts, "org_id", "left")
@@ -96,7 +156,7 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
             F.coalesce("n_sources", F.lit(0)).alias("n_sources"),
         )
     )
-    domains = cut(domain_owners(sources).select("org_id", "domain").join(base, "org_id"))
+    domains = cut(domain_owners(sources, sites).select("org_id", "domain").join(base, "org_id"))
     by_mail = _star(domains.where("mail IS NOT NULL"), ["domain", "mail"], "domain+mail")
 
     blocks = domains.select("org_id", "name", "n_sources", F.concat(F.lit("domain "), "domain").alias("block")).unionByName(
@@ -112,7 +172,8 @@ def duplicate_proposals(orgs: DataFrame, sources: DataFrame) -> DataFrame:
     return (
         by_mail.unionByName(same_name).unionByName(near).unionByName(by_urls)
         .groupBy("keep_id", "drop_id")
-        .agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+        .agg(*[F.max(F.col("reason") == r).alias(r) for r in REASONS])
+        .select("keep_id", "drop_id", F.array_compact(F.array(*[F.when(F.col(r), r) for r in REASONS])).alias("reasons"))
     )
 
 
@@ -125,22 +186,67 @@ def _kept(a: str, b: str, reason: str) -> list[Column]:
     ]
 
 
+def _ends(named: DataFrame) -> DataFrame:
+    """``_block, _end`` of blocks whose names share segments with many: how many last letters few others end in, and one more."""
+    segments = named.select("_block", F.explode(indexed_keys(F.col("name"))).alias("_k")).groupBy("_block", "_k").agg(F.count("*").alias("_c"))
+    crowded = segments.groupBy("_block").agg(F.sum(F.col("_c") * F.col("_c")).alias("_met"), F.sum("_c").alias("_n"))
+    crowded = crowded.where(f"_met * {SEGMENTS} > {CROWD} * _n").select("_block")
+    tried = named.join(crowded, "_block").select("_block", "name", F.explode(F.expr(f"array({', '.join(map(str, ENDS))})")).alias("_m"))
+    start = F.greatest(F.length("name") - F.col("_m"), F.lit(0)) + 1
+    tails = tried.select("_block", "_m", F.xxhash64(F.substring("name", start, F.col("_m"))).alias("_t")).groupBy("_block", "_m", "_t").agg(F.count("*").alias("_c"))
+    alike = tails.groupBy("_block", "_m").agg((F.sum(F.col("_c") * F.col("_c")) / F.sum("_c")).alias("_alike"))
+    fit = F.min(F.when(F.col("_alike") <= FEW, F.col("_m")))
+    return alike.groupBy("_block").agg((F.coalesce(fit, F.lit(max(ENDS))) + 1).alias("_end"))
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """Names of blocks with two or more, with ``_block``, ``_end`` (NULL: segments will do) and ``_home``.
+
+    An organisation may stand for a name in several blocks; ``_home`` is the first of them
+    if it is not this one. Two with one home are compared there.
+    """
+    named = names.where("name IS NOT NULL")
+    blocks = cut(named.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block"))
+    blocks = blocks.select("block", F.monotonically_increasing_id().alias("_block"))
+    named = cut(named.join(blocks, "block").select("_block", "name", "n_sources", "org_id"))
+    homes = named.groupBy("org_id", "name").agg(F.min("_block").alias("_home"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    named = named.join(homes, ["org_id", "name"], "left").withColumn("_home", F.when(F.col("_home") < F.col("_block"), F.col("_home")))
+    named = cut(named)
+    # A block's names come from the join in one task; some fifty keys are to be made of each.
+    return cut(dealt(named.join(_ends(named), "_block", "left"), "org_id", "name"))
+
+
+def _keyed(named: DataFrame, asked: bool) -> DataFrame:
+    """Rows of ``_numbered`` under every key they are found or, if ``asked``, look for others by."""
+    rest = ["_block", "_home", "name", "n_sources", "org_id"]
+    segments = (probed_keys if asked else indexed_keys)(F.col("name"))
+    by_segment = named.where("_end IS NULL").withColumn("_k", F.explode(segments))
+    by_segment = by_segment.select(F.xxhash64("_block", "_k").alias("_k"), F.lit(-1).alias("_head"), F.lit(0).cast("long").alias("_left"), *rest)
+    by_end = named.where("_end IS NOT NULL").withColumn("_code", F.explode(_end_coded(F.col("_end"), asked)))
+    by_end = by_end.withColumn("_at", _end_key(F.col("_block"), F.col("name"), F.col("_end"), F.col("_code"))).where("_at IS NOT NULL")
+    return by_segment.unionByName(by_end.select(F.col("_at.k").alias("_k"), F.col("_at.head").alias("_head"), F.col("_at.left").alias("_left"), *rest))
+
+
 def _near_names(names: DataFrame) -> DataFrame:
     """Names of a block within two edits of each other, of rows ``org_id, name, n_sources, block`` that differ in (block, name).
 
     Shorter names are found by a segment that the edits leave untouched, about fifteen
-    keys a name whatever its length; each pair found is verified.
+    keys a name whatever its length. Where names of a block share segments with many others,
+    they are found by their ends less a letter instead, and by what stands before these:
+    some fifty keys, of which each is shared by few. Each pair found is verified.
     """
-    who = F.struct((-F.col("n_sources")).alias("n"), F.col("org_id").alias("o")).alias("who")
-    named = names.where("name IS NOT NULL").select(F.xxhash64("block").alias("_block"), "block", "name", who)
-    crowded = named.groupBy("block").agg(F.count("*").alias("_n")).where("_n > 1").select("block")
-    named = cut(named.join(crowded, "block", "left_semi"))
-    found = named.select("_block", F.explode(indexed_keys(F.col("name"))).alias("_k"), F.col("block").alias("b"), F.col("name").alias("short"), F.col("who").alias("a"))
-    asked = named.select("_block", F.explode(probed_keys(F.col("name"))).alias("_k"), "block", "name", "who")
+    named = _numbered(names)
+    asked = _keyed(named, True).drop("_head")
+    found = _keyed(named, False).toDF("_k", "head", "left", "b", "home", "short", "n", "o")
+    # What costs least is asked first.
+    same_left = (F.col("_left") == F.col("left")) & (F.col("left") != 0)
+    elsewhere = F.col("_home").isNotNull() & F.col("home").isNotNull() & (F.col("_home") == F.col("home"))
     longer = (F.length("name") > F.length("short")) | (F.col("name") > F.col("short"))
+    begins = F.substring("name", F.lit(1), F.col("head")) == F.substring("short", F.lit(1), F.col("head"))
     near = F.levenshtein("name", "short", EDITS) >= 0
-    met = asked.join(found, ["_block", "_k"]).where((F.col("block") == F.col("b")) & longer & near)
-    return met.select(*_kept("a", "who", "block+name")).distinct()
+    met = asked.join(found, "_k").where((F.col("_block") == F.col("b")) & ~same_left & ~elsewhere & longer & ((F.col("head") < 0) | ~begins) & near)
+    who = F.struct((-F.col("n_sources")).alias("n"), F.col("org_id").alias("o")).alias("who")
+    return met.select(F.struct((-F.col("n")).alias("n"), F.col("o")).alias("a"), who).select(*_kept("a", "who", "block+name"))
 
 
 def _shared_urls(urls: DataFrame, strength: DataFrame, least: int = 2) -> DataFrame:
@@ -154,7 +260,7 @@ def _shared_urls(urls: DataFrame, strength: DataFrame, least: int = 2) -> DataFr
     """
     several = urls.groupBy("url").agg(F.count("*").alias("_n")).where("_n > 1")
     common = urls.join(several, "url").select("org_id", F.struct("_n", F.xxhash64("url").alias("h"), "url").alias("u"))
-    lists = common.groupBy("org_id").agg(F.array_sort(F.collect_list("u")).alias("us")).where(F.size("us") >= least)
+    lists = common.repartition("org_id").groupBy("org_id").agg(F.sort_array(F.collect_list("u")).alias("us")).where(F.size("us") >= least)
     listed = cut(
         lists.join(strength, "org_id").select("org_id", "n_sources", F.transform("us", lambda u: u["url"]).alias("list"))
         .withColumn("class", F.sha2(F.concat_ws("\x01", "list"), 256))
@@ -170,14 +276,18 @@ def _shared_urls(urls: DataFrame, strength: DataFrame, least: int = 2) -> DataFr
     return copies.unionByName(both.where(shared).select(*_kept("a", "b", "urls")))
 
 
-def domain_owners(sources: DataFrame) -> DataFrame:
+def site_counts(sources: DataFrame) -> DataFrame:
+    """``org_id, _site, _n``: sources by what stands before a url's third slash."""
+    return sources.groupBy("org_id", F.substring_index("url", "/", 3).alias("_site")).agg(F.count("*").alias("_n"))
+
+
+def domain_owners(sources: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """Sources per (domain, organisation).
 
     A domain follows from what stands before a url's third slash. Sources are counted by
-    that, and each distinct one is read once.
+    that (``listed``, if they have been), and each distinct one is read once.
     """
-    site = F.substring_index("url", "/", 3).alias("_site")
-    listed = sources.select("org_id", site).groupBy("org_id", "_site").agg(F.count("*").alias("_n"))
+    listed = site_counts(sources) if listed is None else listed
     sites = dealt(listed.select("_site").distinct(), "_site")
     named = sites.withColumn("domain", settled(A.registered_domain(F.col("_site")))).where("domain IS NOT NULL")
     return listed.join(named, "_site").groupBy("domain", "org_id").agg(F.sum("_n").alias("on_it"))
